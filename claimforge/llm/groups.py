@@ -2,11 +2,11 @@
 
 Method: rake and compress. Each round removes an independent set of vertices of degree one (attached to their
 neighbour) and of degree two (their two neighbours get linked instead), which shortens trees and chains as list
-ranking does: a constant share of any tree or chain goes per round, so the rounds grow with the logarithm of the
-longest chain. What remains is a core of degree three or more; its vertices hook onto the neighbour of least
-priority that no neighbour undercuts, and are contracted. Removed vertices then take their label from the vertex
-they were attached to, last round first. The sets of the rounds shrink geometrically, so all rounds together
-cost about as much as the first few.
+ranking does: a constant share of any tree or chain goes per round. Once a round removes less than
+``strip_share`` of the vertices, what remains is the core; its vertices hook onto the neighbour of least rank,
+pointers are doubled to the end of these chains, and each chain's end stands for all that leads to it, until no
+edge is left. Removed vertices then take their label from the vertex they were attached to, last round first.
+The sets of the rounds shrink geometrically, so all rounds together cost about as much as the first few.
 
 Nothing is collected: every round is joins and aggregations over edges (hubs are counted with map-side
 combination), and each round's tables are written to the shared folder.
@@ -14,7 +14,9 @@ combination), and each round's tables are written to the shared folder.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import itertools
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from claimforge.session import Scratch
@@ -48,8 +50,16 @@ def _strip(edges: DataFrame, vertices: DataFrame, round_no: int, scratch: Scratc
 
 def _hook(edges: DataFrame, vertices: DataFrame, round_no: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     own = _rank(F.col("v"), round_no)
-    roots = vertices.where(own < F.col("least")).select(F.col("v").alias("parent"))
-    gone = scratch.write(vertices.where(own > F.col("least")).select("v", F.col("least.v").alias("parent")).join(roots, "parent", "left_semi").select("v", "parent"), f"gone{round_no}")
+    gone = scratch.write(vertices.where(own > F.col("least")).select("v", F.col("least.v").alias("parent")), f"hooks{round_no}")
+    # Ranks fall along the parents, so these chains end; doubling the pointers brings each vertex to its end.
+    for k in itertools.count():
+        seen = Observation()
+        up = gone.select(F.col("v").alias("parent"), F.col("parent").alias("above"))
+        far = gone.join(up, "parent", "left").observe(seen, F.count("above").alias("n")).select("v", F.coalesce("above", "parent").alias("parent"))
+        gone = scratch.write(far, f"hooks{round_no}-{k}")
+        scratch.drop(f"hooks{round_no}-{k - 1}" if k else f"hooks{round_no}")
+        if not seen.get["n"]:
+            break
     moved = edges
     for end in ("u", "w"):
         to = gone.select(F.col("v").alias(end), F.col("parent").alias("to"))
@@ -57,7 +67,7 @@ def _hook(edges: DataFrame, vertices: DataFrame, round_no: int, scratch: Scratch
     return gone, moved.where("u <> w").select(_edge("u", "w").alias("e")).select("e.u", "e.w").distinct()
 
 
-def connected_groups(links: DataFrame, a: str, b: str, low_share: float = 0.05, max_rounds: int = 200) -> DataFrame:
+def connected_groups(links: DataFrame, a: str, b: str, strip_share: float = 0.4, max_rounds: int = 200) -> DataFrame:
     """(member, group_id) for each vertex of ``links``; group_id is the smallest member of the group.
 
     Links with a null end and links of a vertex to itself say nothing and are left out, repeated and reversed
@@ -68,13 +78,17 @@ def connected_groups(links: DataFrame, a: str, b: str, low_share: float = 0.05,
     edges = links.select(F.col(a).cast("string").alias("_a"), F.col(b).cast("string").alias("_b")).where("_a <> _b").select(_edge("_a", "_b").alias("e")).select("e.u", "e.w").distinct()
     edges = scratch.write(edges, "edges0")
     layers: list[DataFrame] = []
+    stripping, before = True, None
     for round_no in range(max_rounds):
-        vertices = scratch.write(_vertices(edges, round_no), f"vertices{round_no}")
-        n, low = vertices.agg(F.count(F.lit(1)), F.count_if(F.col("deg") <= 2)).first()
+        seen = Observation()
+        vertices = scratch.write(_vertices(edges, round_no).observe(seen, F.count(F.lit(1)).alias("n"), F.count_if(F.col("deg") <= 2).alias("low")), f"vertices{round_no}")
+        n, low = seen.get["n"], seen.get["low"]
         if not n:
             break
-        step = _strip if low >= low_share * n else _hook
-        gone, left = step(edges, vertices, round_no, scratch)
+        # Stripping goes on while it pays; what is then left is the core.
+        stripping = stripping and low > 0 and (before is None or n <= (1 - strip_share) * before)
+        before = n
+        gone, left = (_strip if stripping else _hook)(edges, vertices, round_no, scratch)
         edges = scratch.write(left, f"edges{round_no + 1}")
         scratch.drop(f"edges{round_no}")
         scratch.drop(f"vertices{round_no}")
