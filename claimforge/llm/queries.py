@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from claimforge.llm.formatting import formatting_copies, formatting_groups
 from claimforge.llm.groups import connected_groups
+from claimforge.llm.leaks import find_leaks
+from claimforge.llm.quality import score_quality
 from claimforge.llm.splitting import split_oversized
 from claimforge.sources.tables import table
 
@@ -45,6 +47,27 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return connected_groups(links(spark, d), "fact_a_id", "fact_b_id").where("member <> group_id").select("group_id", F.col("member").alias("fact_id"))
 
 
+def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return find_leaks(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items", "item_id", "text"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_leaks(spark, d).select("doc_id", "item_id")
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    """Which test items leaked, into how many documents, and the largest share."""
+    return p8_leaks(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.max("share").alias("largest_share"))
+
+
+def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return score_quality(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "doc_labels", "doc_id", "label"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_statistics(spark, d).where("kind <> 'prose'").select("doc_id", "kind")
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("p") and name[1].isdigit()}
 
