@@ -32,6 +32,8 @@ KINDS = ("list", "table", "junk")
 
 _COMMON = {k: frozenset(v) for k, v in COMMON_WORDS.items()}
 _ANY_COMMON = frozenset().union(*_COMMON.values())
+_LANGUAGES = tuple(COMMON_WORDS)
+_LANGUAGES_OF = {w: tuple(k for k, v in enumerate(_COMMON.values()) if w in v) for w in _ANY_COMMON}
 _WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _SPLIT_WORDS = re.compile(r"[^\W\d_]+")
 _NUMBER_CELL = re.compile(r"^[\"']?\s*(?:[-–—.]+|n\.?[am]\.?|nil|[(\-+]?\s*[₹$€£%]?\s*\d[\d,.\s]*\)?\s*%?|(?:FY|CY|Q[1-4]|H[12])[\s'’-]*\d*.*|(?:19|20)\d\d)\s*[\"']?$", re.I)
@@ -43,23 +45,40 @@ _HEX = re.compile(r"^\s*[0-9a-f]{6,}[: ]\s*(?:[0-9a-f]{2,4}\s+){4,}", re.I)
 _BLOB = re.compile(r"[A-Za-z0-9+/=_-]{40,}")
 _MOJIBAKE = re.compile(r"Ã.|Â.|â€.?|ï¿½|�")
 _CLEAN = re.compile(r"^[\[(\"'“‘«¿¡*•-]*(?:[^\W\d_]+(?:[-–’'&/][^\W\d_]+)*(?:['’]s?)?|[₹$€£+-]?\d+(?:[.,:/-]\d+)*(?:%|[a-zA-Z]{0,3}|er|ème)|[₹$€£%&–—|-]|[A-Z]{1,4}\d{2,4}|(?:[^\W\d_]\.)+)[\])\"'”’».,;:!?%…*-]*$")
+_LEADERS = re.compile(r"^.*\w.*?\s*(?:\.{4,}|(?:\s\.){4,})\s*\d{1,4}\s*$")
+_SYMBOL = re.compile(r"[^\w\s]|_")
+_DIGIT = re.compile(r"\d")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 _END = re.compile(r"[.!?:;…。][\"'”’»)\]]*\s*$")
 
 
-def _junk_line(line: str, tokens: list[str]) -> bool:
-    body = line.strip()
+_CLEANED: dict[str, bool] = {}
+
+
+def _clean(token: str) -> bool:
+    """Whether a token is a word, a number or a sign as prose has them; the last answers are kept."""
+    known = _CLEANED.get(token)
+    if known is None:
+        if len(_CLEANED) >= 200_000:
+            _CLEANED.clear()
+        known = _CLEANED[token] = len(token) <= 200 and bool(_CLEAN.match(token))
+    return known
+
+
+def _junk_line(body: str, tokens: list[str]) -> bool:
     n = len(body)
-    if _HEX.match(body) or sum(len(m[0]) for m in _TAG.finditer(body)) > 0.4 * n or sum(len(m[0]) for m in _BLOB.finditer(body) if re.search(r"\d|[A-Z][a-z]+[A-Z]", m[0])) > 0.5 * n:
+    if "<" in body and sum(len(m) for m in _TAG.findall(body)) > 0.4 * n or body[:1].isalnum() and len(tokens) > 4 and _HEX.match(body):
         return True
-    if n >= 12 and sum(map(str.isalnum, body)) < 0.35 * (n - body.count(" ")) and not _number_row(body):
+    if n >= 40 * len(tokens) and sum(len(m) for m in _BLOB.findall(body) if re.search(r"\d|[A-Z][a-z]+[A-Z]", m)) > 0.5 * n:
+        return True
+    unclean = sum(len(t) for t in tokens if not _clean(t))
+    if unclean <= 0.2 * n:
+        return False
+    if n >= 12 and n - body.count(" ") - len(_SYMBOL.findall(body)) < 0.35 * (n - body.count(" ")):
         return True
     if len(_MOJIBAKE.findall(body)) > 0.25 * len(tokens):
         return True
-    if len(tokens) >= 3:
-        unclean = sum(len(t) for t in tokens if not _CLEAN.match(t))
-        return unclean > 0.4 * sum(map(len, tokens)) and not _number_row(body)
-    return False
+    return len(tokens) >= 3 and unclean > 0.4 * sum(map(len, tokens))
 
 
 def _number_row(body: str) -> bool:
@@ -68,8 +87,8 @@ def _number_row(body: str) -> bool:
         cells = [c for c in _CELLS.split(body.strip().strip("|")) if c.strip()]
         if len(cells) >= 2 and sum(bool(_NUMBER_CELL.match(c)) for c in cells[1:]) >= 0.6 * (len(cells) - 1):
             return True
-        return body.count("|") >= 3 or body.count("\t") >= 2 and len(cells) >= 3
-    if body.count(",") >= 1:
+        return body.count(" | ") >= 2 and sum(map(_clean, body.split())) > 0.6 * len(body.split()) or body.count("\t") >= 2 and len(cells) >= 3
+    if "," in body and len(body) < 400:
         cells = _CSV.split(body)
         return len(cells) >= 3 and all(_NUMBER_CELL.match(c) or not c.strip() for c in cells[1:]) or len(cells) == 2 and bool(re.match(r"^[\"']?[\d(₹$n.-][\d,.)m%-]*[\"']?$|^FY\d+$", cells[1].strip()))
     return False
@@ -80,15 +99,25 @@ def line_kind(line: str) -> str | None:
     body = line.strip()
     if not body:
         return None
+    words = None
+    if len(body) > 160:
+        # A line this long with as many function words as prose has is prose, whatever else stands at its ends.
+        words = _SPLIT_WORDS.findall(body.lower())
+        if sum(w in _ANY_COMMON for w in words) >= 0.14 * len(words) > 1 and sum(len(x) for x in body.split() if _clean(x)) > 0.7 * (len(body) - body.count(" ")) and "</" not in body:
+            return None
     if _number_row(body) or re.fullmatch(r"[|:+\s-]{3,}", body) and "-" in body and "/" not in body:
         return "table"
+    if ("...." in body or ". . ." in body) and _LEADERS.match(body):
+        return "list"
     tokens = body.split()
-    if _junk_line(line, tokens):
+    if _junk_line(body, tokens):
         return "junk"
     if _BULLET.match(line):
         return "list"
-    words = _SPLIT_WORDS.findall(body.lower())
-    if len(words) <= 7 and len(body) <= 70 and not re.search(r"[.!?…]$", body) and (len(tokens) > 0 and not re.match(r"^\W*\w+:\s", body)):
+    if len(body) > 70 and body.count(",") + body.count(";") < 2:
+        return None
+    words = _SPLIT_WORDS.findall(body.lower()) if words is None else words
+    if len(words) <= 7 and sum(w in _ANY_COMMON and w not in ("and", "for", "of") for w in words) == 0 and len(body) <= 70 and not re.search(r"[.!?…]$", body) and (len(tokens) > 0 and not re.match(r"^\W*\w+:\s", body)):
         return "list"
     parts = [p for p in re.split(r"[,;•|/]\s+", body) if p.strip()]
     if len(parts) >= 3 and len(words) <= 5.5 * len(parts) and sum(w in _ANY_COMMON for w in words) < 0.09 * len(words) and not re.search(r"[.!?]\s+\S", body):
@@ -100,8 +129,11 @@ def text_statistics(text: str) -> tuple[str, int, list[float]]:
     """(language, words, statistics) of a text; an empty text has zeros."""
     lines = [x for x in text.split("\n") if x.strip()]
     lower = _SPLIT_WORDS.findall(text.lower())
-    counts = {k: sum(w in v for w in lower) for k, v in _COMMON.items()}
-    language = max(sorted(counts, key=lambda k: k != "en"), key=counts.get)
+    counts = dict.fromkeys(_LANGUAGES, 0)
+    for word, times in Counter(lower).items():
+        for k in _LANGUAGES_OF.get(word, ()):
+            counts[_LANGUAGES[k]] += times
+    language = max(_LANGUAGES, key=counts.get)
     n, words = max(1, len(text)), len(lower)
     shares = dict.fromkeys(KINDS, 0)
     kinds = [line_kind(x) for x in lines]
@@ -118,15 +150,14 @@ def text_statistics(text: str) -> tuple[str, int, list[float]]:
         repeated = sum(len(s) * c for s, c in sentences.items() if c >= 3)
         shares["junk"] = max(shares["junk"], repeated) if repeated > 0.5 * n else shares["junk"]
     tokens = text.split()
-    symbols = sum(1 for c in text if not c.isalnum() and not c.isspace())
     return language, words, [
         float(np.log1p(words)),
         min(20.0, sum(map(len, lower)) / words) if words else 0.0,
-        symbols / n,
-        sum(map(str.isdigit, text)) / n,
+        len(_SYMBOL.findall(text)) / n,
+        len(_DIGIT.findall(text)) / n,
         sum(bool(_END.search(x)) for x in lines) / len(lines) if lines else 0.0,
         counts[language] / words if words else 0.0,
-        sum(len(t) for t in tokens if _CLEAN.match(t)) / max(1, sum(map(len, tokens))),
+        sum(len(t) for t in tokens if _clean(t)) / max(1, sum(map(len, tokens))),
         float(np.log1p(len(text) / max(1, len(lines)))),
         *(min(1.0, shares[k] / n) for k in KINDS),
     ]

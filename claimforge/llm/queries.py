@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from claimforge.llm.formatting import formatting_copies, formatting_groups
 from claimforge.llm.groups import connected_groups
 from claimforge.llm.leaks import find_leaks
+from claimforge.llm.mixing import mix_documents, mix_shares
 from claimforge.llm.quality import score_quality
 from claimforge.llm.splitting import split_oversized
 from claimforge.sources.tables import table
@@ -60,6 +61,14 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
     return p8_leaks(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.max("share").alias("largest_share"))
 
 
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mix_documents(table(spark, d, "documents", "doc_id", "source", "text"), table(spark, d, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mix_shares(table(spark, d, "documents", "doc_id", "source", "text"), table(spark, d, "mix_targets"))
+
+
 def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
     return score_quality(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "doc_labels", "doc_id", "label"))
 
