@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimforge.llm.canonical import map_to_canonical
 from claimforge.llm.formatting import formatting_copies, formatting_groups
 from claimforge.llm.groups import connected_groups
 from claimforge.llm.leaks import find_leaks
@@ -18,6 +19,27 @@ from claimforge.sources.tables import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def free_values(spark: SparkSession, d: str) -> DataFrame:
+    facts = table(spark, d, "facts", "id", "period", "scope")
+    return facts.select(F.col("id").alias("fact_id"), F.explode(F.array(F.struct(F.lit("period").alias("field"), F.col("period").alias("value")), F.struct(F.lit("scope").alias("field"), F.col("scope").alias("value")))).alias("v")).select("fact_id", "v.field", "v.value")
+
+
+def mapped(spark: SparkSession, d: str) -> DataFrame:
+    """Free-entered values that are no term as they stand; a redelivered fact counts once."""
+    terms = table(spark, d, "ref_terms")
+    typed = free_values(spark, d).join(F.broadcast(terms.select("field", F.col("term").alias("value"))), ["field", "value"], "left_anti")
+    return map_to_canonical(typed, terms, ["fact_id"]).dropDuplicates(["fact_id", "field"])
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return mapped(spark, d).select("fact_id", "field", "term_id")
+
+
+def p1_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """Values that no entry fits, with the number of facts that have them."""
+    return mapped(spark, d).where("term_id = 0").groupBy("field", "value").agg(F.count(F.lit(1)).alias("facts"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return formatting_copies(table(spark, d, "facts", "id", "entity", "attribute", "canonical_statement"), "id", ["entity", "attribute"], ["canonical_statement"])
 
