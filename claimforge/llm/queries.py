@@ -11,6 +11,7 @@ from claimforge.llm.canonical import map_to_canonical
 from claimforge.llm.formatting import formatting_copies, formatting_groups
 from claimforge.llm.groups import connected_groups
 from claimforge.llm.leaks import find_leaks
+from claimforge.llm.lookalikes import to_plain_text
 from claimforge.llm.mixing import mix_documents, mix_shares
 from claimforge.llm.quality import score_quality
 from claimforge.llm.splitting import split_oversized
@@ -57,6 +58,20 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return pieces.where("piece_no = 1").select(F.col("id").alias("chunk_id"))
 
 
+def both_texts(spark: SparkSession, d: str) -> DataFrame:
+    quotes = table(spark, d, "facts", "id", "evidence_quote").select(F.lit("facts").alias("src"), F.col("id").alias("row_id"), F.col("evidence_quote").alias("text"))
+    return quotes.unionByName(table(spark, d, "chunks", "id", "raw_text").select(F.lit("chunks").alias("src"), F.col("id").alias("row_id"), F.col("raw_text").alias("text")))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return to_plain_text(both_texts(spark, d), "text", ["src", "row_id"], changed_only=True).select("src", "row_id").distinct()
+
+
+def p5_text(spark: SparkSession, d: str) -> DataFrame:
+    """Each text in its consistent form; rows delivered twice come out twice."""
+    return to_plain_text(both_texts(spark, d), "text", ["src", "row_id"])
+
+
 def links(spark: SparkSession, d: str) -> DataFrame:
     """Relationships of a linking type, however spelled, between two different facts that exist."""
     kind = F.upper(F.regexp_replace("relation_type", r"^\s*(?i:RelationType\.)?|[^A-Za-z]+", ""))

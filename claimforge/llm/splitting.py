@@ -21,7 +21,7 @@ _ABBREVIATIONS = frozenset("rs ltd pvt inc corp co cr mr mrs ms dr no nos vs app
 #: Boundaries from the strongest to the weakest; a cut lies behind the match.
 _BOUNDARIES = [re.compile(p) for p in (r"\n[^\S\n]*\n\s*", r"\r?\n[^\S\n]*", r"(?<=[.!?。।…])[\"'”’)\]]*\s+", r"(?<=[;:])\s+", r"(?<=,)\s+", r"\s+")]
 _ROWS, _SENTENCE = 1, 2
-_JOINERS = "‌‍︎️"
+_JOINERS = "\u200C\u200D\uFE0E\uFE0F"
 
 
 def _places(text: str) -> list[list[int]]:
@@ -40,7 +40,7 @@ def _places(text: str) -> list[list[int]]:
 
 def _inside(text: str, at: int) -> bool:
     """Whether a cut here would part a character from its marks or joiners."""
-    return 0 < at < len(text) and (unicodedata.category(text[at])[0] == "M" or text[at] in _JOINERS or text[at - 1] == "‍" or text[at - 1 : at + 1] == "\r\n")
+    return 0 < at < len(text) and (unicodedata.category(text[at])[0] == "M" or text[at] in _JOINERS or text[at - 1] == "\u200D" or text[at - 1 : at + 1] == "\r\n")
 
 
 def _nearest(at: list[int], lo: int, hi: int, mid: int) -> int | None:
