@@ -30,19 +30,19 @@ _TO_LATIN = dict(
 #: Letters that look Latin only beside Latin letters.
 _BESIDE_LATIN = _TO_LATIN | dict(zip("ανιρυκχγτ", "avipukxyt", strict=True)) | dict(zip("вкмнтгпЗ", "bkmhtrnZ", strict=True))
 _SUSPICIOUS = (
-    r"[ ­̀-ͯͰ-֏؜Ꭰ-᏿ ᠎ -‏ -  -⁯℀-↏　ﬀ-ﬆ︀-️﻿！-～￠-￦]"
+    r"[\u00A0\u00AD\u0300-\u036F\u0370-\u058F\u061C\u13A0-\u13FF\u1680\u180E\u2000-\u200F\u2028-\u202F\u205F-\u206F\u2100-\u218F\u3000\uFB00-\uFB06\uFE00-\uFE0F\uFEFF\uFF01-\uFF5E\uFFE0-\uFFE6]"
     r"|[\x{1D400}-\x{1D7FF}]"
 )
-_FORM = re.compile("[ℂℊ-ℓℕℙ-ℝℤK-ℭℯ-ℱℳ-ℹⅅ-ⅉⅠ-ⅿﬀ-ﬆ！-～￠￡￥￦;\U0001D400-\U0001D7FF]")
-_INVISIBLE = re.compile("[­͏؜᠎​-‏‪-‮⁠-⁤⁦-⁯︀-️﻿]")
-_SPACE = re.compile("[   -   　]")
-_APART = re.compile("[^\\W\\d_][̀-ͯ]+")
+_FORM = re.compile("[\u2102\u210A-\u2113\u2115\u2119-\u211D\u2124\u212A-\u212D\u212F-\u2131\u2133-\u2139\u2145-\u2149\u2160-\u217F\uFB00-\uFB06\uFF01-\uFF5E\uFFE0\uFFE1\uFFE5\uFFE6\u037E\U0001D400-\U0001D7FF]")
+_INVISIBLE = re.compile("[\u00AD\u034F\u061C\u180E\u200B-\u200F\u202A-\u202E\u2060-\u2064\u2066-\u206F\uFE00-\uFE0F\uFEFF]")
+_SPACE = re.compile("[\u00A0\u1680\u2000-\u200A\u202F\u205F\u3000]")
+_APART = re.compile("[^\\W\\d_][\u0300-\u036F]+")
 _WORD = re.compile(r"[^\W\d_]+")
-_FOREIGN = re.compile("[Ͱ-ϿЀ-ԯ԰-֏Ꭰ-᏿]")
+_FOREIGN = re.compile("[\u0370-\u03FF\u0400-\u052F\u0530-\u058F\u13A0-\u13FF]")
 _RANGES = ((0x41, 0x24F, "Latin"), (0x1E00, 0x1EFF, "Latin"), (0x370, 0x3FF, "Greek"), (0x1F00, 0x1FFF, "Greek"), (0x400, 0x52F, "Cyrillic"), (0x530, 0x58F, "Armenian"), (0x13A0, 0x13FF, "Cherokee"))
 #: Scripts whose words may need joiners and marks of direction.
-_JOINING = re.compile("[֐-෿က-႟ក-៿᠀-᢯\U0001F300-\U0001FAFF☀-➿️]")
-_WIDE = re.compile("[⺀-⿿、-ヿ㄀-鿿가-힯豈-﫿ｦ-ﾟ]")
+_JOINING = re.compile("[\u0590-\u0DFF\u1000-\u109F\u1780-\u17FF\u1800-\u18AF\U0001F300-\U0001FAFF\u2600-\u27BF\uFE0F]")
+_WIDE = re.compile("[\u2E80-\u2FFF\u3001-\u30FF\u3100-\u9FFF\uAC00-\uD7AF\uF900-\uFAFF\uFF66-\uFF9F]")
 
 
 def _script(c: str) -> str:
