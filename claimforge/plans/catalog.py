@@ -6,11 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from claimforge.operators.quantities import same_quantities, to_base_units
+from claimforge.sources.tables import table
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    facts = table(spark, d, "facts", "id", "entity", "attribute", "period", "scope", "value", "unit", "evidence_quote")
+    pairs = same_quantities(facts, table(spark, d, "ref_units"), "id", ["entity", "attribute", "period", "scope"])
+    return pairs.select(pairs.a.alias("fact_a_id"), pairs.b.alias("fact_b_id"))
+
+
+def p7_quantities(spark: SparkSession, d: str) -> DataFrame:
+    """Each fact's quantity in the base unit of its dimension; a redelivered fact counts once."""
+    facts = table(spark, d, "facts", "id", "value", "unit", "evidence_quote")
+    return to_base_units(facts, table(spark, d, "ref_units"), ["id"]).dropDuplicates(["id"])
+
+
 def queries() -> dict[str, Query]:
-    return {}
+    return {"p7_found": p7_found, "p7_quantities": p7_quantities}
 
 
 def oracle_sql() -> dict[str, str]:
