@@ -13,6 +13,7 @@ from claimforge.llm.groups import connected_groups
 from claimforge.llm.leaks import find_leaks
 from claimforge.llm.lookalikes import to_plain_text
 from claimforge.llm.mixing import mix_documents, mix_shares
+from claimforge.llm.names import link_names, name_pairs
 from claimforge.llm.quality import score_quality
 from claimforge.llm.splitting import split_oversized
 from claimforge.sources.tables import table
@@ -41,6 +42,14 @@ def p1_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return mapped(spark, d).where("term_id = 0").groupBy("field", "value").agg(F.count(F.lit(1)).alias("facts"))
 
 
+def p2_entities(spark: SparkSession, d: str) -> DataFrame:
+    return link_names(table(spark, d, "facts", "entity"), "entity")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return name_pairs(p2_entities(spark, d))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return formatting_copies(table(spark, d, "facts", "id", "entity", "attribute", "canonical_statement"), "id", ["entity", "attribute"], ["canonical_statement"])
 
