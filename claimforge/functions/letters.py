@@ -7,7 +7,7 @@ import unicodedata
 
 #: Letters of other scripts that look like Latin ones.
 LOOKALIKES = str.maketrans("аеорсухіјѕАВЕКМНОРСТУХІοΑΒΕΖΗΙΚΜΝΟΡΤΥΧ−–", "aeopcyxijsABEKMHOPCTYXIoABEZHIKMNOPTYX--")
-_INVISIBLE = re.compile("[­​-‏⁠-⁤﻿]")
+_INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060-\u2064\ufeff]")
 
 
 def readable(text: str) -> str:

@@ -4,29 +4,340 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from claimforge.functions import claims as C
+from claimforge.operators import adjudicate, chunking, evaluation, grounding, ledger, reconcile, similarity
 from claimforge.operators.quantities import same_quantities, to_base_units
-from claimforge.sources.tables import table
+from claimforge.plans.oracle import SQL
+from claimforge.sources.tables import once, table
+from claimforge.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
+_REGISTERED: dict[str, Query] = {}
+_ROUTES = ["deterministic_exact", "deterministic_rounding"]
 
 
+def query(f: Query) -> Query:
+    _REGISTERED[f.__name__] = f
+    return f
+
+
+def facts(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return once(table(spark, d, "facts", *(("id", *columns) if columns else ())))
+
+
+def relationships(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return once(table(spark, d, "relationships", *(("id", *columns) if columns else ())))
+
+
+def chunks(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return once(table(spark, d, "chunks", *(("id", *columns) if columns else ())))
+
+
+def uploads(spark: SparkSession, d: str) -> DataFrame:
+    return once(table(spark, d, "uploads"))
+
+
+def aligned(spark: SparkSession, d: str) -> DataFrame:
+    held = facts(spark, d, "document_id", "entity", "attribute", "value", "unit", "period", "scope", "qualifiers", "confidence")
+    return reconcile.alignment(reconcile.pair_claims(relationships(spark, d, "fact_a_id", "fact_b_id"), held))
+
+
+def _hash() -> Column:
+    return C.content_hash(*(F.col(c) for c in ("document_id", "entity", "attribute", "period", "scope", "value")))
+
+
+@query
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    facts = table(spark, d, "facts", "id", "entity", "attribute", "period", "scope", "value", "unit", "evidence_quote")
-    pairs = same_quantities(facts, table(spark, d, "ref_units"), "id", ["entity", "attribute", "period", "scope"])
+    held = table(spark, d, "facts", "id", "entity", "attribute", "period", "scope", "value", "unit", "evidence_quote")
+    pairs = same_quantities(held, table(spark, d, "ref_units"), "id", ["entity", "attribute", "period", "scope"])
     return pairs.select(pairs.a.alias("fact_a_id"), pairs.b.alias("fact_b_id"))
 
 
+@query
 def p7_quantities(spark: SparkSession, d: str) -> DataFrame:
     """Each fact's quantity in the base unit of its dimension; a redelivered fact counts once."""
-    facts = table(spark, d, "facts", "id", "value", "unit", "evidence_quote")
-    return to_base_units(facts, table(spark, d, "ref_units"), ["id"]).dropDuplicates(["id"])
+    return once(to_base_units(table(spark, d, "facts", "id", "value", "unit", "evidence_quote"), table(spark, d, "ref_units"), ["id"]))
+
+
+@query
+def normalize_text_quotes(spark: SparkSession, d: str) -> DataFrame:
+    return facts(spark, d, "evidence_quote").select("id", C.normalize_text(F.col("evidence_quote")).alias("quote"))
+
+
+@query
+def normalize_metric_names(spark: SparkSession, d: str) -> DataFrame:
+    return facts(spark, d, "entity", "attribute").select("id", *(C.normalize_metric(F.col(c)).alias(c) for c in ("entity", "attribute")))
+
+
+@query
+def normalize_units(spark: SparkSession, d: str) -> DataFrame:
+    return facts(spark, d, "unit").groupBy(C.normalize_unit(F.col("unit")).alias("unit_key")).agg(F.count(F.lit(1)).alias("facts"), F.count_distinct("unit").alias("spellings"))
+
+
+@query
+def extract_numeric_values(spark: SparkSession, d: str) -> DataFrame:
+    v = F.col("value")
+    return facts(spark, d, "value").select("id", C.numeric(v).cast("double").alias("number"), C.decimals(v).alias("decimals"))
+
+
+@query
+def numeric_tolerance_pairs(spark: SparkSession, d: str) -> DataFrame:
+    a, b = F.col("a.value"), F.col("b.value")
+    pairs = reconcile.pair_claims(relationships(spark, d, "fact_a_id", "fact_b_id"), facts(spark, d, *reconcile.FIELDS[1:]))
+    return pairs.select("id", C.numeric_diff(a, b).cast("double").alias("diff"), C.values_close(a, b).alias("is_close"))
+
+
+@query
+def content_hash_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return grounding.first_by_hash(facts(spark, d, "document_id", "entity", "attribute", "period", "scope", "value", "created_at"), _hash())
+
+
+@query
+def document_sha256_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents", "doc_id", "text").groupBy(F.sha2("text", 256).alias("text_hash")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+
+
+@query
+def canonical_statements(spark: SparkSession, d: str) -> DataFrame:
+    held = facts(spark, d, "entity", "attribute", "period", "scope", "value", "unit", "canonical_statement")
+    built = C.canonical_statement(*(F.col(c) for c in ("entity", "attribute", "period", "scope", "value", "unit")))
+    return held.select("id", built.alias("statement"), F.coalesce(built == F.col("canonical_statement"), F.lit(False)).alias("as_stored"))
+
+
+@query
+def doc_type_guess(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents", "doc_id", "text").select("doc_id", C.document_type(F.col("text")).alias("doc_type"))
+
+
+@query
+def boilerplate_filter(spark: SparkSession, d: str) -> DataFrame:
+    return chunks(spark, d, "raw_text").select("id", C.boilerplate(F.col("raw_text")).alias("is_boilerplate"))
+
+
+@query
+def paragraph_offsets(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.paragraphs(chunks(spark, d, "raw_text"), "id", "raw_text")
+
+
+@query
+def table_markdown(spark: SparkSession, d: str) -> DataFrame:
+    rows = F.transform(F.split("raw_text", "\n"), lambda r: F.split(r, r" \| "))
+    return chunks(spark, d, "page_number", "raw_text", "is_table").where("is_table").select("id", chunking.table_markdown(rows, F.col("page_number")).alias("markdown"))
+
+
+@query
+def chunk_coalesce(spark: SparkSession, d: str) -> DataFrame:
+    packed = chunking.pack_fragments(chunks(spark, d, "document_id", "page_number", "raw_text"), ["document_id", "page_number"], ["id"], "raw_text")
+    return packed.select("document_id", "page_number", "chunk_no", "n_fragments", F.length("chunk_text").alias("n_chars"), F.md5("chunk_text").alias("chunk_hash"))
+
+
+@query
+def chunk_loss_check(spark: SparkSession, d: str) -> DataFrame:
+    held = chunks(spark, d, "document_id", "page_number", "raw_text")
+    packed = chunking.pack_fragments(held, ["document_id", "page_number"], ["id"], "raw_text")
+    before = held.groupBy("document_id").agg(F.count(F.lit(1)).alias("fragments"), F.sum(F.length("raw_text")).alias("chars_before"))
+    after = packed.groupBy("document_id").agg(F.count(F.lit(1)).alias("packed"), F.sum(F.length("chunk_text") - 2 * (F.col("n_fragments") - 1)).alias("chars_after"))
+    return before.join(after, "document_id")
+
+
+@query
+def low_text_pages(spark: SparkSession, d: str) -> DataFrame:
+    pages = chunks(spark, d, "document_id", "page_number", "raw_text", "image_ref").groupBy("document_id", "page_number")
+    seen = pages.agg(F.sum(F.length("raw_text")).alias("chars"), F.count("image_ref").alias("images"))
+    return seen.where((F.col("chars") < 80) & (F.col("images") > 0))
+
+
+@query
+def quote_grounding(spark: SparkSession, d: str) -> DataFrame:
+    return grounding.ground(facts(spark, d, "chunk_id", "confidence", "evidence_quote", "qualifiers"), chunks(spark, d, "raw_text"))
+
+
+@query
+def grounding_filter_dedup(spark: SparkSession, d: str) -> DataFrame:
+    held = facts(spark, d, "chunk_id", "confidence", "evidence_quote", "qualifiers", "document_id", "entity", "attribute", "period", "scope", "value", "created_at")
+    valid = grounding.ground(held, chunks(spark, d, "raw_text")).where("is_valid").select("id")
+    return grounding.first_by_hash(held.join(valid, "id", "left_semi"), _hash())
+
+
+@query
+def overlap_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return aligned(spark, d).select("id", "entity_match", "attribute_match")
+
+
+@query
+def pair_alignment(spark: SparkSession, d: str) -> DataFrame:
+    return aligned(spark, d).select("id", "entity_match", "attribute_match", "has_period_a", "has_period_b", "period_match", "has_scope_a", "has_scope_b", "scope_match", "has_unit_a", "has_unit_b", "unit_match", "value_close")
+
+
+@query
+def reconcile_cascade(spark: SparkSession, d: str) -> DataFrame:
+    return reconcile.with_fallback(reconcile.cascade(aligned(spark, d))).select("id", "relation_type", "decision_route", "review_reason", "decision_confidence")
+
+
+@query
+def reconcile_route_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return reconcile_cascade(spark, d).groupBy("relation_type", "decision_route", "review_reason").agg(F.count(F.lit(1)).alias("pairs"))
+
+
+@query
+def comparison_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    s = reconcile.snapshot(aligned(spark, d))
+    missing = reconcile.missing_sides(F.col("snapshot.alignment.has_period_a"), F.col("snapshot.alignment.has_period_b"))
+    return s.select("id", F.col("snapshot.fact_a.value").alias("value_a"), F.col("snapshot.fact_b.value").alias("value_b"), F.col("snapshot.alignment.unit_match").alias("unit_match"), missing.alias("period_missing"), F.col("snapshot.tolerance.relative").alias("relative"))
+
+
+@query
+def adjudication_residue(spark: SparkSession, d: str) -> DataFrame:
+    return reconcile.cascade(aligned(spark, d)).where("relation_type is null").select("id")
+
+
+@query
+def adjudicated_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return adjudicate.adjudicate(reconcile.cascade(aligned(spark, d)), adjudicate.scope_judge)
+
+
+@query
+def extracted_amounts(spark: SparkSession, d: str) -> DataFrame:
+    return adjudicate.extract_claims(chunks(spark, d, "raw_text"))
+
+
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("seq"), "embedding")
+
+
+@query
+def vector_topk(spark: SparkSession, d: str) -> DataFrame:
+    rows = _vectors(spark, d)
+    return similarity.top_k(rows.where("id % 100 = 0"), rows, threshold=0.30)
+
+
+@query
+def vector_topk_incremental(spark: SparkSession, d: str) -> DataFrame:
+    rows = _vectors(spark, d)
+    return similarity.top_k(rows.where("id % 100 = 0"), rows, threshold=0.20, visible=True)
+
+
+@query
+def vector_index_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Share of the exact neighbours of the query set that the index finds."""
+    rows = _vectors(spark, d)
+    asked = rows.where("id % 100 = 0")
+    exact = similarity.top_k(asked, rows, threshold=-1.0).select("query_id", "cand_id")
+    got = similarity.indexed_top_k(asked, rows).select("query_id", "cand_id", F.lit(1).alias("hit"))
+    return exact.join(got, ["query_id", "cand_id"], "left").agg(F.count(F.lit(1)).alias("neighbours"), F.count("hit").alias("found"))
+
+
+@query
+def unordered_pair_dedup(spark: SparkSession, d: str) -> DataFrame:
+    rel = relationships(spark, d, "fact_a_id", "fact_b_id", "relation_type")
+    known = ledger.relation_kind(F.col("relation_type")) == "CORROBORATES"
+    return ledger.new_pairs(rel.where(~known), rel.where(known), "fact_a_id", "fact_b_id")
+
+
+@query
+def list_facts_filtered(spark: SparkSession, d: str) -> DataFrame:
+    found = ledger.list_facts(facts(spark, d), chunks(spark, d), uploads(spark, d), entity="insurance", attribute="debt")
+    return found.select("id", "entity", "attribute", "value", "unit", "qualifiers", "page_number", "filename")
+
+
+@query
+def relationship_hydrated(spark: SparkSession, d: str) -> DataFrame:
+    out = ledger.hydrate(relationships(spark, d, "fact_a_id", "fact_b_id"), facts(spark, d), chunks(spark, d, "page_number"), uploads(spark, d))
+    return out.select("id", *(f"{c}_{s}" for c in ("entity", "value", "page_number", "filename") for s in "ab"))
+
+
+@query
+def relationships_by_filter(spark: SparkSession, d: str) -> DataFrame:
+    rel = relationships(spark, d, "fact_a_id", "fact_b_id", "relation_type", "decision_route", "review_reason", "created_at")
+    out = ledger.list_relationships(rel, facts(spark, d), chunks(spark, d, "page_number"), uploads(spark, d), kind="CORROBORATES", routes=_ROUTES, search="cement", limit=200)
+    return out.select("id", "relation_type", "decision_route", "entity_a", "entity_b", "filename_a")
+
+
+@query
+def document_list_status(spark: SparkSession, d: str) -> DataFrame:
+    return ledger.document_counts(uploads(spark, d), facts(spark, d, "document_id"), relationships(spark, d, "fact_a_id", "fact_b_id"))
+
+
+@query
+def top3_per_type(spark: SparkSession, d: str) -> DataFrame:
+    return ledger.newest_per_type(relationships(spark, d, "relation_type", "created_at"))
+
+
+@query
+def ledger_kpis(spark: SparkSession, d: str) -> DataFrame:
+    return ledger.summary(uploads(spark, d), facts(spark, d, "document_id"), relationships(spark, d, "relation_type", "decision_route"))
+
+
+@query
+def chunk_status_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return ledger.chunk_outcomes(chunks(spark, d, "document_id", "extraction_status"), facts(spark, d, "document_id"))
+
+
+@query
+def upload_decision_table(spark: SparkSession, d: str) -> DataFrame:
+    held = uploads(spark, d)
+    arrivals = table(spark, d, "uploads").groupBy("id").agg(F.min("content_hash").alias("content_hash")).select(F.col("id").alias("upload_id"), "content_hash")
+    return ledger.upload_decisions(arrivals, held.where("upload_ts < timestamp'2025-07-01'"))
+
+
+@query
+def purge_failed(spark: SparkSession, d: str) -> DataFrame:
+    gone = uploads(spark, d).where("upper(status) = 'FAILED'")
+    return ledger.purge(gone, facts(spark, d, "document_id"), chunks(spark, d, "document_id"), relationships(spark, d, "fact_a_id", "fact_b_id"))
+
+
+@query
+def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
+    return ledger.latest(table(spark, d, "events", "event_id", "ts", "user_id", "event_type", "value"), "user_id", ["ts", "event_id"])
+
+
+@query
+def eval_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """The cascade's verdicts against the recorded ones."""
+    recorded = relationships(spark, d, "relation_type", "decision_route").select("id", ledger.relation_kind(F.col("relation_type")).alias("expected_relation"), F.col("decision_route").alias("expected_route"))
+    never = F.when(F.col("expected_relation") == "NEEDS_REVIEW", F.array(F.lit("CORROBORATES"), F.lit("CONTRADICTS"))).when(F.col("expected_relation") == "UNRELATED", F.array(F.lit("CORROBORATES"))).otherwise(F.expr("cast(array() as array<string>)"))
+    got = reconcile_cascade(spark, d).select("id", F.col("relation_type").alias("actual_relation"), F.col("decision_route").alias("actual_route"))
+    return evaluation.metrics(recorded.withColumn("must_not_be", never).join(got, "id"))
+
+
+@query
+def json_qualifier_truthiness(spark: SparkSession, d: str) -> DataFrame:
+    q = F.col("qualifiers")
+    vision = F.coalesce(F.get_json_object(q, "$.extraction_path") == "vision", F.lit(False))
+    return facts(spark, d, "qualifiers").select("id", C.truthy(q, "header_uncertain").alias("header_uncertain"), vision.alias("from_vision"))
+
+
+@query
+def error_class_backoff(spark: SparkSession, d: str) -> DataFrame:
+    kind = C.error_class(F.col("error_message"))
+    wait = F.try_to_number(F.nullif(F.regexp_extract(F.lower("error_message"), r"try again in ([\d.]+)s", 1), F.lit("")), F.lit("9999.99")).cast("double")
+    rows = uploads(spark, d).where("error_message is not null").select("id", kind.alias("kind"), wait.alias("wait"), F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("attempt"))
+    return rows.select("id", "kind", "attempt", C.backoff_seconds(F.col("kind"), F.col("attempt"), F.col("wait")).alias("seconds"))
+
+
+@query
+def status_lookup(spark: SparkSession, d: str) -> DataFrame:
+    status = F.upper(F.trim("status"))
+    known = ["QUEUED", "CHUNKING", "EXTRACTING", "RECONCILING", "DONE", "DONE_EMPTY", "FAILED"]
+    return uploads(spark, d).groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("uploads"), F.count_if(~status.isin(known)).alias("unknown"))
+
+
+@query
+def stream_fact_counts(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.stream_fact_counts(spark, f"{d}/facts.parquet")
+
+
+@query
+def stream_event_windows(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.stream_windows(spark, f"{d}/events.parquet", "ts", "event_type")
 
 
 def queries() -> dict[str, Query]:
-    return {"p7_found": p7_found, "p7_quantities": p7_quantities}
+    return dict(_REGISTERED)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for k, v in SQL.items() if k in _REGISTERED}
