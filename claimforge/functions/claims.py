@@ -112,7 +112,8 @@ def canonical_statement(entity: Column, attribute: Column, period: Column, scope
 def truthy(qualifiers: Column, field: str) -> Column:
     """Whether a field of a JSON text is neither absent, null, false, zero, blank nor empty; a text 'false' is true."""
     v = F.get_json_object(qualifiers, f"$.{field}")
-    return F.coalesce(~v.isin("", "false", "0", "0.0", "[]", "{}", "null"), F.lit(False))
+    text = F.schema_of_variant(F.try_variant_get(F.try_parse_json(qualifiers), f"$.{field}", "variant")) == "STRING"
+    return F.coalesce(F.when(F.coalesce(text, F.lit(False)), v != "").otherwise(~v.isin("", "false", "0", "0.0", "[]", "{}", "null")), F.lit(False))
 
 
 def overlap(a: Column, b: Column, stop_words: list[str], clusters: list[list[str]] | None = None) -> Column:

@@ -60,8 +60,10 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = 4, threshold: float = 0.
         held.append(tuple(r))
         if len(held) == block:
             found, held = search(held) if found is None else found.unionByName(search(held)), []
-    if held or found is None:
+    if held:
         found = search(held) if found is None else found.unionByName(search(held))
+    if found is None:
+        found = spark.createDataFrame([], "query_id bigint, cand_id bigint, score double")
     return _best(found, k)
 
 

@@ -62,7 +62,7 @@ def _overlap(a: str, b: str, stop: list[str], clusters: list[list[str]]) -> str:
     return f"({a} <> '' AND {b} <> '' AND ({same}))"
 
 
-_TRUTHY = "coalesce(json_extract_string({0}.qualifiers, '$.header_uncertain') NOT IN ('', 'false', '0', '0.0', '[]', '{{}}', 'null'), false)"
+_TRUTHY = "coalesce(CASE WHEN json_type({0}.qualifiers, '$.header_uncertain') = 'VARCHAR' THEN json_extract_string({0}.qualifiers, '$.header_uncertain') <> '' ELSE json_extract_string({0}.qualifiers, '$.header_uncertain') NOT IN ('', 'false', '0', '0.0', '[]', '{{}}', 'null') END, false)"
 _NORM = f"""n AS (SELECT id, document_id, value, unit, confidence, qualifiers, {_metric('entity')} e, {_metric('attribute')} t, {_metric('period')} p, {_metric('scope')} s, {_unit('unit')} un,
   {_decimal('value')} num, {_decimals('value')} dec, {_strip("lower(coalesce(value, ''))")} txt FROM f)"""
 _ALIGNED = f"""WITH {_F}, {_NORM}, al AS (SELECT r.id,
