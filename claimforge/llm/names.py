@@ -169,9 +169,12 @@ def _cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _halves(core: Column) -> Column:
-    """Shard keys: one edit leaves the first or the last half of the shorter of two cores whole."""
+    """Shard keys: one edit leaves the first or the last half of the shorter of two cores whole.
+
+    Halves leave out the middle, where letters may be exchanged; cores of up to three letters all meet.
+    """
     n = F.length(core)
-    sizes = F.array_distinct(F.array(F.greatest(F.floor(n / 2), F.lit(1)), F.greatest(F.floor((n - 1) / 2), F.lit(1))))
+    sizes = F.array_distinct(F.array(F.greatest(F.floor((n - 1) / 2), F.lit(0)), F.greatest(F.floor((n - 2) / 2), F.lit(0))))
     first = F.transform(sizes, lambda k: F.concat(F.lit("<"), F.substring(core, F.lit(1), k.cast("int"))))
     last = F.transform(sizes, lambda k: F.concat(F.lit(">"), F.substring(core, (n - k + 1).cast("int"), k.cast("int"))))
     return F.concat(first, last)
