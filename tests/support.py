@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 import duckdb
+import pandas as pd
 
 
 def views(folder: str) -> duckdb.DuckDBPyConnection:
@@ -16,7 +17,7 @@ def views(folder: str) -> duckdb.DuckDBPyConnection:
 
 
 def _plain(v):
-    if v is None or v != v:
+    if v is None or pd.api.types.is_scalar(v) and pd.isna(v):
         return None
     if hasattr(v, "isoformat"):
         return v.replace(tzinfo=None).isoformat()
