@@ -1,5 +1,9 @@
 """SQL that states what queries of the subpackage must give, where SQL can."""
 
 SQL: dict[str, str] = {
+    "p6_found": """WITH RECURSIVE f AS (SELECT DISTINCT id FROM facts), l AS (SELECT fact_a_id a, fact_b_id b FROM relationships
+ WHERE upper(regexp_replace(regexp_replace(relation_type, '(?i)^\\s*relationtype\\.', ''), '[^A-Za-z]+', '', 'g')) IN ('CORROBORATES', 'RECONCILED') AND fact_a_id <> fact_b_id AND fact_a_id IN (SELECT id FROM f) AND fact_b_id IN (SELECT id FROM f)),
+ e AS (SELECT a, b FROM l UNION SELECT b, a FROM l), g AS (SELECT DISTINCT a v, a w FROM e UNION SELECT g.v, e.b FROM g JOIN e ON e.a = g.w), m AS (SELECT v, min(w) k FROM g GROUP BY v)
+ SELECT k AS group_id, v AS fact_id FROM m WHERE k <> v""",
     "p4_found": "SELECT DISTINCT id AS chunk_id FROM chunks WHERE length(raw_text) > 2400",
 }
