@@ -106,3 +106,35 @@ def snapshot(aligned: DataFrame) -> DataFrame:
     found = F.struct("entity_match", "attribute_match", "has_period_a", "has_period_b", "period_match", "has_scope_a", "has_scope_b", "scope_match", "has_unit_a", "has_unit_b", "unit_match", "value_close", F.col("value_diff").cast("string").alias("value_diff"))
     tolerance = F.struct(F.lit(0.005).alias("relative"), F.lit(1.0).alias("absolute"))
     return aligned.withColumn("snapshot", F.struct(F.col("a").alias("fact_a"), F.col("b").alias("fact_b"), found.alias("alignment"), tolerance.alias("tolerance")))
+
+
+def explanation(decided: DataFrame) -> Column:
+    """A sentence on why a pair was decided as it was."""
+    c = F.col
+    said = lambda side: F.concat_ws(" ", c(f"{side}.value"), F.nullif(F.coalesce(c(f"{side}.unit"), F.lit("")), F.lit("")))
+    about = F.concat(F.coalesce(c("a.attribute"), F.lit("")), F.lit(" of "), F.coalesce(c("a.entity"), F.lit("")))
+    return (
+        F.when(c("decision_route") == "irrelevant_pre_filter", F.concat(F.lit("Different subjects: "), about, F.lit(" and "), F.coalesce(c("b.attribute"), F.lit("")), F.lit(" of "), F.coalesce(c("b.entity"), F.lit(""))))
+        .when(c("relation_type") == "CORROBORATES", F.concat(F.lit("Both state "), about, F.lit(" ("), F.coalesce(F.nullif(c("a.scope"), F.lit("")), F.lit("standard")), F.lit(") as "), said("a"), F.when(c("decision_route") == "deterministic_exact", "").otherwise(F.concat(F.lit(", within rounding of "), said("b")))))
+        .when(c("review_reason") == "missing_period", F.concat(F.lit("No period on "), missing_sides(c("has_period_a"), c("has_period_b"))))
+        .when(c("review_reason") == "missing_scope_or_basis", F.concat(said("a"), F.lit(" against "), said("b"), F.lit(": no scope on "), missing_sides(c("has_scope_a"), c("has_scope_b"))))
+        .when(c("review_reason") == "unit_ambiguity", F.concat(F.lit("Units differ: "), said("a"), F.lit(" and "), said("b")))
+        .when(c("review_reason") == "header_context_uncertain", F.lit("The header or the extraction is uncertain"))
+        .otherwise(F.lit("No rule applies"))
+    )
+
+
+def alignment_matrix(aligned: DataFrame, key: str) -> DataFrame:
+    """(key, dimension, status): one row for each of the six dimensions on which a pair is compared."""
+    c = F.col
+    passed = lambda ok, other: F.when(ok, "PASS").otherwise(other)
+    sided = lambda f, other: F.when(~(c(f"has_{f}_a") & c(f"has_{f}_b")), "BLOCKED").otherwise(passed(c(f"{f}_match"), other))
+    statuses = {
+        "entity": passed(c("entity_match"), "MISMATCH"),
+        "attribute": passed(c("attribute_match"), "MISMATCH"),
+        "period": sided("period", "DIFFERENT PERIODS"),
+        "scope": sided("scope", "DIFFERENT SCOPES"),
+        "unit": passed(c("unit_match"), "BLOCKED"),
+        "value": passed(c("value_close"), "MATERIAL DIFFERENCE"),
+    }
+    return aligned.select(key, F.explode(F.array(*(F.struct(F.lit(k).alias("dimension"), v.alias("status")) for k, v in statuses.items()))).alias("_m")).select(key, "_m.dimension", "_m.status")

@@ -28,11 +28,13 @@ def _best(found: DataFrame, k: int) -> DataFrame:
 def top_k(queries: DataFrame, rows: DataFrame, k: int = 4, threshold: float = 0.76, visible: bool = False, block: int = 2000) -> DataFrame:
     """(query_id, cand_id, score, rank): for each query the k most similar other rows of at least the threshold.
 
-    Both tables have (id, seq, embedding). With ``visible`` a query meets only rows of a seq not beyond its own. Scores
+    Both tables have (id, seq, embedding); ids are numbers or texts. With ``visible`` a query meets only rows of a seq not beyond its own. Scores
     are rounded to six decimals, ties go to the smaller id. Null and empty vectors match nothing; vectors must be of
     one length.
     """
     spark, found, held = rows.sparkSession, None, []
+    kind = dict(rows.dtypes)["id"]
+    schema = f"query_id {kind}, cand_id {kind}, score double"
 
     def search(part: list[tuple]) -> DataFrame:
         ids, seqs = np.array([p[0] for p in part]), np.array([p[1] for p in part])
@@ -41,9 +43,9 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = 4, threshold: float = 0.
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             qid, qseq, q = shared.value
             for batch in batches:
-                rid, rseq = np.array(batch.column(0)), np.array(batch.column(1))
-                if not len(rid):
+                if not batch.num_rows:
                     continue
+                rid, rseq = np.array(batch.column(0).to_pylist()), np.array(batch.column(1).to_pylist())
                 score = np.round(q @ _unit(batch.column(2).to_pylist()).T, 6)
                 score[qid[:, None] == rid[None, :]] = -2
                 if visible:
@@ -54,7 +56,7 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = 4, threshold: float = 0.
                 i, j = np.nonzero(best > -2)
                 yield pa.record_batch([pa.array(qid[i]), pa.array(rid[order[i, j]]), pa.array(best[i, j])], names=["query_id", "cand_id", "score"])
 
-        return rows.select("id", "seq", "embedding").where("size(embedding) > 0").mapInArrow(compare, "query_id bigint, cand_id bigint, score double")
+        return rows.select("id", "seq", "embedding").where("size(embedding) > 0").mapInArrow(compare, schema)
 
     for r in queries.select("id", "seq", "embedding").where("size(embedding) > 0").toLocalIterator():
         held.append(tuple(r))
@@ -63,7 +65,7 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = 4, threshold: float = 0.
     if held:
         found = search(held) if found is None else found.unionByName(search(held))
     if found is None:
-        found = spark.createDataFrame([], "query_id bigint, cand_id bigint, score double")
+        found = spark.createDataFrame([], schema)
     return _best(found, k)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimforge.functions import claims as C
-from claimforge.operators import adjudicate, chunking, evaluation, grounding, ledger, reconcile, similarity
+from claimforge.operators import adjudicate, chunking, embedding, evaluation, grounding, ledger, reconcile, similarity
 from claimforge.operators.quantities import same_quantities, to_base_units
 from claimforge.plans.oracle import SQL
 from claimforge.sources.tables import once, table
@@ -189,6 +189,17 @@ def comparison_snapshot(spark: SparkSession, d: str) -> DataFrame:
     return s.select("id", F.col("snapshot.fact_a.value").alias("value_a"), F.col("snapshot.fact_b.value").alias("value_b"), F.col("snapshot.alignment.unit_match").alias("unit_match"), missing.alias("period_missing"), F.col("snapshot.tolerance.relative").alias("relative"))
 
 
+@query
+def alignment_labels(spark: SparkSession, d: str) -> DataFrame:
+    return reconcile.alignment_matrix(aligned(spark, d), "id")
+
+
+@query
+def pair_explanations(spark: SparkSession, d: str) -> DataFrame:
+    decided = reconcile.with_fallback(reconcile.cascade(aligned(spark, d)))
+    return decided.select("id", "decision_route", reconcile.explanation(decided).alias("explanation"))
+
+
 @query
 def adjudication_residue(spark: SparkSession, d: str) -> DataFrame:
     return reconcile.cascade(aligned(spark, d)).where("relation_type is null").select("id")
@@ -230,6 +241,20 @@ def vector_index_recall(spark: SparkSession, d: str) -> DataFrame:
     return exact.join(got, ["query_id", "cand_id"], "left").agg(F.count(F.lit(1)).alias("neighbours"), F.count("hit").alias("found"))
 
 
+@query
+def fact_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Candidate pairs of facts by their statements' vectors: a hundredth of the facts, by hash, against all of them.
+
+    The top four are taken before facts of the same document are left out.
+    """
+    held = facts(spark, d, "document_id", "canonical_statement")
+    rows = embedding.embed(held, "id", "canonical_statement", embedding.hashing_model()).withColumn("seq", F.lit(0))
+    near = similarity.top_k(rows.where("pmod(xxhash64(id), 100) = 0"), rows)
+    of = held.select("id", "document_id")
+    both = near.join(of.select(F.col("id").alias("query_id"), F.col("document_id").alias("a")), "query_id").join(of.select(F.col("id").alias("cand_id"), F.col("document_id").alias("b")), "cand_id")
+    return both.where("a <> b").select("query_id", "cand_id", "score")
+
+
 @query
 def unordered_pair_dedup(spark: SparkSession, d: str) -> DataFrame:
     rel = relationships(spark, d, "fact_a_id", "fact_b_id", "relation_type")

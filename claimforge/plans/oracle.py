@@ -121,6 +121,9 @@ SQL: dict[str, str] = {
     "reconcile_cascade": f"{_VERDICTS} SELECT * FROM d",
     "reconcile_route_histogram": f"{_VERDICTS} SELECT relation_type, decision_route, review_reason, count(*) AS pairs FROM d GROUP BY ALL",
     "comparison_snapshot": f"{_ALIGNED} SELECT id, value_a, value_b, unit_match, CASE WHEN has_period_a AND has_period_b THEN '' WHEN has_period_a THEN 'Fact B' WHEN has_period_b THEN 'Fact A' ELSE 'Fact A and Fact B' END AS period_missing, 0.005::DOUBLE AS relative FROM al",
+    "alignment_labels": f"""{_ALIGNED} SELECT id, m.d AS dimension, m.s AS status FROM (SELECT id, unnest([{{'d': 'entity', 's': CASE WHEN entity_match THEN 'PASS' ELSE 'MISMATCH' END}}, {{'d': 'attribute', 's': CASE WHEN attribute_match THEN 'PASS' ELSE 'MISMATCH' END}},
+ {{'d': 'period', 's': CASE WHEN NOT (has_period_a AND has_period_b) THEN 'BLOCKED' WHEN period_match THEN 'PASS' ELSE 'DIFFERENT PERIODS' END}}, {{'d': 'scope', 's': CASE WHEN NOT (has_scope_a AND has_scope_b) THEN 'BLOCKED' WHEN scope_match THEN 'PASS' ELSE 'DIFFERENT SCOPES' END}},
+ {{'d': 'unit', 's': CASE WHEN unit_match THEN 'PASS' ELSE 'BLOCKED' END}}, {{'d': 'value', 's': CASE WHEN value_close THEN 'PASS' ELSE 'MATERIAL DIFFERENCE' END}}]) m FROM al)""",
     "adjudication_residue": f"{_ALIGNED}{_RULES} SELECT id FROM v WHERE rule = 8",
     "vector_topk": _TOPK.format(_COSINE, "", 0.30),
     "vector_topk_incremental": _TOPK.format(_COSINE, "AND x.label <= q.label", 0.20),

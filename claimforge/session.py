@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -40,12 +42,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_written: list[Scratch] = []
+
+
+@atexit.register
+def _clear() -> None:
+    """Scratch tables go when the program ends; results may read them until then."""
+    for scratch in _written:
+        with contextlib.suppress(Exception):
+            scratch.drop("")
+
+
 class Scratch:
     """Tables written once to the shared folder: they cut lineage, are computed once and survive lost executors."""
 
     def __init__(self, spark: SparkSession, purpose: str):
         self.spark = spark
         self.base = f"{shared_dir(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+        _written.append(self)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.base}/{name}"
@@ -54,5 +68,5 @@ class Scratch:
 
     def drop(self, name: str) -> None:
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}".rstrip("/"))
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
