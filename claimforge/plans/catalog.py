@@ -355,6 +355,11 @@ def stream_fact_counts(spark: SparkSession, d: str) -> DataFrame:
     return ingest.stream_fact_counts(spark, f"{d}/facts.parquet")
 
 
+@query
+def stream_fact_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.stream_candidates(spark, f"{d}/facts.parquet", embedding.hashing_model())
+
+
 @query
 def stream_event_windows(spark: SparkSession, d: str) -> DataFrame:
     return ingest.stream_windows(spark, f"{d}/events.parquet", "ts", "event_type")

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimforge.operators.embedding import embed
+from claimforge.operators.similarity import top_k
 from claimforge.session import Scratch
 
 
@@ -45,3 +50,28 @@ def stream_windows(spark: SparkSession, path: str, time: str, kind: str, width:
     return spark.read.parquet(f"{scratch.base}/windows")
 
 
+
+
+def stream_candidates(spark: SparkSession, path: str, model: Callable[[list[str]], np.ndarray], every: int = 100, k: int = 4, threshold: float = 0.76) -> DataFrame:
+    """(query_id, cand_id, score): facts as they arrive, matched against all that has arrived by then.
+
+    Each batch adds its new facts to the index and then looks up those among them whose hash is divisible by ``every``, so
+    a fact sees earlier ones and its own batch. A batch writes under its own number: one that is run again
+    replaces what it wrote, so each counts once.
+    """
+    scratch = Scratch(spark, "stream")
+    index = "id string, seq int, embedding array<double>"
+
+    def match(batch: DataFrame, number: int) -> None:
+        fresh = batch.dropDuplicates(["id"])
+        before = [f"{scratch.base}/index/{n}" for n in range(number)]
+        if before:
+            fresh = fresh.join(spark.read.schema(index).parquet(*before).select("id"), "id", "left_anti")
+        added = scratch.write(embed(fresh, "id", "canonical_statement", model).withColumn("seq", F.lit(number)).select("id", "seq", "embedding"), f"index/{number}")
+        held = spark.read.schema(index).parquet(*before, f"{scratch.base}/index/{number}")
+        scratch.write(top_k(added.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0), held, k, threshold), f"found/{number}")
+
+    rows = stream_table(spark, path, 1).select("id", "canonical_statement")
+    query = rows.writeStream.foreachBatch(match).option("checkpointLocation", f"{scratch.base}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema("query_id string, cand_id string, score double").option("recursiveFileLookup", "true").parquet(f"{scratch.base}/found")
