@@ -16,6 +16,7 @@ whatever the number of items; documents are read and compared where they are, wi
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -25,6 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimforge.functions.worker import kept
+
 _WORD = re.compile(r"[^\W_]+")
 _BITS = 64
 
@@ -47,16 +50,15 @@ class LeakIndex:
 
     def __init__(self, items: list[tuple[int, str]], window: int, radius: int, least_share: float, least_run: int):
         self.window, self.radius, self.least_share, self.least_run = window, radius, least_share, least_run
-        self.vocabulary: dict[str, int] = {}
         self.items = [(key, _WORD.findall(text.lower())) for key, text in items]
         self.items = [(key, words) for key, words in self.items if words]
+        vocabulary = {w: k for k, w in enumerate(dict.fromkeys(w for _, words in self.items for w in words))}
+        signs = np.array([_bits(w) for w in vocabulary]) if vocabulary else np.zeros((0, _BITS), np.int8)
         prints, owners = [], []
         for k, (_, words) in enumerate(self.items):
             if len(words) < window:  # an item shorter than the window is one window of its own words
                 words = (words * window)[:window]
-            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words])
-            signs = np.array([_bits(w) for w in self.vocabulary])
-            prints.append(_fingerprints(ids, signs, window))
+            prints.append(_fingerprints(np.array([vocabulary[w] for w in words]), signs, window))
             owners.append(np.full(len(prints[-1]), k, np.int32))
         pairs = np.unique(np.rec.fromarrays([np.concatenate(prints), np.concatenate(owners)], names="f,o")) if prints else np.rec.fromarrays([np.zeros(0, np.uint64), np.zeros(0, np.int32)], names="f,o")
         self.prints, self.owners = np.ascontiguousarray(pairs["f"]), np.ascontiguousarray(pairs["o"])
@@ -156,10 +158,10 @@ def find_leaks(
     found, block = None, []
 
     def search(rows: list[tuple]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(rows)
+        shared, mark = spark.sparkContext.broadcast(rows), uuid.uuid4().hex
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = LeakIndex(shared.value, window, radius, least_share, least_run)
+            index = kept(("leaks", mark), lambda: LeakIndex(shared.value, window, radius, least_share, least_run))
             known: dict[str, int] = {}
             signs = np.zeros((1 << 16, _BITS), np.int8)
             for batch in batches:
