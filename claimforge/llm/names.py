@@ -123,7 +123,7 @@ def parse_name(key: str) -> tuple[str, str, list[str], list[str], str]:
     return "p", "", long, initials, ""
 
 
-_CORES = "key string, kind string, space string, cores array<string>, middle string, shapes array<string>, short string"
+_CORES = "key string, kind string, space string, cores array<string>, middle string, shapes array<string>, short string, rests array<string>"
 
 
 def _cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +132,7 @@ def _cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for key in batch.column(0).to_pylist():
             kind, trade, words, initials, middle = parse_name(key)
-            cores, shapes, short, space = [], [], None, f"{kind}|{trade}"
+            cores, shapes, short, rests, space = [], [], None, [], f"{kind}|{trade}"
             if kind == "c":
                 orders = list(itertools.permutations(words)) if len(words) <= 3 else [tuple(words), tuple(sorted(words))]
                 if initials and words:
@@ -143,6 +143,7 @@ def _cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     for k, word in enumerate(words) if len(words) > 1 else ():
                         rest = " ".join(sorted(words[:k] + words[k + 1 :]))
                         shapes += [f"c|{trade}|{rest}|{word[0]}", f"c|{trade}|{rest}|"]
+                        rests += ["".join(o) for o in itertools.permutations(words[:k] + words[k + 1 :])] if len(words) <= 3 else []
                     parts = trade.split()
                     shapes += [f"c|{' '.join(parts[:k] + parts[k + 1 :])}|{' '.join(sorted(words))}|" for k in range(len(parts)) if len(parts) > 1]
                     shapes = [f"{shape}|{form}" for shape in shapes for form in {"", middle}]
@@ -162,9 +163,9 @@ def _cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 short, space = f"p|{words[0]}|{initials[0]}|{''.join(initials[1:2])}", "p"
             else:
                 cores = [key]
-            out.append((key, kind, space, cores, middle, sorted(set(shapes)), short))
-        columns = list(zip(*out)) or [[]] * 7
-        kinds = (pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.list_(pa.string()), pa.string())
+            out.append((key, kind, space, cores, middle, sorted(set(shapes)), short, sorted(set(rests))))
+        columns = list(zip(*out)) or [[]] * 8
+        kinds = (pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.list_(pa.string()), pa.string(), pa.list_(pa.string()))
         yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], names=[f.split()[0] for f in _CORES.split(", ")])
 
 
@@ -262,7 +263,13 @@ def link_names(records: DataFrame, name: str) -> DataFrame:
     whole = parsed.where("size(cores) > 0")
     cores = whole.select("space", F.explode("cores").alias("core"))
     node = lambda space, core: F.concat_ws("\u0002", space, core)
-    near = trie_join(cores).select(node(F.col("space"), F.col("a")).alias("a"), node(F.col("space"), F.col("b")).alias("b"))
+    # A name that is what another leaves when a word is left out is that one's short form, no slip of a third name.
+    rests = parsed.select("space", F.explode("rests").alias("core")).distinct()
+    near = trie_join(cores)
+    for end in ("a", "b"):
+        near = near.join(rests.select("space", F.col("core").alias(end), F.lit(True).alias(f"rest_{end}")), ["space", end], "left")
+    near = near.where(F.coalesce("rest_a", F.lit(False)) == F.coalesce("rest_b", F.lit(False)))
+    near = near.select(node(F.col("space"), F.col("a")).alias("a"), node(F.col("space"), F.col("b")).alias("b"))
     orders = whole.where("size(cores) > 1").select(node(F.col("space"), F.col("cores")[0]).alias("a"), F.explode(F.slice("cores", 2, 10)).alias("core"), "space").select("a", node(F.col("space"), F.col("core")).alias("b"))
     groups = connected_groups(near.unionByName(orders), "a", "b").select(F.col("member").alias("node"), "group_id")
     own = whole.withColumn("node", node(F.col("space"), F.col("cores")[0])).join(groups, "node", "left").select("key", "kind", "middle", "shapes", "short", F.coalesce("group_id", "node").alias("family"))

@@ -108,6 +108,14 @@ def test_names(spark):
     assert link_names(df.limit(0), "name").count() == 0
 
 
+def test_a_word_left_out_is_no_slip(spark):
+    df = spark.createDataFrame([("Gartaldal Namkelkur Networks Limited",), ("Namkelkur Networks Limited",), ("Namkolkur Networks Limited",), ("Namkolkurr Networks Ltd",)], "name string")
+    got = defaultdict(set)
+    for r in link_names(df, "name").collect():
+        got[r.entity].add(r.name.split(" networks")[0])
+    assert sorted(map(sorted, got.values())) == [["gartaldal namkelkur", "namkelkur"], ["namkolkur", "namkolkurr"]]
+
+
 def test_ambiguous_short_forms_stay_alone(spark):
     df = spark.createDataFrame([("Alan B. Dorn",), ("Adam C. Dorn",), ("Dorn, A.",), ("x" * 20_000,)], "name string")
     assert link_names(df, "name").select("entity").distinct().count() == 4
