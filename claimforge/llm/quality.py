@@ -52,26 +52,32 @@ _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 _END = re.compile(r"[.!?:;…。][\"'”’»)\]]*\s*$")
 
 
-_CLEANED: dict[str, bool] = {}
+_CLEANED: dict[str, int] = {}
 
 
-def _clean(token: str) -> bool:
-    """Whether a token is a word, a number or a sign as prose has them; the last answers are kept."""
-    known = _CLEANED.get(token)
-    if known is None:
-        if len(_CLEANED) >= 200_000:
-            _CLEANED.clear()
-        known = _CLEANED[token] = len(token) <= 200 and bool(_CLEAN.match(token))
-    return known
+def _learn(token: str) -> int:
+    if len(_CLEANED) >= 200_000:
+        _CLEANED.clear()
+    n = _CLEANED[token] = len(token) if len(token) <= 200 and _CLEAN.match(token) else 0
+    return n
 
 
-def _junk_line(body: str, tokens: list[str]) -> bool:
+def _clean_length(tokens: list[str]) -> int:
+    """Characters in tokens that are words, numbers or signs as prose has them; what was once decided is kept."""
+    get, n = _CLEANED.get, 0
+    for token in tokens:
+        known = get(token)
+        n += _learn(token) if known is None else known
+    return n
+
+
+def _junk_line(body: str, tokens: list[str], clean: int) -> bool:
     n = len(body)
     if "<" in body and sum(len(m) for m in _TAG.findall(body)) > 0.4 * n or body[:1].isalnum() and len(tokens) > 4 and _HEX.match(body):
         return True
     if n >= 40 * len(tokens) and sum(len(m) for m in _BLOB.findall(body) if re.search(r"\d|[A-Z][a-z]+[A-Z]", m)) > 0.5 * n:
         return True
-    unclean = sum(len(t) for t in tokens if not _clean(t))
+    unclean = sum(map(len, tokens)) - clean
     if unclean <= 0.2 * n:
         return False
     if n >= 12 and n - body.count(" ") - len(_SYMBOL.findall(body)) < 0.35 * (n - body.count(" ")):
@@ -81,13 +87,13 @@ def _junk_line(body: str, tokens: list[str]) -> bool:
     return len(tokens) >= 3 and unclean > 0.4 * sum(map(len, tokens))
 
 
-def _number_row(body: str) -> bool:
+def _number_row(body: str, tokens: list[str], clean: int) -> bool:
     """A row of cells of which those behind the first are numbers or periods, most of them."""
     if "|" in body or "\t" in body or "  " in body:
         cells = [c for c in _CELLS.split(body.strip().strip("|")) if c.strip()]
         if len(cells) >= 2 and sum(bool(_NUMBER_CELL.match(c)) for c in cells[1:]) >= 0.6 * (len(cells) - 1):
             return True
-        return body.count(" | ") >= 2 and sum(map(_clean, body.split())) > 0.6 * len(body.split()) or body.count("\t") >= 2 and len(cells) >= 3
+        return body.count(" | ") >= 2 and clean > 0.6 * sum(map(len, tokens)) or body.count("\t") >= 2 and len(cells) >= 3
     if "," in body and len(body) < 400:
         cells = _CSV.split(body)
         return len(cells) >= 3 and all(_NUMBER_CELL.match(c) or not c.strip() for c in cells[1:]) or len(cells) == 2 and bool(re.match(r"^[\"']?[\d(₹$n.-][\d,.)m%-]*[\"']?$|^FY\d+$", cells[1].strip()))
@@ -96,6 +102,11 @@ def _number_row(body: str) -> bool:
 
 def line_kind(line: str) -> str | None:
     """Of what kind a line is by itself: 'list', 'table', 'junk', or None for running text."""
+    tokens = line.split()
+    return _line_kind(line, tokens, _clean_length(tokens))
+
+
+def _line_kind(line: str, tokens: list[str], clean: int) -> str | None:
     body = line.strip()
     if not body:
         return None
@@ -103,14 +114,13 @@ def line_kind(line: str) -> str | None:
     if len(body) > 160:
         # A line this long with as many function words as prose has is prose, whatever else stands at its ends.
         words = _SPLIT_WORDS.findall(body.lower())
-        if sum(w in _ANY_COMMON for w in words) >= 0.14 * len(words) > 1 and sum(len(x) for x in body.split() if _clean(x)) > 0.7 * (len(body) - body.count(" ")) and "</" not in body:
+        if sum(w in _ANY_COMMON for w in words) >= 0.14 * len(words) > 1 and clean > 0.7 * (len(body) - body.count(" ")) and "</" not in body:
             return None
-    if _number_row(body) or re.fullmatch(r"[|:+\s-]{3,}", body) and "-" in body and "/" not in body:
+    if _number_row(body, tokens, clean) or re.fullmatch(r"[|:+\s-]{3,}", body) and "-" in body and "/" not in body:
         return "table"
     if ("...." in body or ". . ." in body) and _LEADERS.match(body):
         return "list"
-    tokens = body.split()
-    if _junk_line(body, tokens):
+    if _junk_line(body, tokens, clean):
         return "junk"
     if _BULLET.match(line):
         return "list"
@@ -136,7 +146,9 @@ def text_statistics(text: str) -> tuple[str, int, list[float]]:
     language = max(_LANGUAGES, key=counts.get)
     n, words = max(1, len(text)), len(lower)
     shares = dict.fromkeys(KINDS, 0)
-    kinds = [line_kind(x) for x in lines]
+    by_line = [x.split() for x in lines]
+    clean = [_clean_length(x) for x in by_line]
+    kinds = list(map(_line_kind, lines, by_line, clean))
     for k, (line, kind) in enumerate(zip(lines, kinds)):
         if kind == "list" and not _BULLET.match(line):
             # A short line is an item beside other items; within running text it is a heading or the rest of a wrapped line.
@@ -146,10 +158,9 @@ def text_statistics(text: str) -> tuple[str, int, list[float]]:
         if kind:
             shares[kind] += len(line) + 1
     if shares["junk"] <= 0.5 * n:
-        sentences = Counter(s.strip() for x in lines for s in _SENTENCE.split(x) if len(s) > 20)
+        sentences = Counter(s.strip() for x in lines if len(x) > 20 for s in _SENTENCE.split(x) if len(s) > 20)
         repeated = sum(len(s) * c for s, c in sentences.items() if c >= 3)
         shares["junk"] = max(shares["junk"], repeated) if repeated > 0.5 * n else shares["junk"]
-    tokens = text.split()
     return language, words, [
         float(np.log1p(words)),
         min(20.0, sum(map(len, lower)) / words) if words else 0.0,
@@ -157,7 +168,7 @@ def text_statistics(text: str) -> tuple[str, int, list[float]]:
         len(_DIGIT.findall(text)) / n,
         sum(bool(_END.search(x)) for x in lines) / len(lines) if lines else 0.0,
         counts[language] / words if words else 0.0,
-        sum(len(t) for t in tokens if _clean(t)) / max(1, sum(map(len, tokens))),
+        sum(clean) / max(1, sum(len(t) for own in by_line for t in own)),
         float(np.log1p(len(text) / max(1, len(lines)))),
         *(min(1.0, shares[k] / n) for k in KINDS),
     ]
