@@ -79,7 +79,7 @@ def _centroids(sample: np.ndarray, n: int, steps: int = 12) -> np.ndarray:
     return centres
 
 
-def indexed_top_k(queries: DataFrame, rows: DataFrame, k: int = 4, lists: int = 16, probes: int = 8, sample_rows: int = 20_000) -> DataFrame:
+def indexed_top_k(queries: DataFrame, rows: DataFrame, k: int = 4, lists: int = 16, probes: int = 12, sample_rows: int = 20_000) -> DataFrame:
     """(query_id, cand_id, score, rank) by an inverted-file index; each row is in one list, a query asks ``probes`` of them."""
     sample = _unit([r[0] for r in rows.where("size(embedding) > 0").orderBy(F.xxhash64("id")).limit(sample_rows).select("embedding").collect()])
     shared = rows.sparkSession.sparkContext.broadcast(_centroids(sample, lists))

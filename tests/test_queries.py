@@ -32,6 +32,7 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-def test_index_recall(spark):
-    row = catalog.queries()["vector_index_recall"](spark, "/root/testdata/sf0.01").first()
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_index_recall(spark, folder):
+    row = catalog.queries()["vector_index_recall"](spark, folder).first()
     assert row.found >= 0.9 * row.neighbours
