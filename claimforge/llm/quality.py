@@ -1,10 +1,12 @@
 """Per-document text quality statistics.
 
 Method: each document gets a vector of statistics; the mean and covariance of natural prose are fitted for each
-language on a bounded number of documents labelled as prose (``fit_rows``, the rows of least hash), robustly, by
+language on a bounded number of documents labelled as prose (``fit_rows``, those of least hash), robustly, by
 re-estimating on the three quarters that lie nearest, since some labels are wrong. Every document then gets its
-Mahalanobis distance from the prose of its language, and each statistic's share in it. A document that is no prose is
-an outlier, and its kind is settled by an exact count of the characters in list items, table rows and junk.
+Mahalanobis distance from the prose of its language, and each statistic's contribution to it. The distance decides
+what is no prose, and the statistics that contribute most decide of which kind it is. How lines look (rows of cells,
+items, odd tokens, repeats, markup) enters as shares of characters, statistics like the others; by themselves they
+decide nothing.
 """
 
 from __future__ import annotations
@@ -25,152 +27,123 @@ COMMON_WORDS = {
     "fr": "le la les de des du un une et en à au aux que qui dans pour par sur pas plus ne se ce cette il elle est sont son sa ses avec ou mais nous vous après malgré selon été être comme hors dont l d".split(),
     "es": "el la los las de del y en un una que por con para se su sus al es son lo como más pero o no ha han este esta entre sobre tras sin desde hasta según fue ser año".split(),
 }
-STATISTICS = ("log_words", "mean_word_length", "symbol_share", "digit_share", "closed_line_share", "common_word_share", "clean_token_share", "log_line_length", "list_share", "table_share", "junk_share")
-#: Least standard deviation of each statistic, so that one that never varies in prose still has a scale.
-_FLOORS = np.array([0.3, 0.3, 0.02, 0.02, 0.15, 0.04, 0.03, 0.4, 0.05, 0.05, 0.05])
-KINDS = ("list", "table", "junk")
+STATISTICS = ("log_words", "mean_word_length", "symbol_share", "digit_share", "closed_line_share", "common_word_share", "log_line_length", "item_share", "cell_share", "odd_token_share", "repeated_share", "markup_share")
+#: Least standard deviation of each statistic, so that one that hardly varies in prose still has a scale.
+_FLOORS = np.array([0.5, 0.4, 0.03, 0.03, 0.25, 0.05, 0.6, 0.1, 0.1, 0.1, 0.1, 0.1])
+#: The statistics whose contributions speak for each kind.
+KINDS = {"list": ("item_share",), "table": ("cell_share",), "junk": ("odd_token_share", "repeated_share", "markup_share")}
 
 _COMMON = {k: frozenset(v) for k, v in COMMON_WORDS.items()}
 _ANY_COMMON = frozenset().union(*_COMMON.values())
+#: Function words that also stand within names and items.
+_LINKING = frozenset(("and", "for", "of"))
 _LANGUAGES = tuple(COMMON_WORDS)
 _LANGUAGES_OF = {w: tuple(k for k, v in enumerate(_COMMON.values()) if w in v) for w in _ANY_COMMON}
-_WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _SPLIT_WORDS = re.compile(r"[^\W\d_]+")
-_NUMBER_CELL = re.compile(r"^[\"']?\s*(?:[-–—.]+|n\.?[am]\.?|nil|[(\-+]?\s*[₹$€£%]?\s*\d[\d,.\s]*\)?\s*%?|(?:FY|CY|Q[1-4]|H[12])[\s'’-]*\d*.*|(?:19|20)\d\d)\s*[\"']?$", re.I)
-_CELLS = re.compile(r"\s*\|\s*|\t+|\s{2,}")
+_NUMBER = re.compile(r"\W*(?:\d[\d,.]*|n\.?[am]\.?|nil|(?:FY|CY|Q[1-4]|H[12])\W*\d*)?\W*$", re.I)
+_CELLS = re.compile(r"\||\t+| {2,}")
 _CSV = re.compile(r",(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)")
-_BULLET = re.compile(r"^\s*(?:[-–—*•‣◦▪·]|\(?\d{1,3}[.)]|\(?[a-z][.)])\s+\S", re.I)
-_TAG = re.compile(r"</?[a-zA-Z][^<>]*>|&[a-z]+;|&#\d+;")
-_HEX = re.compile(r"^\s*[0-9a-f]{6,}[: ]\s*(?:[0-9a-f]{2,4}\s+){4,}", re.I)
-_BLOB = re.compile(r"[A-Za-z0-9+/=_-]{40,}")
-_MOJIBAKE = re.compile(r"Ã.|Â.|â€.?|ï¿½|�")
-_CLEAN = re.compile(r"^[\[(\"'“‘«¿¡*•-]*(?:[^\W\d_]+(?:[-–’'&/][^\W\d_]+)*(?:['’]s?)?|[₹$€£+-]?\d+(?:[.,:/-]\d+)*(?:%|[a-zA-Z]{0,3}|er|ème)|[₹$€£%&–—|-]|[A-Z]{1,4}\d{2,4}|(?:[^\W\d_]\.)+)[\])\"'”’».,;:!?%…*-]*$")
-_LEADERS = re.compile(r"^.*\w.*?\s*(?:\.{4,}|(?:\s\.){4,})\s*\d{1,4}\s*$")
-_SYMBOL = re.compile(r"[^\w\s]|_")
-_DIGIT = re.compile(r"\d")
-_SENTENCE = re.compile(r"(?<=[.!?])\s+")
-_END = re.compile(r"[.!?:;…。][\"'”’»)\]]*\s*$")
-
-
-_CLEANED: dict[str, int] = {}
+_MARK = re.compile(r"\s*(?:[-–—*•‣◦▪·]|\(?\d{1,3}[.)]|\(?[a-zA-Z][.)])\s+\S")
+_LEADER = re.compile(r"(?:\.{4,}|(?:\s\.){4,})\s*\d{1,4}\s*$")
+_TAG = re.compile(r"</?[a-zA-Z][^<>]*>|&#?\w+;")
+_CLEAN = re.compile(r"[\[(\"'“‘«¿¡*•-]*(?:[^\W\d_]+(?:[-–’'&/][^\W\d_]+)*(?:['’]s?)?|[₹$€£+-]?\d+(?:[.,:/-]\d+)*(?:%|[a-zA-Z]{0,3}|er|ème)|[₹$€£%&–—|-]|\.+|[A-Z]{1,4}\d{2,4}|(?:[^\W\d_]\.)+)[\])\"'”’».,;:!?%…*-]*$")
+_CLOSING = "\"'”’»)]"
+_ENDS = frozenset(".!?:;…。")
+_LONGEST_WORD = 40
+_ODD: dict[str, int] = {}
 
 
 def _learn(token: str) -> int:
-    if len(_CLEANED) >= 200_000:
-        _CLEANED.clear()
-    n = _CLEANED[token] = len(token) if len(token) <= 200 and _CLEAN.match(token) else 0
+    if len(_ODD) >= 200_000:
+        _ODD.clear()
+    n = _ODD[token] = 0 if len(token) <= _LONGEST_WORD and _CLEAN.match(token) else len(token)
     return n
 
 
-def _clean_length(tokens: list[str]) -> int:
-    """Characters in tokens that are words, numbers or signs as prose has them; what was once decided is kept."""
-    get, n = _CLEANED.get, 0
+def _odd_length(tokens: list[str]) -> int:
+    """Characters in tokens that are no words, numbers or signs as prose has them; what was once decided is kept."""
+    get, n = _ODD.get, 0
     for token in tokens:
         known = get(token)
         n += _learn(token) if known is None else known
     return n
 
 
-def _junk_line(body: str, tokens: list[str], clean: int) -> bool:
-    n = len(body)
-    if "<" in body and sum(len(m) for m in _TAG.findall(body)) > 0.4 * n or body[:1].isalnum() and len(tokens) > 4 and _HEX.match(body):
-        return True
-    if n >= 40 * len(tokens) and sum(len(m) for m in _BLOB.findall(body) if re.search(r"\d|[A-Z][a-z]+[A-Z]", m)) > 0.5 * n:
-        return True
-    unclean = sum(map(len, tokens)) - clean
-    if unclean <= 0.2 * n:
-        return False
-    if n >= 12 and n - body.count(" ") - len(_SYMBOL.findall(body)) < 0.35 * (n - body.count(" ")):
-        return True
-    if len(_MOJIBAKE.findall(body)) > 0.25 * len(tokens):
-        return True
-    return len(tokens) >= 3 and unclean > 0.4 * sum(map(len, tokens))
-
-
-def _number_row(body: str, tokens: list[str], clean: int) -> bool:
-    """A row of cells of which those behind the first are numbers or periods, most of them."""
-    if "|" in body or "\t" in body or "  " in body:
-        cells = [c for c in _CELLS.split(body.strip().strip("|")) if c.strip()]
-        if len(cells) >= 2 and sum(bool(_NUMBER_CELL.match(c)) for c in cells[1:]) >= 0.6 * (len(cells) - 1):
-            return True
-        return body.count(" | ") >= 2 and clean > 0.6 * sum(map(len, tokens)) or body.count("\t") >= 2 and len(cells) >= 3
-    if "," in body and len(body) < 400:
-        cells = _CSV.split(body)
-        return len(cells) >= 3 and all(_NUMBER_CELL.match(c) or not c.strip() for c in cells[1:]) or len(cells) == 2 and bool(re.match(r"^[\"']?[\d(₹$n.-][\d,.)m%-]*[\"']?$|^FY\d+$", cells[1].strip()))
-    return False
-
-
-def line_kind(line: str) -> str | None:
-    """Of what kind a line is by itself: 'list', 'table', 'junk', or None for running text."""
-    tokens = line.split()
-    return _line_kind(line, tokens, _clean_length(tokens))
-
-
-def _line_kind(line: str, tokens: list[str], clean: int) -> str | None:
-    body = line.strip()
-    if not body:
-        return None
-    words = None
-    if len(body) > 160:
-        # A line this long with as many function words as prose has is prose, whatever else stands at its ends.
-        words = _SPLIT_WORDS.findall(body.lower())
-        if sum(w in _ANY_COMMON for w in words) >= 0.14 * len(words) > 1 and clean > 0.7 * (len(body) - body.count(" ")) and "</" not in body:
-            return None
-    if _number_row(body, tokens, clean) or re.fullmatch(r"[|:+\s-]{3,}", body) and "-" in body and "/" not in body:
-        return "table"
-    if ("...." in body or ". . ." in body) and _LEADERS.match(body):
-        return "list"
-    if _junk_line(body, tokens, clean):
-        return "junk"
-    if _BULLET.match(line):
-        return "list"
-    if len(body) > 70 and body.count(",") + body.count(";") < 2:
-        return None
-    words = _SPLIT_WORDS.findall(body.lower()) if words is None else words
-    if len(words) <= 7 and sum(w in _ANY_COMMON and w not in ("and", "for", "of") for w in words) == 0 and len(body) <= 70 and not re.search(r"[.!?…]$", body) and (len(tokens) > 0 and not re.match(r"^\W*\w+:\s", body)):
-        return "list"
-    parts = [p for p in re.split(r"[,;•|/]\s+", body) if p.strip()]
-    if len(parts) >= 3 and len(words) <= 5.5 * len(parts) and sum(w in _ANY_COMMON for w in words) < 0.09 * len(words) and not re.search(r"[.!?]\s+\S", body):
-        return "list"
-    return None
+def row_length(line: str) -> int:
+    """Characters of a line in a row of cells of which most behind the first are numbers, periods or empty; 0 if it is none.
+
+    What stands in a cell of ten words or more is running text that the row is joined to.
+    """
+    cells = _CELLS.split(line.strip(" |\t")) if "|" in line or "\t" in line or "  " in line else ()
+    if len(cells) > 1:
+        if not any(map(str.isalnum, line)):
+            return 0 if line.strip(" |:+-\t") else len(line) + 1
+        if sum(bool(_NUMBER.match(c)) for c in cells[1:]) < 0.6 * (len(cells) - 1):
+            return 0
+    else:
+        if "," not in line or ", " in line:
+            return 0
+        cells = _CSV.split(line) if '"' in line else line.split(",")
+        if not all(map(_NUMBER.match, cells[1:])):
+            return 0
+    running = sum(len(c) for c in cells if c.count(" ") >= 9)
+    return len(line) + 1 - running
+
+
+def _items(line: str) -> int:
+    """Characters of a line in items: marked lines, and short pieces without function words or a full stop."""
+    if ("...." in line or " . . " in line) and (leader := _LEADER.search(line)):
+        return len(line) - (line.rfind(". ", 0, leader.start()) + 1)
+    if mark := _MARK.match(line):
+        # A mark before running text (a dash before a speaker's words, a numbered paragraph) makes no item of it.
+        words = _SPLIT_WORDS.findall(line.lower(), mark.end() - 1)
+        if sum(w in _ANY_COMMON and w not in _LINKING for w in words) < 0.12 * len(words):
+            return len(line) + 1
+    n = 0
+    for piece in line.replace("; ", ", ").replace(" • ", ", ").split(", "):
+        tokens = piece.split()
+        if not 0 < len(tokens) <= 8 or piece.endswith((".", "!", "?")):
+            continue
+        words = _SPLIT_WORDS.findall(piece.lower())
+        if words and not any(w in _ANY_COMMON and w not in _LINKING for w in words):
+            n += len(piece) + 2
+    return min(n, len(line) + 1)
 
 
 def text_statistics(text: str) -> tuple[str, int, list[float]]:
     """(language, words, statistics) of a text; an empty text has zeros."""
-    lines = [x for x in text.split("\n") if x.strip()]
+    lines = [x for x in text.split("\n") if x and not x.isspace()]
     lower = _SPLIT_WORDS.findall(text.lower())
-    counts = dict.fromkeys(_LANGUAGES, 0)
+    counts = dict.fromkeys(range(len(_LANGUAGES)), 0)
     for word, times in Counter(lower).items():
         for k in _LANGUAGES_OF.get(word, ()):
-            counts[_LANGUAGES[k]] += times
-    language = max(_LANGUAGES, key=counts.get)
-    n, words = max(1, len(text)), len(lower)
-    shares = dict.fromkeys(KINDS, 0)
-    by_line = [x.split() for x in lines]
-    clean = [_clean_length(x) for x in by_line]
-    kinds = list(map(_line_kind, lines, by_line, clean))
-    for k, (line, kind) in enumerate(zip(lines, kinds)):
-        if kind == "list" and not _BULLET.match(line):
-            # A short line is an item beside other items; within running text it is a heading or the rest of a wrapped line.
-            near = kinds[max(0, k - 1) : k] + kinds[k + 1 : k + 2]
-            if "list" not in near and len(_SPLIT_WORDS.findall(line)) <= 7:
-                continue
-        if kind:
-            shares[kind] += len(line) + 1
-    if shares["junk"] <= 0.5 * n:
-        sentences = Counter(s.strip() for x in lines if len(x) > 20 for s in _SENTENCE.split(x) if len(s) > 20)
-        repeated = sum(len(s) * c for s, c in sentences.items() if c >= 3)
-        shares["junk"] = max(shares["junk"], repeated) if repeated > 0.5 * n else shares["junk"]
-    return language, words, [
+            counts[k] += times
+    language = max(counts, key=counts.get)
+    n, words, letters = max(1, len(text)), len(lower), sum(map(len, lower))
+    digits, written = sum(map(text.count, "0123456789")), sum(map(len, text.split()))
+    closed = items = cells = odd = 0
+    pieces: Counter = Counter()
+    for line in lines:
+        closed += line.rstrip().rstrip(_CLOSING)[-1:] in _ENDS
+        if own := row_length(line):
+            cells += own
+            continue
+        unclean = _odd_length(line.split())
+        odd += unclean
+        if unclean <= 0.3 * len(line):
+            items += _items(line)
+        pieces.update(p for p in line.strip().split(". ") if len(p) > 15)
+    repeated = sum(len(p) * (k - 1) for p, k in pieces.items() if k > 1)
+    markup = sum(map(len, _TAG.findall(text))) if "<" in text or "&" in text else 0
+    return _LANGUAGES[language], words, [
         float(np.log1p(words)),
-        min(20.0, sum(map(len, lower)) / words) if words else 0.0,
-        len(_SYMBOL.findall(text)) / n,
-        len(_DIGIT.findall(text)) / n,
-        sum(bool(_END.search(x)) for x in lines) / len(lines) if lines else 0.0,
+        min(20.0, letters / words) if words else 0.0,
+        max(0, written - letters - digits) / n,
+        digits / n,
+        closed / len(lines) if lines else 0.0,
         counts[language] / words if words else 0.0,
-        sum(clean) / max(1, sum(len(t) for own in by_line for t in own)),
         float(np.log1p(len(text) / max(1, len(lines)))),
-        *(min(1.0, shares[k] / n) for k in KINDS),
+        *(min(1.0, share / n) for share in (items, cells, odd, repeated, markup)),
     ]
 
 
@@ -202,31 +175,34 @@ def _robust(x: np.ndarray, steps: int = 8) -> tuple[np.ndarray, np.ndarray]:
     return mean, inverse
 
 
-def fit_prose(statistics: DataFrame, labels: DataFrame, fit_rows: int = 5000, least_rows: int = 40) -> dict[str, tuple]:
-    """Mean and inverse covariance of labelled prose for each language, and of all of it under ''."""
-    prose = labels.where("label = 'prose'").select("doc_id").distinct()
-    rows = statistics.join(prose, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).select("language", "statistics").collect()
+def fit_prose(documents: DataFrame, labels: DataFrame, doc_id: str, text: str, fit_rows: int = 5000, least_rows: int = 20) -> dict[str, tuple]:
+    """Mean and inverse covariance of labelled prose for each language, and of all of it under ''.
+
+    The ``fit_rows`` labelled ids of least hash are taken first, so that only their texts are measured.
+    """
+    prose = labels.where("label = 'prose' and doc_id is not null").select(F.col("doc_id").alias(doc_id)).distinct().orderBy(F.xxhash64(doc_id), doc_id).limit(fit_rows)
+    texts = documents.select(doc_id, text).join(F.broadcast(prose), doc_id, "left_semi")
+    rows = document_statistics(texts, doc_id, text).limit(fit_rows).select("language", "statistics").collect()
     by: dict[str, list] = {"": [r.statistics for r in rows]}
     for r in rows:
         by.setdefault(r.language, []).append(r.statistics)
     return {k: _robust(np.array(v)) for k, v in by.items() if len(v) >= (least_rows if k else 2)}
 
 
-def score_quality(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", fit_rows: int = 5000) -> DataFrame:
+def score_quality(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", fit_rows: int = 5000, cut: float = 40.0) -> DataFrame:
     """(doc_id, language, words, <statistics>, distance, outlier, contributions, kind) for each document.
 
     ``contributions`` maps each statistic to its part of the squared distance; they sum up to it. ``outlier`` is true
-    beyond the 99 % point of the distances that prose would have were it normal; ``kind`` is 'list', 'table' or 'junk'
-    for outliers of which more than half the characters are such, else 'prose'. Empty and null texts have zeros for
-    statistics. A language with few labelled documents takes the figures of all; without any label at all there is
-    nothing to measure from: distances are null, no row is an outlier and all are 'prose'. Repeated rows come out
-    repeated.
+    for squared distances over ``cut``; ``kind`` of an outlier is the one whose statistics contribute most, 'prose' if
+    none of them contributes and for all others. The cut lies well beyond what a short list or table in prose gives:
+    with the least deviations above, half the characters in items or cells alone give 25, and what goes with them
+    (function words missing, short lines left open) as much again. Empty and null texts have zeros for statistics. A
+    language with few labelled documents takes the figures of all; without any label at all there is nothing to
+    measure from: distances are null, no row is an outlier and all are 'prose'. Repeated rows come out repeated.
     """
     every = document_statistics(documents, doc_id, text)
-    labelled = labels.where("label = 'prose'").select(F.col("doc_id").alias(doc_id)).distinct()
-    model = fit_prose(document_statistics(documents.join(labelled, doc_id, "left_semi"), doc_id, text), labels, fit_rows)
+    model = fit_prose(documents, labels, doc_id, text, fit_rows)
     size = len(STATISTICS)
-    cut = size * (1 - 2 / (9 * size) + 2.326 * (2 / (9 * size)) ** 0.5) ** 3  # Wilson and Hilferty's 99 % point of chi-square
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,7 +221,7 @@ def score_quality(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id
 
     key = every.schema["doc_id"].dataType.simpleString()
     judged = every.mapInArrow(judge, _DDL.format(key) + ", distance double, parts array<double>, outlier boolean")
-    kind = F.lit("prose")
-    for name in KINDS:
-        kind = F.when(F.col("outlier") & (F.element_at("statistics", STATISTICS.index(f"{name}_share") + 1) > 0.5), name).otherwise(kind)
+    votes = F.array(*(F.struct(sum((F.element_at("parts", STATISTICS.index(s) + 1) for s in own), F.lit(0.0)).alias("part"), F.lit(name).alias("kind")) for name, own in KINDS.items()))
+    most = F.array_max(votes)
+    kind = F.when(F.col("outlier") & (most["part"] > 0), most["kind"]).otherwise("prose")
     return judged.select("doc_id", "language", "words", *(F.element_at("statistics", k + 1).alias(s) for k, s in enumerate(STATISTICS)), "distance", "outlier", F.map_from_arrays(F.array(*map(F.lit, STATISTICS)), "parts").alias("contributions"), kind.alias("kind"))

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from claimforge.llm import groups
 from claimforge.llm.canonical import map_to_canonical
 from claimforge.llm.formatting import formatting_copies, formatting_groups
 from claimforge.llm.groups import connected_groups
@@ -15,7 +16,7 @@ from claimforge.llm.leaks import LeakIndex, find_leaks
 from claimforge.llm.lookalikes import plain_text, to_plain_text
 from claimforge.llm.mixing import fill, mix_documents, mix_shares
 from claimforge.llm.names import link_names, name_pairs, trie_join, within_one
-from claimforge.llm.quality import document_statistics, line_kind, score_quality
+from claimforge.llm.quality import KINDS, STATISTICS, document_statistics, score_quality, text_statistics
 from claimforge.llm.splitting import split_oversized, split_text
 
 SMALL = "/root/testdata/sf0.001"
@@ -86,7 +87,7 @@ def test_trie_join_against_brute_force(spark):
 
 
 def test_names(spark):
-    groups = [
+    alike = [
         ["Vumstomjin National Railways Limited", "VUMSTOJMIN National Railways Ltd.", "National Railways Vumstomjin Limited", "Vums tomjin Nat'l Rlys Limited", "The Vumstomjin National Railways", "Vumstomjin Railways Ltd"],
         ["Mertelnil Vemkilzer Insurance Holdings Limited", "M. Vemkilzer Insurance Holdings Limited", "Vemkilzer Mertelnil Ins. Hldgs Ltd", "Mertelnil VemkilzerInsurance Holdings Limited"],
         ["Mertelnil Vemkilzer Cement Private Limited", "M/s Mertelnil Vemkilzer Cement Pvt Ltd"],
@@ -95,16 +96,16 @@ def test_names(spark):
         ["Edward R. Damnalgul"],
         ["Edward T. Damnalgul"],
     ]
-    typed = [n for g in groups for n in g] * 2 + [None, "", " - "]
+    typed = [n for g in alike for n in g] * 2 + [None, "", " - "]
     df = spark.createDataFrame([(n, "x") for n in typed], "name string, entity string")
     key = lambda n: re.sub(r"[\W_]+", " ", n.lower()).strip()
     linked = link_names(df, "name")
     got = defaultdict(set)
     for r in linked.collect():
         got[r.entity].add(r.name)
-    assert sorted(map(sorted, got.values())) == sorted(sorted({key(n) for n in g}) for g in groups)
+    assert sorted(map(sorted, got.values())) == sorted(sorted({key(n) for n in g}) for g in alike)
     assert all(min(v) == k for k, v in got.items())
-    assert name_pairs(linked).count() == sum(len({key(n) for n in g}) * (len({key(n) for n in g}) - 1) // 2 for g in groups)
+    assert name_pairs(linked).count() == sum(len({key(n) for n in g}) * (len({key(n) for n in g}) - 1) // 2 for g in alike)
     assert link_names(df.limit(0), "name").count() == 0
 
 
@@ -234,6 +235,27 @@ def test_groups_against_brute_force(spark):
     assert rows(connected_groups(df, "a", "b").select("member", "group_id")) == components(links)
 
 
+def test_long_paths_are_ranked_not_hooked(spark, monkeypatch):
+    monkeypatch.setattr(groups, "_hook", lambda *a: pytest.fail("a path has no core"))
+    n = 20_000
+    path = spark.range(n).select(F.format_string("v%06d", "id").alias("a"), F.format_string("v%06d", F.col("id") + 1).alias("b"))
+    ring = spark.range(700).select(F.format_string("r%03d", "id").alias("a"), F.format_string("r%03d", (F.col("id") + 1) % 700).alias("b"))
+    got = connected_groups(path.unionByName(ring), "a", "b").groupBy("group_id").count()
+    assert rows(got) == {("v000000", n + 1), ("r000", 700)}
+
+
+def test_trees_need_no_core(spark, monkeypatch):
+    monkeypatch.setattr(groups, "_hook", lambda *a: pytest.fail("a tree has no core"))
+    rng = random.Random(3)
+    links = [(f"t{rng.randrange(max(1, k)):04}", f"t{k:04}") for k in range(1, 1500)] + [(f"b{k // 2:03}", f"b{k:03}") for k in range(2, 250)]
+    assert rows(connected_groups(spark.createDataFrame(links, "a string, b string"), "a", "b").select("member", "group_id")) == components(links)
+
+
+def test_cores(spark):
+    links = [(f"s{k:03}", f"s{k + d:03}") for k in range(200) for d in (1, 2)] + [(f"g{r}{c}", f"g{x}{y}") for r in range(6) for c in range(6) for x, y in ((r + 1, c), (r, c + 1)) if x < 6 and y < 6]
+    assert rows(connected_groups(spark.createDataFrame(links, "a string, b string"), "a", "b").select("member", "group_id")) == components(links)
+
+
 def test_no_links(spark):
     assert connected_groups(spark.createDataFrame([("a", "a")], "a string, b string"), "a", "b").count() == 0
 
@@ -308,12 +330,33 @@ def test_mix(spark):
 # 10 --------------------------------------------------------------------------------------------------------------
 
 
+PROSE = "The board approved the plan in May, and sales of the group rose by 4.2 per cent over the year. It was the best result that we have had since the merger."
+
+
 @pytest.mark.parametrize(
-    ("line", "kind"),
-    [("- net sales;", "list"), ("12. Cash balance", "list"), ("Overseas tariff income", "list"), ("Cash balance ........ 7", "list"), ("Cash\t5.6\t7", "table"), ("| Loss | 5 | n.m. |", "table"), ('Debt,5,"5,210.9"', "table"), ("Revenue      66.6    9,154.0", "table"), ("<td class='c5'><span id='x'>ta</span></td><br/>", "junk"), ("0000000 3f 65 0c de fa f6 63 da d3 3b  |@~#|", "junk"), ("|||/|||/|||/|||/|||/", "junk"), ("The board approved the plan in May, and sales rose.", None), ("", None)],
+    ("text", "share"),
+    [
+        ("- net sales;\n- cash\n12. Cash balance", "item_share"),
+        ("Overseas tariff income\nSegment debt", "item_share"),
+        ("Cash balance ........ 7\nDebt . . . . . . 12", "item_share"),
+        ("net sales, cash balance, order book, capital for ports", "item_share"),
+        ("Cash\t5.6\t7\n| Loss | 5 | n.m. |\n|---|---|", "cell_share"),
+        ('Debt,5,"5,210.9"\nRevenue      66.6    9,154.0', "cell_share"),
+        (", ".join(["long row"] * 9) + "\t" + "\t".join(["7"] * 400), "cell_share"),
+        ("xJ7k+/q9ZbbV2mW0sR4t8yTqLp3nKd5fGh6jCv1xBz=Aa\n" * 4, "odd_token_share"),
+        (". ".join(["the same sentence stands here again"] * 9), "repeated_share"),
+        ("<td class='c5'><span id='x'>ta</span></td><br/>", "markup_share"),
+    ],
 )
-def test_line_kind(line, kind):
-    assert line_kind(line) == kind
+def test_shares_of_lines(text, share):
+    values = dict(zip(STATISTICS, text_statistics(text)[2]))
+    assert values[share] > 0.6 and all(0 <= v <= 1 for k, v in values.items() if k.endswith("_share"))
+
+
+@pytest.mark.parametrize("text", [PROSE, PROSE.upper(), "- " + PROSE, "Results of the year\n" + PROSE, PROSE.replace(" the ", "\nthe "), "(a) " + PROSE + "\n(b) " + PROSE.replace("May", "June")])
+def test_prose_has_hardly_any_shape(text):
+    values = dict(zip(STATISTICS, text_statistics(text)[2]))
+    assert all(values[s] < 0.5 for own in KINDS.values() for s in own) and values["common_word_share"] > 0.3
 
 
 def test_quality(spark):
@@ -322,6 +365,9 @@ def test_quality(spark):
     scored = score_quality(documents, labels)
     counts = Counter((r.label, r.kind) for r in scored.join(labels, "doc_id").select("label", "kind").collect())
     assert sum(n for (a, b), n in counts.items() if a == b) >= 0.9 * sum(counts.values())
+    # The distance decides: with the cut out of reach nothing is an outlier, whatever its lines look like.
+    assert score_quality(documents, labels, cut=1e9).where("kind <> 'prose' or outlier").count() == 0
+    assert scored.where("(kind = 'prose') <> (not outlier)").count() == 0
     parts = scored.select(F.abs(F.aggregate(F.map_values("contributions"), F.lit(0.0), lambda a, b: a + b) - F.col("distance") ** 2).alias("off"), F.col("distance") ** 2 + 1).collect()
     assert all(p[0] < 1e-6 * p[1] for p in parts)
 
