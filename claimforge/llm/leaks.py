@@ -3,8 +3,9 @@
 Method: SimHash fingerprints of all windows of ``window`` words of the items are kept in a multi-index: the 64 bits
 are cut into ``radius + 1`` blocks, and two fingerprints within the radius agree in one block at least, so looking
 up each block finds all of them. All windows of each document are looked up; (document, item) pairs so found are
-verified exactly: runs of equal words are joined into passages across changed words, and the words that the
-passages cover are weighed against the words of the item.
+verified exactly by weighted shingles: a shingle of three words weighs what its words weigh, a word the more the fewer
+items have it. Shingles that item and document share at about the same distance make up a passage; it counts, with
+the words changed in it, if they weigh enough of all shingles of its stretch of the item.
 
 The window is the stretch that a passage of half an item leaves whole between changed words, not the whole item:
 a fingerprint of the whole item lies far outside any radius when half of it is quoted.
@@ -15,9 +16,10 @@ whatever the number of items; documents are read and compared where they are, wi
 
 from __future__ import annotations
 
+import math
 import re
 import uuid
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,8 +50,9 @@ def _fingerprints(ids: np.ndarray, signs: np.ndarray, window: int) -> np.ndarray
 class LeakIndex:
     """The fingerprints of a block of items, and their words for verification."""
 
-    def __init__(self, items: list[tuple[int, str]], window: int, radius: int, least_share: float, least_run: int):
-        self.window, self.radius, self.least_share, self.least_run = window, radius, least_share, least_run
+    def __init__(self, items: list[tuple[int, str]], window: int, radius: int, shingle: int = 3, least_similarity: float = 0.35, least_words: int = 10, most_changed: int = 5):
+        self.window, self.radius = window, radius
+        self.shingle, self.least_similarity, self.least_words, self.most_changed = shingle, least_similarity, least_words, most_changed
         self.items = [(key, _WORD.findall(text.lower())) for key, text in items]
         self.items = [(key, words) for key, words in self.items if words]
         vocabulary = {w: k for k, w in enumerate(dict.fromkeys(w for _, words in self.items for w in words))}
@@ -70,7 +73,9 @@ class LeakIndex:
             order = np.argsort(part, kind="stable")
             starts = np.searchsorted(part[order], np.arange((1 << int(hi - lo)) + 1))
             self.blocks.append((shift, mask, order, starts))
-        self.grams: dict[int, dict[tuple, list[int]]] = {}
+        self.shingles: dict[int, tuple[dict[tuple, list[int]], np.ndarray]] = {}
+        rarity = Counter(w for _, words in self.items for w in set(words))
+        self.weights = {w: math.log(1 + len(self.items) / n) for w, n in rarity.items()}
 
     def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) pairs whose fingerprints lie within the radius."""
@@ -92,43 +97,49 @@ class LeakIndex:
     def share(self, item: int, words: list[str]) -> float:
         """The share of the item's words that the document reproduces as running text."""
         own = self.items[item][1]
-        n = min(3, len(own))
-        if item not in self.grams:
+        n = min(self.shingle, len(own))
+        if item not in self.shingles:
             at = defaultdict(list)
             for k in range(len(own) - n + 1):
                 at[tuple(own[k : k + n])].append(k)
-            self.grams[item] = dict(at)
-        grams, runs, live = self.grams[item], [], {}
-        for d in range(len(words) - n + 1):
-            now = {}
-            for k in grams.get(tuple(words[d : d + n]), ()):
-                run = live.get(k - 1)
-                if run is None:
-                    runs.append(run := [k, d, n])
-                else:
-                    run[2] += 1
-                now[k] = run
-            live = now
-        return _covered(runs, len(own), self.least_run) / len(own)
-
-
-def _covered(runs: list[list[int]], size: int, least_run: int) -> int:
-    """Words of an item within passages: runs (item place, document place, length) in step, few changed words between."""
-    passages: list[list[int]] = []  # item from, item to, document to, equal words, longest run
-    for k, d, n in sorted(runs, key=lambda r: (r[1], r[0])):
-        for p in reversed(passages[-12:]):
-            gap, shift = k - p[1], (d - p[2]) - (k - p[1])
-            if -2 <= gap <= 5 and abs(shift) <= 3 and d - p[2] <= 6:
-                p[1], p[2], p[3], p[4] = max(p[1], k + n), d + n, p[3] + n, max(p[4], n)
-                break
-        else:
-            passages.append([k, k + n, d + n, n, n])
-    least = min(least_run, size)
-    seen = np.zeros(size, bool)
-    for a, b, _, equal, longest in passages:
-        if longest >= least and equal >= 0.78 * (b - a):
-            seen[a:b] = True
-    return int(seen.sum())
+            single = np.array([self.weights[w] for w in own])
+            self.shingles[item] = dict(at), np.concatenate([[0.0], np.cumsum(np.convolve(single, np.ones(n), "valid"))])
+        at, weight = self.shingles[item]
+        seen = np.zeros(len(own), bool)
+        for first, last, shared in _passages(at, words, n, self.most_changed):
+            stretch = weight[last + 1] - weight[first]
+            if last + n - first >= min(self.least_words, len(own)) and sum(weight[k + 1] - weight[k] for k in shared) >= self.least_similarity * stretch:
+                seen[first : last + n] = True
+        return float(seen.mean())
+
+
+def _passages(at: dict[tuple, list[int]], words: list[str], n: int, most_changed: int, most_shift: int = 3) -> Iterator[tuple[int, int, set[int]]]:
+    """(first, last, shared): passages of a document by the item's shingles in them, from the first to the last one's place.
+
+    A shingle continues the passage that runs on the same diagonal (document place less item place) or the nearest
+    of those up to ``most_shift`` away, words having been added or left out, if at most ``most_changed`` words lie between.
+    """
+    running: dict[int, list] = {}
+    for d in range(len(words) - n + 1):
+        for k in at.get(tuple(words[d : d + n]), ()):
+            near = None
+            for shift in sorted(range(-most_shift, most_shift + 1), key=abs):
+                p = running.get(d - k + shift)
+                if p is not None and p[1] <= k <= p[1] + n + most_changed and p[3] < d <= p[3] + n + most_changed:
+                    near = p
+                    break
+            if near is None:
+                near = [k, k, set(), d]
+            elif near[4] != d - k:
+                running.pop(near[4], None)
+            near[1:] = [k, near[2], d, d - k]
+            near[2].add(k)
+            previous = running.get(d - k)
+            if previous is not None and previous is not near:
+                yield previous[0], previous[1], previous[2]
+            running[d - k] = near
+    for p in running.values():
+        yield p[0], p[1], p[2]
 
 
 def find_leaks(
@@ -140,13 +151,17 @@ def find_leaks(
     item_text: str = "text",
     window: int = 10,
     radius: int = 3,
-    least_share: float = 0.48,
-    least_run: int = 6,
+    least_share: float = 0.5,
+    shingle: int = 3,
+    least_similarity: float = 0.35,
+    least_words: int = 10,
     block_items: int = 20_000,
 ) -> DataFrame:
     """(doc_id, item_id, share): documents that reproduce at least ``least_share`` of an item's words as running text.
 
-    A passage needs one run of ``least_run`` equal words; words changed within it count as reproduced. Letter case,
+    A passage needs ``least_words`` words (an item shorter than that all of its own) and a weighted-shingle similarity
+    of ``least_similarity`` with its stretch of the item, which every fifth word changed still has; words changed
+    within it count as reproduced. Weights are those of the item's block. Letter case,
     punctuation and line breaks do not matter. Null and empty texts match nothing; texts shorter than the window are
     compared as one window; a document that occurs twice gives equal rows once. Other columns are ignored.
     """
@@ -161,7 +176,7 @@ def find_leaks(
         shared, mark = spark.sparkContext.broadcast(rows), uuid.uuid4().hex
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = kept(("leaks", mark), lambda: LeakIndex(shared.value, window, radius, least_share, least_run))
+            index = kept(("leaks", mark), lambda: LeakIndex(shared.value, window, radius, shingle, least_similarity, least_words))
             known: dict[str, int] = {}
             signs = np.zeros((1 << 16, _BITS), np.int8)
             for batch in batches:
