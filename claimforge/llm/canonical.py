@@ -1,10 +1,11 @@
 """Mapping free-entered values to a canonical list.
 
-Method: every entry of the list has aliases, made by rule from what it means (the dates of a period) or given as a
-table (scopes). An Aho-Corasick automaton over all aliases finds the mentions in a value; the longest ones that do
-not overlap win, and they decide if they name one entry and leave nothing but filler words. The remaining values go
-to token-set similarity: words that no alias knows stand for the nearest known words by edit distance, the
-automaton looks again, and at last the sets of words are compared, with equal numbers required.
+Method: every entry of the list has aliases, made by rule from what it means (the dates of a period) or how it is
+spelled (initials, words run together, negation); more may be given. An Aho-Corasick automaton over all names and
+aliases finds the mentions in a value; the longest ones that do not overlap win, and they decide if they name one
+entry and leave nothing but filler words. In what remains, words that no alias knows stand for the known words that
+they may be (a slip, an abbreviation that keeps the order of the letters, words run together or torn apart); mentions
+are looked for along all these readings at once, and at last the sets of words are compared, with equal numbers required.
 
 The list is small by its nature (its size is checked) and is shipped to every task; values are mapped where they are
 read and equal values once per task, so hot values cost nothing and nothing is shuffled but the results.
@@ -25,37 +26,19 @@ from pyspark.sql import types as T
 
 from claimforge.functions.worker import kept
 
-#: Wordings of each scope, as tokens.
-SCOPE_ALIASES = {
-    "consolidated": ["consolidated", "cons", "consol", "consolidation", "group consolidated", "consolidated group", "group level"],
-    "standalone": ["standalone", "stand alone", "stdalone", "stand alone entity", "standalone entity", "unconsolidated", "solo"],
-    "adjusted": ["adjusted", "adj", "adjstd", "adjd", "adj d", "as adjusted"],
-    "reported": ["reported", "rep d", "repd", "as reported", "reptd", "rptd", "as rep d"],
-    "pro forma": ["pro forma", "proforma", "pro forma unadj", "pf"],
-    "restated": ["restated", "re stated", "as restated", "rstd", "rest d"],
-    "like-for-like": ["like for like", "lfl", "l f l", "like to like", "l4l", "same store"],
-    "constant currency": ["constant currency", "constant ccy", "const currency", "const ccy", "cst currency", "cst ccy", "cc", "constant currencies", "at constant currency", "constant fx"],
-    "continuing operations": ["continuing operations", "continuing ops", "cont operations", "cont ops", "contg operations", "contg ops", "from continuing operations", "continued operations", "continuing"],
-    "discontinued operations": ["discontinued operations", "discontinued ops", "disc operations", "disc ops", "discont operations", "discont ops", "discontd operations", "from discontinued operations", "discontinued"],
-    "audited": ["audited", "aud", "as audited"],
-    "unaudited": ["unaudited", "un audited", "unaud", "not audited", "non audited"],
-    "provisional": ["provisional", "prov", "provsnl", "provl", "provisional estimate"],
-    "segment": ["segment", "segmental", "segment wise", "by segment", "segment level", "seg", "segments"],
-    "excluding one-offs": ["excluding one offs", "excl one offs", "ex one offs", "excluding one off", "excl one off", "ex one off", "excluding one off items", "excl one off items", "before one offs", "excluding oneoffs", "ex oneoffs", "excl oneoffs"],
-    "seasonally adjusted": ["seasonally adjusted", "seasonally adj", "seas adjusted", "seas adj", "s a", "sa", "season adjusted"],
-}
 #: Words that add nothing to a value.
-FILLERS = frozenset("a an the of on in at as by for from to is basis figures figure figs fig nos no numbers number only entity growth level estimate estimates value values items terms results result data period results only".split())
+FILLERS = frozenset("a an the of on in at as by for from to is basis figures figure figs fig nos no numbers number only entity growth level estimate estimates value values items terms results result data period results group wise".split())
 _MONTHS = "january february march april may june july august september october november december".split()
 _ORDINALS = {1: ("first", "1 st", "i"), 2: ("second", "2 nd", "ii"), 3: ("third", "3 rd", "iii"), 4: ("fourth", "4 th", "iv")}
 _NUMBER_WORDS = {3: "three", 6: "six", 9: "nine", 12: "twelve"}
 _TOKEN = re.compile(r"[^\W\d_]+|\d+")
 _ZERO = re.compile(r"(?<=\d)o(?=\d|\b)")
+_APOSTROPHE = re.compile(r"(?<=[^\W\d_])['\u2019](?=[^\W\d_])")
 
 
 def tokens(value: str) -> list[str]:
-    """Runs of letters and runs of digits, in lower case; a letter o within a number is a zero."""
-    return _TOKEN.findall(_ZERO.sub("0", value.lower()))
+    """Runs of letters and runs of digits, in lower case; a letter o within a number is a zero, an apostrophe joins."""
+    return _TOKEN.findall(_ZERO.sub("0", _APOSTROPHE.sub("", value.lower())))
 
 
 def _month(d: datetime.date) -> list[str]:
@@ -115,10 +98,21 @@ def period_aliases(start: datetime.date, end: datetime.date) -> list[str]:
     return [*out, *(f"{h} {f}" for h in heads for f in fiscal), *(f"{f} {h}" for h in heads for f in fiscal if not h.endswith(" of") and not h.endswith("the"))]
 
 
+def spelled_aliases(term: str) -> list[str]:
+    """Aliases of a name by its spelling: initials of several words, all words in one, and 'not x' for 'unx'."""
+    own = tokens(term)
+    out = ["".join(own)]
+    if len(own) > 1:
+        out += ["".join(w[0] for w in own), " ".join(w[0] for w in own)]
+    elif own and own[0].startswith("un") and len(own[0]) > 5:
+        out += [f"{no} {own[0][2:]}" for no in ("not", "non", "un")]
+    return out
+
+
 def default_aliases(field: str, term: str, start: datetime.date | None, end: datetime.date | None) -> list[str]:
     """Aliases of a row of the reference list."""
     own = " ".join(tokens(term))
-    return [own, *(period_aliases(start, end) if start and end else SCOPE_ALIASES.get(term.lower(), []))]
+    return [own, *(period_aliases(start, end) if start and end else spelled_aliases(term))]
 
 
 def _distance(a: str, b: str, limit: int) -> int:
@@ -139,6 +133,28 @@ def _distance(a: str, b: str, limit: int) -> int:
     return old[-1]
 
 
+def _common(a: str, b: str) -> int:
+    """Length of the longest common subsequence."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        corner = 0
+        for j, y in enumerate(b, 1):
+            corner, row[j] = row[j], corner + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def abbreviates(short: str, word: str) -> bool:
+    """Whether a word is short for another: it begins alike and keeps the order of letters, one slip from five letters on.
+
+    Two letters must be the first two; a word with an ending of up to three letters more stands for the word as well.
+    """
+    if short[0] != word[0] or short == word:
+        return False
+    if len(short) >= len(word):
+        return len(word) >= 5 and len(short) <= len(word) + 3 and _common(short, word) >= len(word) - 1
+    return word.startswith(short) if len(short) == 2 else len(short) > 2 and _common(short, word) >= len(short) - (len(short) >= 5)
+
+
 class Matcher:
     """The entries of one field."""
 
@@ -154,60 +170,98 @@ class Matcher:
             self.automaton.add_word(f" {alias} ", (len(alias), key))
         if self.ids:
             self.automaton.make_automaton()
-        known = {t for alias in self.ids for t in alias.split() if not t.isdigit()}
-        self.known = known | FILLERS
+        self.words = {t for alias in self.ids for t in alias.split() if not t.isdigit()}
+        self.known = self.words | FILLERS
         self.by_length: dict[int, list[str]] = {}
         for word in sorted(self.known):
             self.by_length.setdefault(len(word), []).append(word)
+        self.by_letter: dict[str, list[str]] = {}
+        # Words run together are not abbreviated.
+        for word in sorted(self.words - {alias.replace(" ", "") for alias in self.ids if " " in alias}):
+            self.by_letter.setdefault(word[0], []).append(word)
+        self.trie: dict = {}
+        for alias, key in self.ids.items():
+            node = self.trie
+            for word in alias.split():
+                node = node.setdefault(word, {})
+            node[""] = key
         self.near: dict[str, list[str]] = {}
 
-    def _mentions(self, words: list[str]) -> tuple[set[int], list[str]]:
-        """The entries that the longest mentions name, and the words outside them."""
+    def _plain(self, words: list[str]) -> int:
+        """The entry that the longest mentions name, if it is one and leaves only fillers."""
         text = f" {' '.join(words)} "
-        spans = sorted((-(n), end - n - 1, key) for end, (n, key) in self.automaton.iter(text)) if self.ids else []
-        taken, keys = [], set()
+        spans = sorted((-n, end - n - 1, key) for end, (n, key) in self.automaton.iter(text)) if self.ids else []
+        taken, keys = bytearray(len(text)), set()
         for n, start, key in spans:
-            stop = start - n
-            if all(stop < a or start > b for a, b in taken):
-                taken.append((start + 1, stop))
+            # Longer ones are placed already, so one that overlaps them has an end within.
+            if not taken[start + 1] and not taken[start - n]:
+                taken[start + 1 : start - n + 1] = b"\1" * -n
                 keys.add(key)
-        left, at = [], 1
+        if len(keys) != 1:
+            return 0
+        at = 1
         for word in words:
-            if not any(a <= at + 1 <= b + 1 for a, b in taken):
-                left.append(word)
+            if not taken[at] and word not in FILLERS:
+                return 0
             at += len(word) + 1
-        return keys, left
-
-    def _plain(self, words: list[str]) -> int:
-        keys, left = self._mentions(words)
-        return next(iter(keys)) if len(keys) == 1 and all(w in FILLERS for w in left) else 0
+        return keys.pop()
 
-    def _nearest(self, word: str) -> list[str]:
+    def _readings(self, word: str) -> list[str]:
+        """What a word may be: itself if it is known, else known words and pairs of known words run together."""
         if word in self.known or word.isdigit() or len(word) < 2:
             return [word]
         if word not in self.near:
-            # Known words typed without a space between.
+            if len(self.near) > 100_000:
+                self.near.clear()
             parted = [f"{word[:k]} {word[k:]}" for k in range(1, len(word)) if word[:k] in self.known and word[k:] in self.known]
             letters = set(word)
             limit = 1 if len(word) < 8 else 2
             found = [(d / max(len(word), len(k)), k) for n in range(len(word) - limit, len(word) + limit + 1) for k in self.by_length.get(n, ()) if len(letters.symmetric_difference(k)) <= 2 * limit and (d := _distance(word, k, limit)) <= limit and max(len(word), len(k)) > 2 * d]
             best = min((d for d, _ in found), default=0)
-            self.near[word] = [k for d, k in sorted(found) if d <= best + 1e-9][:4] + parted[:4] or [word]
+            short = [k for k in self.by_letter.get(word[0], ()) if abbreviates(word, k)]
+            self.near[word] = list(dict.fromkeys([*(k for d, k in sorted(found) if d <= best + 1e-9), *short, *parted])) or [word]
         return self.near[word]
 
     def match(self, value: str) -> int:
         """The entry that the value means, or 0."""
         words = tokens(value)
-        if not words or len(words) > 40:
+        if not words or not self.ids:
             return 0
         if found := self._plain(words):
             return found
-        near = [self._nearest(w) for w in words]
-        ways = [tuple(" ".join(way).split()) for way in itertools.islice(itertools.product(*near), 64)]
-        found = {self._plain(list(w)) for w in ways} - {0}
-        if len(found) == 1:
-            return found.pop()
-        return self._similar(ways) or self._joined("".join(words))
+        readings = list(map(self._readings, words))
+        return self._read(words, readings) or self._similar(readings) or self._joined("".join(words))
+
+    def _read(self, words: list[str], readings: list[list[str]]) -> int:
+        """As ``_plain``, along all readings of the words at once."""
+        n, spans = len(words), []
+        # Steps from each place: a known word and the place behind it; places within a word lie between numbers.
+        steps: dict[float, list[tuple[str, float]]] = {k: [] for k in range(n + 1)}
+        for k, own in enumerate(readings):
+            for j, reading in enumerate(own):
+                first, _, second = reading.partition(" ")
+                if second:
+                    steps[k].append((first, k + (j + 1) / (len(own) + 2)))
+                    steps[k + (j + 1) / (len(own) + 2)] = [(second, k + 1)]
+                else:
+                    steps[k].append((first, k + 1))
+            if k + 1 < n and words[k] + words[k + 1] in self.words:
+                steps[k].append((words[k] + words[k + 1], k + 2))
+        for k in range(n):
+            open_ = [(k, self.trie, 0)]
+            while open_:
+                place, node, size = open_.pop()
+                if "" in node and place == int(place):
+                    spans.append((k - int(place), -size, k, node[""]))
+                open_ += [(to, node[word], size + len(word)) for word, to in steps[place] if word in node]
+        taken, keys = bytearray(n), set()
+        for length, size, k, key in sorted(spans):
+            end = k - length
+            same = {other for a, b, c, other in spans if (a, c) == (length, k)} if not taken[k] else set()
+            if not taken[k] and not taken[end - 1]:
+                taken[k:end] = b"\1" * (end - k)
+                keys |= same
+        return keys.pop() if len(keys) == 1 and all(taken[k] or not FILLERS.isdisjoint(own) for k, own in enumerate(readings)) else 0
 
     def _joined(self, text: str) -> int:
         """Spaces typed in the wrong place: an alias without numbers at one edit, spaces aside."""
@@ -218,17 +272,20 @@ class Matcher:
         found = {key for alias, key in self.closed.items() if abs(len(alias) - len(text)) <= 1 and len(set(text).symmetric_difference(alias)) <= 2 and _distance(text, alias, 1) <= 1}
         return found.pop() if len(found) == 1 else 0
 
-    def _similar(self, ways: list[tuple[str, ...]]) -> int:
+    def _similar(self, readings: list[list[str]]) -> int:
+        """The entry with the alias whose set of words is most similar: words shared in some reading, of all words."""
+        asked = [frozenset(w for r in own for w in r.split()) for own in readings]
+        asked = list(dict.fromkeys(own for own in asked if not own <= FILLERS))
+        numbers = {w for own in asked for w in own if w.isdigit()}
+        asked = [own for own in asked if not any(map(str.isdigit, own))]
         best: dict[int, float] = {}
-        for way in ways:
-            words = {w for w in way if w not in FILLERS}
-            numbers = {w for w in words if w.isdigit()}
-            for word in words - numbers:
-                for alias_words, key in self._holding(word):
-                    if {w for w in alias_words if w.isdigit()} == numbers:
-                        score = len(words & alias_words) / len(words | alias_words)
-                        if score >= self.least:
-                            best[key] = max(best.get(key, 0), score)
+        for alias, key in dict.fromkeys(e for own in asked for w in own for e in self._holding(w)):
+            if {w for w in alias if w.isdigit()} == numbers:
+                named = [w for w in alias if not w.isdigit()]
+                shared = min(sum(not own.isdisjoint(named) for own in asked), len(named))
+                score = (shared + len(numbers)) / (len(asked) + len(named) - shared + len(numbers))
+                if score >= self.least:
+                    best[key] = max(best.get(key, 0), score)
         top = [k for k, v in best.items() if v == max(best.values())]
         return top[0] if len(top) == 1 else 0
 
@@ -248,7 +305,7 @@ def map_to_canonical(
     terms: DataFrame,
     keys: list[str],
     aliases: Callable[[str, str, datetime.date | None, datetime.date | None], list[str]] = default_aliases,
-    least: float = 0.75,
+    least: float = 0.65,
     most_terms: int = 10_000,
 ) -> DataFrame:
     """(keys..., field, value, term_id) for each row of ``values`` (keys..., field, value) with a value that is not blank.
