@@ -175,7 +175,7 @@ def _robust(x: np.ndarray, steps: int = 8) -> tuple[np.ndarray, np.ndarray]:
     return mean, inverse
 
 
-def fit_prose(documents: DataFrame, labels: DataFrame, doc_id: str, text: str, fit_rows: int = 5000, least_rows: int = 20) -> dict[str, tuple]:
+def fit_prose(documents: DataFrame, labels: DataFrame, doc_id: str, text: str, fit_rows: int = 2000, least_rows: int = 20) -> dict[str, tuple]:
     """Mean and inverse covariance of labelled prose for each language, and of all of it under ''.
 
     The ``fit_rows`` labelled ids of least hash are taken first, so that only their texts are measured.
@@ -189,7 +189,7 @@ def fit_prose(documents: DataFrame, labels: DataFrame, doc_id: str, text: str, f
     return {k: _robust(np.array(v)) for k, v in by.items() if len(v) >= (least_rows if k else 2)}
 
 
-def score_quality(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", fit_rows: int = 5000, cut: float = 40.0) -> DataFrame:
+def score_quality(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", fit_rows: int = 2000, cut: float = 40.0) -> DataFrame:
     """(doc_id, language, words, <statistics>, distance, outlier, contributions, kind) for each document.
 
     ``contributions`` maps each statistic to its part of the squared distance; they sum up to it. ``outlier`` is true

@@ -1,5 +1,6 @@
 """Operators for training data against brute force, and on nulls, blanks, long texts, ties, repeats and empty tables."""
 
+import itertools
 import random
 import re
 import unicodedata
@@ -9,11 +10,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimforge.llm import groups
-from claimforge.llm.canonical import map_to_canonical
+from claimforge.llm.canonical import Matcher, map_to_canonical
 from claimforge.llm.formatting import formatting_copies, formatting_groups
 from claimforge.llm.groups import connected_groups
 from claimforge.llm.leaks import LeakIndex, find_leaks
-from claimforge.llm.lookalikes import plain_text, to_plain_text
+from claimforge.llm.lookalikes import _HARMLESS, look_alikes, to_plain_text
 from claimforge.llm.mixing import fill, mix_documents, mix_shares
 from claimforge.llm.names import link_names, name_pairs, trie_join, within_one
 from claimforge.llm.quality import KINDS, STATISTICS, document_statistics, score_quality, text_statistics
@@ -51,6 +52,16 @@ def rows(df):
         ("scope", "pro froma (unadj)", "pro forma"),
         ("scope", "on a consoldated basis", "consolidated"),
         ("scope", "half of fleet", None),
+        ("scope", "Cons.", "consolidated"),
+        ("scope", "rep'd", "reported"),
+        ("scope", "provsnl", "provisional"),
+        ("scope", "cst ccy", "constant currency"),
+        ("scope", "disc ops", "discontinued operations"),
+        ("scope", "L.F.L. growth", "like-for-like"),
+        ("scope", "segmental", "segment"),
+        ("scope", "not audited", "unaudited"),
+        ("scope", "on the basis of the group figures as of the results " * 9 + "consolidated", "consolidated"),
+        ("period", "the figures of the period in the results for the items of the data on the values " * 4 + "Q1 FY25", "Q1 FY25"),
         ("scope", "?!", None),
         ("unheard", "FY21", None),
     ],
@@ -64,15 +75,28 @@ def test_canonical(spark, field, value, term):
 
 def test_canonical_edges(spark):
     terms = spark.read.parquet(f"{SMALL}/ref_terms.parquet")
-    values = spark.createDataFrame([("a", "scope", None), ("b", "scope", "  "), ("c", "scope", "audited"), ("c", "scope", "audited"), ("d", "scope", "adjusted restated"), ("e", "period", "FY21 " * 5000)], "id string, field string, value string")
+    values = spark.createDataFrame([("a", "scope", None), ("b", "scope", "  "), ("c", "scope", "audited"), ("c", "scope", "audited"), ("d", "scope", "adjusted restated"), ("e", "period", "FY21 " * 5000), ("f", "period", "w1x " * 20_000 + "FY21")], "id string, field string, value string")
     got = sorted((r.id, r.term_id) for r in map_to_canonical(values, terms, ["id"]).collect())
-    assert got == [("c", 180), ("c", 180), ("d", 0), ("e", 0)]
+    assert got[:3] == [("c", 180), ("c", 180), ("d", 0)] and got[3][1] > 0 and got[4][1] == 0
     assert map_to_canonical(values.limit(0), terms, ["id"]).count() == 0
     assert [r.term_id for r in map_to_canonical(values.where("id = 'd'"), terms.limit(0), ["id"]).collect()] == [0]
     with pytest.raises(ValueError):
         map_to_canonical(values, terms, ["id"], most_terms=10)
 
 
+def test_readings_against_brute_force():
+    """All ways to read a value, one by one, against the search along all of them at once."""
+    matcher = Matcher([(1, ["alpha beta"]), (2, ["alpha"]), (3, ["beta gamma delta"]), (4, ["gamma"]), (5, ["delta x"])], 0.65)
+    rng = random.Random(7)
+    words = ["alpha", "alhpa", "beta", "btea", "gamma", "gmma", "delta", "dleta", "x", "betagamma", "of", "zzz"]
+    for _ in range(400):
+        own = [rng.choice(words) for _ in range(rng.randint(1, 5))]
+        readings = list(map(matcher._readings, own))
+        plain = {matcher._plain(" ".join(way).split()) for way in itertools.product(*readings)}
+        if len(plain) == 1:
+            assert matcher._read(own, readings) in plain | {0} if 0 in plain else matcher._read(own, readings) in plain
+
+
 # 2 ---------------------------------------------------------------------------------------------------------------
 
 
@@ -195,9 +219,30 @@ def test_split_oversized(spark):
         ("x" * 50_000, None),
     ],
 )
-def test_plain_text(text, plain):
-    assert plain_text(text) == (text if plain is None else plain)
-    assert plain_text(plain_text(text)) == plain_text(text)
+def test_plain_text(spark, text, plain):
+    tables = look_alikes(spark)
+    assert tables.text(text) == (text if plain is None else plain)
+    assert tables.text(tables.text(text)) == tables.text(text)
+
+
+@pytest.mark.parametrize(
+    ("points", "plain"),
+    [((0x61, 0x3164, 0x62), "ab"), ((0x63, 0x115F, 0x64), "cd"), ((0x65, 0x2800, 0x66), "e f"), ((0x67, 0xE0041, 0xE007F), "g"), ((0x261, 0x6F), "go"), ((0x251, 0x74), "at"), ((0x66, 0x131, 0x6E), "fin"), ((0xA4F0, 0x6E, 0x64), "End"), ((0x2C9F, 0x66), "of"), ((0x3F2, 0x61, 0x73, 0x68), "cash"), ((0x440, 0x44B, 0x431, 0x61), "\u0440\u044b\u0431\u0430")],
+)
+def test_more_look_alikes(spark, points, plain):
+    assert look_alikes(spark).text("".join(map(chr, points))) == plain
+
+
+def test_script_sets_are_intersected(spark):
+    tables = look_alikes(spark)
+    assert tables.resolved("a1") == {"Latn"} and tables.resolved("\u0430\u0431") == {"Cyrl"} and tables.resolved("a\u0430") == frozenset()
+    assert "Jpan" in tables.resolved("\u30cb\u4e8c") and tables.resolved("123") is None
+
+
+def test_no_text_changes_unseen(spark):
+    tables, seen = look_alikes(spark), re.compile(f"[^{_HARMLESS}]")
+    points = [chr(k) for k in range(0x80, 0x20000) if not 0xD800 <= k < 0xE000]
+    assert not [t for c in points for t in (c, f"ab{c}cd", f"x {c} y") if not seen.search(t) and tables.text(t) != t]
 
 
 def test_to_plain_text(spark):
@@ -288,11 +333,29 @@ def test_leaks(spark):
     assert find_leaks(documents.limit(0), items).count() == 0
 
 
+@pytest.mark.parametrize(("every", "least", "most"), [(5, 0.95, 1), (6, 0.95, 1), (10, 0.95, 1), (2, 0, 0)])
+def test_changed_words_within_passages(every, least, most):
+    item = [f"w{k}" for k in range(60)]
+    index = LeakIndex([(1, " ".join(item)), (2, "some other item of words")], 10, 3)
+    changed = [f"x{k}" if k % every == every - 1 else w for k, w in enumerate(item)]
+    assert least <= index.share(0, ["q"] * 30 + changed + ["z"] * 30) <= most
+
+
+def test_passages_in_pieces_count_together():
+    item = [f"w{k}" for k in range(60)]
+    index = LeakIndex([(1, " ".join(item))], 10, 3)
+    pieces = [w for k in range(0, 60, 24) for w in (*item[k : k + 12], *(f"y{k}{j}" for j in range(50)))]
+    assert index.share(0, pieces) == pytest.approx(0.6)
+    assert index.share(0, item[20:30] + ["added", "words"] + item[30:40] + item[45:60]) == pytest.approx(35 / 60)
+    assert index.share(0, item[:9] + ["n"] * 20 + item[20:29]) == 0
+    assert index.share(0, (item[:12] + ["n"] * 9) * 200 + item[30:52]) == pytest.approx(34 / 60)
+
+
 def test_all_fingerprints_within_the_radius_are_found():
     import numpy as np
 
     rng = np.random.default_rng(4)
-    index = LeakIndex([(k, " ".join(f"w{x}" for x in rng.integers(0, 500, 40))) for k in range(30)], 10, 3, 0.5, 6)
+    index = LeakIndex([(k, " ".join(f"w{x}" for x in rng.integers(0, 500, 40))) for k in range(30)], 10, 3)
     asked = np.concatenate([index.prints[::7] ^ np.bitwise_or.reduce([np.uint64(1) << np.uint64(b) for b in rng.choice(64, n, replace=False)] or [np.uint64(0)]) for n in (0, 1, 2, 3, 4)])
     at, who = index.candidates(asked)
     want = {(i, int(o)) for i, p in enumerate(asked) for o in index.owners[np.bitwise_count(index.prints ^ p) <= 3]}
