@@ -1,13 +1,18 @@
 """Variant spellings of names typed by people.
 
-Method: a trie join. Names are reduced to a core (titles, legal forms and abbreviations aside) and sharded by the
-first or the last half of the core, one of which any single edit leaves whole. Within each shard the cores make up a
-trie, which a Levenshtein automaton walks for each of them, so that neighbours within the distance are enumerated
-without comparing all pairs; cores of several words take part in each order of their words. Neighbours become links,
-links become groups, and shortened forms (initials, a word left out) join the one group that they can stand for.
+Method: a trie join. Names are reduced to a core (titles, legal forms and common words aside) and sharded by the
+first or the last half of the core, one of which any single edit leaves whole (by segments for more edits). Within
+each shard the cores make up a trie, which a Levenshtein automaton walks for each of them, so that neighbours within
+the distance are enumerated without comparing all pairs; cores of several words take part in the orders of their words.
+Neighbours become links, links become groups, and shortened forms (initials, a word left out) join the one group that
+they can stand for.
+
+Which words are common to many companies (their trades) is learned from the names themselves: a word that follows
+many different first words tells nothing about which company is meant, but must agree. Short forms of such words are
+recognised by the order of their letters. Only closed classes of words are given: legal forms, titles and nicknames.
 
 Equal names are counted once before anything else, so a hot spelling is one row. A shard of more than
-``most_in_shard`` cores is walked in blocks: each block holds a part of them in its trie and is asked for all.
+``most_in_shard`` cores is walked in blocks: each block holds a part of them in its trie, and all stream past it.
 """
 
 from __future__ import annotations
@@ -21,19 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimforge.functions.text import plain_key
+from claimforge.functions.worker import kept
 from claimforge.llm.groups import connected_groups
 from claimforge.session import Scratch
 
 #: Legal forms, which do not tell companies of one name apart.
 LEGAL = frozenset("limited ltd lmtd incorporated inc corporation corp corpn company co private pvt pte holdings holding hldgs hldg plc llc llp lp gmbh ag sa nv bv".split())
-#: Words of trade, with their short forms.
-TRADE = {
-    "agro": "agro agri", "exports": "exports export exp exps", "cement": "cement cements cem", "power": "power pwr", "transmission": "transmission trans transm", "broadband": "broadband bb", "networks": "networks network nets netw",
-    "shipping": "shipping ship shpg", "lines": "lines line", "airports": "airports airport", "authority": "authority auth", "minerals": "minerals mineral min mins", "metals": "metals metal", "infrastructure": "infrastructure infra infrastr",
-    "financial": "financial fin finance", "services": "services service svcs serv servs", "technologies": "technologies technology tech techs", "pharmaceuticals": "pharmaceuticals pharmaceutical pharma pharm", "logistics": "logistics logistic logst", "insurance": "insurance ins insur",
-    "engineering": "engineering engg engr eng", "manufacturing": "manufacturing mfg manuf", "industries": "industries industry ind inds", "international": "international intl", "chemicals": "chemicals chemical chem chems", "textiles": "textiles textile text texts",
-    "national": "national natl", "railways": "railways railway rlys rly rail", "bank": "bank bk", "energy": "energy", "oil": "oil", "gas": "gas", "steel": "steel steels", "motors": "motors motor", "foods": "foods food", "media": "media", "telecom": "telecom telecommunications", "systems": "systems system sys",
-}
 #: Given names with their short forms.
 GIVEN = {
     "alexander": "alex alec sandy sasha xander", "benjamin": "ben benny benji", "christopher": "chris kit topher", "deborah": "deb debbie debra", "edward": "ed eddie ned", "elizabeth": "liz beth betty eliza lizzie", "frederick": "fred freddie freddy", "gabriella": "gabi gabby gaby", "harold": "harry hal",
@@ -42,10 +40,9 @@ GIVEN = {
     "anthony": "tony", "steven": "steve", "andrew": "andy", "susan": "sue susie", "jennifer": "jen jenny", "catherine": "cathy", "anne": "annie", "mary": "molly", "matthew": "matt", "timothy": "tim",
 }
 TITLES = frozenset("mr mrs ms miss dr prof sir shri smt".split())
-_TRADE = {s: k for k, v in TRADE.items() for s in v.split()}
 _GIVEN = {s: k for k, v in GIVEN.items() for s in (k, *v.split())}
 _SMALL = frozenset("the and of m s".split())
-_LONG = sorted({w for w in (*_TRADE, *LEGAL) if len(w) >= 5} | {w for w in TRADE if len(w) >= 4}, key=lambda w: (-len(w), w))
+_VOWELS = frozenset("aeiou")
 
 
 def _edits(word: str) -> set[str]:
@@ -64,21 +61,61 @@ def within_one(a: str, b: str) -> bool:
     return x[1:] == y[1:] or x[1:] == y or x == y[1:] or (len(x) >= 2 and len(y) >= 2 and x[0] == y[1] and x[1] == y[0] and x[2:] == y[2:])
 
 
-#: Words of which a slip is recognised.
-_SLIPS = {w for w in (*_TRADE, *LEGAL, *_GIVEN) if len(w) >= 5} | {w for w in TRADE if len(w) >= 4}
-_NEAR: dict[str, list[str]] = {}
-for _w in sorted(_SLIPS):
-    for _e in _edits(_w):
-        _NEAR.setdefault(_e, []).append(_w)
+def _follows(short: str, word: str) -> bool:
+    """Whether a word is cut short with letters left out: behind what both begin with it has consonants only, in order."""
+    alike = next((k for k, (x, y) in enumerate(zip(short, word)) if x != y), min(len(short), len(word)))
+    letters = iter(word[alike:])
+    return alike > 0 and _VOWELS.isdisjoint(short[alike:]) and all(c in letters for c in short[alike:])
+
 
+def short_for(word: str, words: list[str]) -> str | None:
+    """The one of some words that a word is short for: cut off at the end, else with letters left out.
 
-def _known(word: str) -> str:
-    """The known word that a word is a slip of, or the word itself."""
-    if len(word) < 3 or word in _TRADE or word in LEGAL or word in _GIVEN:
+    A word with up to two letters more stands for the word as well.
+    """
+    alike = [w for w in words if w[0] == word[0] and w != word]
+    cut = [w for w in alike if len(word) > 2 and w.startswith(word) or len(w) >= 4 and word.startswith(w) and len(word) <= len(w) + 2]
+    found = cut or [w for w in alike if len(word) < len(w) and _follows(word, w)]
+    return found[0] if len(found) == 1 else None
+
+
+class Vocabulary:
+    """Words that do not tell names apart: words of trade with their short forms, legal forms, given names with nicknames."""
+
+    def __init__(self, trade: tuple[str, ...], shorts: tuple[tuple[str, str], ...]):
+        self.trade, self.shorts = frozenset(trade), dict(shorts)
+        self.words = sorted(self.trade)
+        slips = {w for w in (*trade, *self.shorts, *LEGAL, *_GIVEN) if len(w) >= 5} | {w for w in trade if len(w) >= 4}
+        self.near: dict[str, list[str]] = {}
+        for word in sorted(slips):
+            for rest in _edits(word):
+                self.near.setdefault(rest, []).append(word)
+        # Words that may be typed onto the one before.
+        self.tails = sorted({w for w in (*trade, *LEGAL) if len(w) >= 4}, key=lambda w: (-len(w), w))
+        self.made: dict[str, str] = {}
+
+    def known(self, word: str) -> str:
+        """The known word, words run together, that a word stands for; or the word itself."""
+        if len(word) < 2 or word in self.trade or word in LEGAL or word in _GIVEN or word in TITLES or word in _SMALL:
+            return word
+        if word not in self.made:
+            if len(self.made) > 200_000:
+                self.made.clear()
+            self.made[word] = self._known(word)
+        return self.made[word]
+
+    def _known(self, word: str) -> str:
+        if word in self.shorts:
+            return self.shorts[word]
+        if len(word) >= 3:
+            near = {w for e in _edits(word) for w in self.near.get(e, ()) if within_one(word, w)}
+            if len({self.shorts.get(w) or _GIVEN.get(w, w) for w in near}) == 1:
+                return self.shorts.get(min(near), min(near))
+        for k in range(3, len(word) - 2):
+            both = [[w for w in self.words if len(w) > len(part) and w.startswith(part)] for part in (word[:k], word[k:])]
+            if all(len(found) == 1 for found in both):
+                return f"{both[0][0]} {both[1][0]}"
         return word
-    near = {w for e in _edits(word) for w in _NEAR.get(e, ()) if within_one(word, w)}
-    meant = {_TRADE.get(w) or _GIVEN.get(w) or w for w in near}
-    return min(near) if len(meant) == 1 else word
 
 
 def _legal(tokens: list[str]) -> str:
@@ -89,28 +126,28 @@ def _legal(tokens: list[str]) -> str:
     return "limited" if any(t in LEGAL for t in tokens) else ""
 
 
-def parse_name(key: str) -> tuple[str, str, list[str], list[str], str]:
+def parse_name(key: str, vocabulary: Vocabulary) -> tuple[str, str, list[str], list[str], str]:
     """(kind, trade, words, initials, middle) of a plain key; kind is 'c' for companies and 'p' for persons.
 
     For persons trade is the given name where it is known, for companies middle is the legal form.
     """
-    text = key.replace("finserv", "financial services")
-    text = re.sub(r"\bint l\b", "international", re.sub(r"\bnat l\b", "national", text))
+    text = re.sub(r"\bint l\b", "international", re.sub(r"\bnat l\b", "national", key))
     text = re.sub(r"\b(p|pvt) ltd\b", "private limited", text)
+    common = lambda token: token in vocabulary.trade or token in LEGAL
     tokens: list[str] = []
-    for token in map(_known, text.split()):
+    for token in " ".join(map(vocabulary.known, text.split())).split():
         parts: list[str] = []
-        while token not in _TRADE and token not in LEGAL and token not in _GIVEN:
-            tail = next((w for w in _LONG if token.endswith(w) and len(token) - len(w) >= 4), None)
+        while not common(token) and token not in _GIVEN:
+            tail = next((w for w in vocabulary.tails if token.endswith(w) and len(token) - len(w) >= 4), None)
             if tail is None:
                 break
             token, parts = token[: -len(tail)], [tail, *parts]
         tokens += [token, *parts]
-    if any(t in _TRADE or t in LEGAL for t in tokens) and any(t in LEGAL or t in _TRADE and len(t) > 3 for t in tokens):
+    if any(t in LEGAL or t in vocabulary.trade and len(t) > 3 for t in tokens):
         if tokens[:2] == ["m", "s"]:
             tokens = tokens[2:]
-        trade = sorted({_TRADE[t] for t in tokens if t in _TRADE})
-        rest = [t for t in tokens if t not in _TRADE and t not in LEGAL and (t not in _SMALL or t in ("m", "s"))]
+        trade = sorted({t for t in tokens if t in vocabulary.trade})
+        rest = [t for t in tokens if not common(t) and (t not in _SMALL or t in ("m", "s"))]
         return "c", " ".join(trade), [t for t in rest if len(t) > 1], [t for t in rest if len(t) == 1], _legal(tokens)
     tokens = [t for t in tokens if t not in TITLES] or tokens
     long = [_GIVEN.get(t, t) for t in tokens if len(t) > 1]
@@ -123,18 +160,48 @@ def parse_name(key: str) -> tuple[str, str, list[str], list[str], str]:
     return "p", "", long, initials, ""
 
 
+def _orders(words: list[str]) -> list[tuple[str, ...]]:
+    """Orders of words that are tried: all of up to three words, of more the turned ones and the sorted one."""
+    if len(words) <= 3:
+        return list(itertools.permutations(words))
+    return list(dict.fromkeys([*(tuple(words[k:] + words[:k]) for k in range(len(words))), tuple(sorted(words))]))
+
+
+def common_words(keys: DataFrame, share: float = 0.02, least: int = 8, share_short: float = 0.0005, least_short: int = 3) -> tuple[tuple[str, ...], tuple[tuple[str, str], ...]]:
+    """The words of trade of the plain keys ``key``, and their short forms (short, word).
+
+    A word of trade follows at least ``share`` of all first words (many first words, not many names: one company in
+    many spellings has but a few). A short form follows ``share_short`` of them and is short for just one such word.
+    """
+    tokens = keys.select(F.split("key", " ").alias("t")).select(F.element_at("t", 1).alias("first"), F.explode(F.array_distinct("t")).alias("word"))
+    known = [*LEGAL, *TITLES, *_GIVEN, *_SMALL]
+    spread = tokens.where((F.col("word") != F.col("first")) & (F.length("word") > 1) & ~F.col("word").isin(known) & ~F.col("first").isin([*_GIVEN, *TITLES]))
+    by = spread.distinct().groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_short)
+    firsts = tokens.agg(F.count_distinct("first").alias("n")).first()["n"]
+    # A name of some ten words has as many beside its first, so ten in a share of first words bound what is collected.
+    most = int(10 / share_short)
+    found = by.where(F.col("n") >= share_short * firsts).limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError("more common words than their share allows")
+    trade = tuple(sorted(r.word for r in found if r.n >= max(least, share * firsts) and len(r.word) > 2))
+    # What is short for another word of trade is none by itself.
+    shorts = {r.word: word for r in found if (word := short_for(r.word, [w for w in trade if len(w) > len(r.word) or r.word not in trade]))}
+    return tuple(w for w in trade if w not in shorts), tuple(sorted(shorts.items()))
+
+
 _CORES = "key string, kind string, space string, cores array<string>, middle string, shapes array<string>, short string, rests array<string>"
 
 
-def _cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cores(batches: Iterator[pa.RecordBatch], common: tuple) -> Iterator[pa.RecordBatch]:
     """Cores of whole names, the shapes that short forms of it take, and for short forms the shape they have."""
+    vocabulary = kept(("names", common), lambda: Vocabulary(*common))
     for batch in batches:
         out = []
         for key in batch.column(0).to_pylist():
-            kind, trade, words, initials, middle = parse_name(key)
+            kind, trade, words, initials, middle = parse_name(key, vocabulary)
             cores, shapes, short, rests, space = [], [], None, [], f"{kind}|{trade}"
             if kind == "c":
-                orders = list(itertools.permutations(words)) if len(words) <= 3 else [tuple(words), tuple(sorted(words))]
+                orders = _orders(words)
                 if initials and words:
                     short = f"c|{trade}|{' '.join(sorted(words))}|{''.join(sorted(initials))}|{middle}"
                 elif words:
@@ -143,14 +210,14 @@ def _cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     for k, word in enumerate(words) if len(words) > 1 else ():
                         rest = " ".join(sorted(words[:k] + words[k + 1 :]))
                         shapes += [f"c|{trade}|{rest}|{word[0]}", f"c|{trade}|{rest}|"]
-                        rests += ["".join(o) for o in itertools.permutations(words[:k] + words[k + 1 :])] if len(words) <= 3 else []
+                        rests += ["".join(o) for o in _orders(words[:k] + words[k + 1 :])]
                     parts = trade.split()
                     shapes += [f"c|{' '.join(parts[:k] + parts[k + 1 :])}|{' '.join(sorted(words))}|" for k in range(len(parts)) if len(parts) > 1]
                     shapes = [f"{shape}|{form}" for shape in shapes for form in {"", middle}]
                 else:
                     cores = [trade or key]
             elif len(words) >= 2 or trade:
-                orders = list(itertools.permutations(words)) if len(words) <= 3 else [tuple(words)]
+                orders = _orders(words)
                 if trade:  # a given name is known
                     cores = sorted({f"{trade} {''.join(o)}" for o in orders})
                     firsts = [(trade, "".join(o)) for o in orders]
@@ -181,6 +248,23 @@ def _halves(core: Column) -> Column:
     return F.concat(first, last)
 
 
+def _segments(core: Column, limit: int) -> tuple[Column, Column]:
+    """Shard keys of cores as held and as asked for ``limit`` edits, an exchange of letters being one.
+
+    A held core is cut into 2 * limit + 1 segments, of which limit edits leave one whole, moved by limit places at most; a
+    core asks for each such piece of it, for each length that the other may have.
+    """
+    n, pieces = F.length(core), 2 * limit + 1
+    start = lambda size, k: F.floor(size * k / pieces)
+    key = lambda size, k, at: F.concat_ws(":", size.cast("string"), k.cast("string"), F.substring(core, (at + 1).cast("int"), (start(size, k + 1) - start(size, k)).cast("int")))
+    numbers = F.sequence(F.lit(0), F.lit(pieces - 1))
+    held = F.transform(numbers, lambda k: key(n, k, start(n, k)))
+    lengths = F.sequence(F.greatest(n - limit, F.lit(0)), n + limit)
+    moves = F.sequence(F.lit(-limit), F.lit(limit))
+    asked = F.flatten(F.transform(lengths, lambda size: F.flatten(F.transform(numbers, lambda k: F.transform(F.filter(moves, lambda m: start(size, k) + m >= 0), lambda m: key(size, k, start(size, k) + m))))))
+    return held, F.array_distinct(asked)
+
+
 _END = "\0"
 
 
@@ -212,54 +296,53 @@ def _walk(trie: dict, word: str, limit: int) -> Iterator[str]:
 
 
 def trie_join(cores: DataFrame, limit: int = 1, most_in_shard: int = 20_000) -> DataFrame:
-    """(a, b), a < b: all different ``core`` values of one ``space`` within one edit (letters exchanged count as one)."""
-    if limit != 1:
-        raise ValueError("halves keep pairs within one edit together")
-    cores = cores.select("space", "core").distinct()
-    sharded = cores.select("space", "core", F.explode(_halves(F.col("core"))).alias("half")).withColumn("shard", F.concat_ws("\u0001", "space", "half")).drop("half")
-    large = sharded.groupBy("shard").count().where(F.col("count") > most_in_shard).select("shard", F.ceil(F.col("count") / most_in_shard).cast("int").alias("blocks"))
-    placed = sharded.join(large, "shard", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    placed = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("held", F.pmod(F.xxhash64("core"), F.col("blocks")) == F.col("block"))
+    """(a, b, space), a < b: all different ``core`` values of one ``space`` within ``limit`` edits (letters exchanged count as one).
 
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, trie, asked = None, {}, []
-
-        def done() -> list[tuple]:
-            space = shard[0].split("\u0001")[0] if shard else ""
-            return [(min(w, found), max(w, found), space) for w in asked for found in _walk(trie, w, limit) if found != w] if trie and len(asked) > 1 else []
-
-        def pairs(out: list[tuple]) -> pa.RecordBatch:
-            columns = list(zip(*set(out))) or [[]] * 3
-            return pa.record_batch([pa.array(c, pa.string()) for c in columns], names=["a", "b", "space"])
+    One edit shards by halves, more by segments. Rows without space or core are left out.
+    """
+    cores = cores.select("space", "core").where("space is not null and core is not null").distinct()
+    if limit == 1:
+        placed = cores.select("space", "core", F.explode(_halves(F.col("core"))).alias("key"), F.lit(True).alias("holds"))
+    else:
+        held, asked = _segments(F.col("core"), limit)
+        placed = cores.select("space", "core", F.explode(held).alias("key"), F.lit(True).alias("holds")).unionByName(cores.select("space", "core", F.explode(asked).alias("key"), F.lit(False).alias("holds")))
+    placed = placed.withColumn("shard", F.concat_ws("\u0001", "space", "key")).drop("key")
+    large = placed.where("holds").groupBy("shard").count().where(F.col("count") > most_in_shard).select("shard", F.ceil(F.col("count") / most_in_shard).cast("int").alias("blocks"))
+    placed = placed.join(large, "shard", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("held", F.col("holds") & (F.pmod(F.xxhash64("core"), F.col("blocks")) == F.col("block")))
 
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, trie = None, {}
         for batch in batches:
-            out: list[tuple] = []
+            out: set[tuple] = set()
             for name, block, core, held in zip(*(c.to_pylist() for c in batch.columns)):
                 if (name, block) != shard:
-                    out += done()
-                    shard, trie, asked = (name, block), {}, []
+                    shard, trie = (name, block), {}
+                # What a block holds comes first, and each asks those before it; the others ask all, and stay nowhere.
+                out.update((min(core, found), max(core, found), name.partition("\u0001")[0]) for found in _walk(trie, core, limit) if found != core)
                 if held:
                     _insert(trie, core)
-                asked.append(core)
-            # What the batch's last shard has so far stays open for the next batch.
-            yield pairs(out)
-        yield pairs(done())
+            columns = list(zip(*out)) or [[]] * 3
+            yield pa.record_batch([pa.array(c, pa.string()) for c in columns], names=["a", "b", "space"])
 
-    spaced = placed.select("shard", "block", "core", "held").repartition("shard", "block").sortWithinPartitions("shard", "block")
+    spaced = placed.select("shard", "block", "core", "held").repartition("shard", "block").sortWithinPartitions("shard", "block", F.desc("held"))
     return spaced.mapInArrow(walk, "a string, b string, space string").distinct()
 
 
-def link_names(records: DataFrame, name: str) -> DataFrame:
+def link_names(records: DataFrame, name: str, trade_words: list[str] | None = None, trade_shorts: dict[str, str] | None = None) -> DataFrame:
     """(name, entity): each plain key of the names with the entity it belongs to (the smallest key of the entity).
 
     Null and blank names give no row, and names without letters or digits none either. Names of one entity are those
     whose cores lie within one edit of each other, directly or through others: legal forms, titles, word order,
     abbreviations and nicknames do not matter; trade words and, where both have one, middle initials must agree.
     Initials and names with a word left out join an entity only if there is exactly one that they can stand for.
+    ``trade_words`` and their short forms are given for names too few to learn them from.
     """
     scratch = Scratch(records.sparkSession, "names")
     keys = records.select(plain_key(F.col(name)).alias("key")).where("key <> ''").distinct()
-    parsed = scratch.write(keys.mapInArrow(_cores, _CORES), "parsed")
+    keys = scratch.write(keys, "keys")
+    common = common_words(keys) if trade_words is None else (tuple(sorted(trade_words)), tuple(sorted((trade_shorts or {}).items())))
+    parsed = scratch.write(keys.mapInArrow(lambda batches: _cores(batches, common), _CORES), "parsed")
     whole = parsed.where("size(cores) > 0")
     cores = whole.select("space", F.explode("cores").alias("core"))
     node = lambda space, core: F.concat_ws("\u0002", space, core)
@@ -270,7 +353,7 @@ def link_names(records: DataFrame, name: str) -> DataFrame:
         near = near.join(rests.select("space", F.col("core").alias(end), F.lit(True).alias(f"rest_{end}")), ["space", end], "left")
     near = near.where(F.coalesce("rest_a", F.lit(False)) == F.coalesce("rest_b", F.lit(False)))
     near = near.select(node(F.col("space"), F.col("a")).alias("a"), node(F.col("space"), F.col("b")).alias("b"))
-    orders = whole.where("size(cores) > 1").select(node(F.col("space"), F.col("cores")[0]).alias("a"), F.explode(F.slice("cores", 2, 10)).alias("core"), "space").select("a", node(F.col("space"), F.col("core")).alias("b"))
+    orders = whole.where("size(cores) > 1").select(node(F.col("space"), F.col("cores")[0]).alias("a"), F.explode(F.slice(F.col("cores"), F.lit(2), F.size("cores"))).alias("core"), "space").select("a", node(F.col("space"), F.col("core")).alias("b"))
     groups = connected_groups(near.unionByName(orders), "a", "b").select(F.col("member").alias("node"), "group_id")
     own = whole.withColumn("node", node(F.col("space"), F.col("cores")[0])).join(groups, "node", "left").select("key", "kind", "middle", "shapes", "short", F.coalesce("group_id", "node").alias("family"))
     own = scratch.write(own, "families")

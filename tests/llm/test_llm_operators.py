@@ -16,7 +16,7 @@ from claimforge.llm.groups import connected_groups
 from claimforge.llm.leaks import LeakIndex, find_leaks
 from claimforge.llm.lookalikes import _HARMLESS, look_alikes, to_plain_text
 from claimforge.llm.mixing import fill, mix_documents, mix_shares
-from claimforge.llm.names import link_names, name_pairs, trie_join, within_one
+from claimforge.llm.names import common_words, link_names, name_pairs, short_for, trie_join, within_one
 from claimforge.llm.quality import KINDS, STATISTICS, document_statistics, score_quality, text_statistics
 from claimforge.llm.splitting import split_oversized, split_text
 
@@ -110,6 +110,49 @@ def test_trie_join_against_brute_force(spark):
         assert got == want
 
 
+@pytest.mark.parametrize("limit", [2, 3])
+def test_trie_join_for_more_edits(spark, limit):
+    rng = random.Random(9)
+    words = {"".join(rng.choice("abcd") for _ in range(rng.randint(1, 11))) for _ in range(130)}
+    words |= {w[: len(w) // 2] + rng.choice("xyz") + w[len(w) // 2 :] for w in list(words)[:40]}
+    words |= {w[: len(w) // 2] + w[len(w) // 2 + 1 : len(w) // 2 + 2] + w[len(w) // 2 : len(w) // 2 + 1] + w[len(w) // 2 + 2 :] for w in list(words)[:40]}
+    df = spark.createDataFrame([("s", w) for w in words] + [("s", None), (None, "a")], "space string, core string")
+
+    def distance(a, b):
+        rows = [list(range(len(b) + 1))]
+        for i, x in enumerate(a, 1):
+            rows.append([i])
+            for j, y in enumerate(b, 1):
+                cost = min(rows[-2][j] + 1, rows[-1][-1] + 1, rows[-2][j - 1] + (x != y))
+                if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                    cost = min(cost, rows[-3][j - 2] + 1)
+                rows[-1].append(cost)
+        return rows[-1][-1]
+
+    assert rows(trie_join(df, limit, 50).select("a", "b")) == {(a, b) for a in words for b in words if a < b and distance(a, b) <= limit}
+
+
+def test_words_of_trade_are_learned(spark):
+    names = [f"n{k:02}ox {trade}{legal}" for k in range(40) for trade, legal in (("cement", " limited"), ("engineering", " ltd"), ("engg" if k % 2 else "shipping lines", " inc"))]
+    names += ["hotname " + "x" * k for k in range(30)] + ["solo word", ""]
+    trade, shorts = common_words(spark.createDataFrame([(n,) for n in names if n], "key string"))
+    assert set(trade) == {"cement", "engineering", "shipping", "lines"} and dict(shorts) == {"engg": "engineering"}
+
+
+@pytest.mark.parametrize(("short", "word"), [("engg", "engineering"), ("mfg", "manufacturing"), ("pharma", "pharmaceuticals"), ("infrastr", "infrastructure"), ("logst", "logistics"), ("cements", "cement"), ("intl", "international"), ("inal", None), ("tramvus", None), ("x", None)])
+def test_short_for(short, word):
+    assert short_for(short, ["engineering", "manufacturing", "pharmaceuticals", "infrastructure", "logistics", "cement", "international"]) == word
+
+
+def test_names_of_many_words_in_other_orders(spark):
+    df = spark.createDataFrame([("Juan Carlos Perez Gomez Diaz",), ("Perez Gomez Diaz Juan Carlos",), ("Carlos Diaz Gomez Juan Perez",), ("Alba Bern Cole Dorn Limited",), ("Cole Dorn Alba Bern Ltd",)], "name string")
+    assert sorted(r["count"] for r in link_names(df, "name").groupBy("entity").count().collect()) == [2, 3]
+
+
+TRADES = ["cement", "financial", "insurance", "networks", "railways", "national", "services"]
+SHORTS = {"ins": "insurance", "rlys": "railways", "natl": "national"}
+
+
 def test_names(spark):
     alike = [
         ["Vumstomjin National Railways Limited", "VUMSTOJMIN National Railways Ltd.", "National Railways Vumstomjin Limited", "Vums tomjin Nat'l Rlys Limited", "The Vumstomjin National Railways", "Vumstomjin Railways Ltd"],
@@ -123,7 +166,7 @@ def test_names(spark):
     typed = [n for g in alike for n in g] * 2 + [None, "", " - "]
     df = spark.createDataFrame([(n, "x") for n in typed], "name string, entity string")
     key = lambda n: re.sub(r"[\W_]+", " ", n.lower()).strip()
-    linked = link_names(df, "name")
+    linked = link_names(df, "name", TRADES, SHORTS)
     got = defaultdict(set)
     for r in linked.collect():
         got[r.entity].add(r.name)
@@ -136,7 +179,7 @@ def test_names(spark):
 def test_a_word_left_out_is_no_slip(spark):
     df = spark.createDataFrame([("Gartaldal Namkelkur Networks Limited",), ("Namkelkur Networks Limited",), ("Namkolkur Networks Limited",), ("Namkolkurr Networks Ltd",)], "name string")
     got = defaultdict(set)
-    for r in link_names(df, "name").collect():
+    for r in link_names(df, "name", TRADES).collect():
         got[r.entity].add(r.name.split(" networks")[0])
     assert sorted(map(sorted, got.values())) == [["gartaldal namkelkur", "namkelkur"], ["namkolkur", "namkolkurr"]]
 
