@@ -61,14 +61,23 @@ def numeric_diff(a: Column, b: Column) -> Column:
     return F.abs(numeric(a) - numeric(b))
 
 
-def values_close(a: Column, b: Column, relative: str = "0.005", absolute: str = "1.0") -> Column:
+def bare_text(value: Column) -> Column:
+    """A value as it is compared as text: trimmed, in lower case."""
+    return F.lower(_strip(_text(value)))
+
+
+def numbers_close(x: Column, y: Column, text_x: Column, text_y: Column, relative: str = "0.005", absolute: str = "1.0") -> Column:
     """Equal texts, or numbers within the absolute or the relative tolerance (of their mean size)."""
-    x, y = numeric(a), numeric(b)
-    same = (F.lower(_strip(_text(a))) == F.lower(_strip(_text(b)))) & (_strip(_text(a)) != "")
+    same = (text_x == text_y) & (text_x != "")
     near = (F.abs(x - y) <= F.lit(absolute).cast(NUMERIC)) | (F.abs(x - y).cast("decimal(38,10)") * 2 <= F.lit(relative).cast("decimal(6,4)") * (F.abs(x) + F.abs(y)).cast("decimal(30,10)"))
     return F.coalesce(same, F.lit(False)) | F.coalesce(near, F.lit(False))
 
 
+def values_close(a: Column, b: Column) -> Column:
+    """``numbers_close`` of two values as they stand."""
+    return numbers_close(numeric(a), numeric(b), bare_text(a), bare_text(b))
+
+
 def normalize_metric(text: Column) -> Column:
     """Lower case, trimmed, without punctuation, runs of space as one; what punctuation leaves at the ends stays."""
     return F.regexp_replace(F.regexp_replace(_strip(F.lower(_text(text))), rf"(?U)[^\p{{L}}\p{{N}}_\s]", ""), f"(?:{_WS})+", " ")

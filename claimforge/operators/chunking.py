@@ -24,28 +24,55 @@ def table_markdown(rows: Column, page: Column) -> Column:
     return F.when(F.size(rows) >= 2, F.concat(F.lit("[Table on Page "), page.cast("string"), F.lit("]\n"), shown))
 
 
-def pack_fragments(fragments: DataFrame, keys: list[str], order: list[str], text: str, limit: int = 2400) -> DataFrame:
-    """(keys..., chunk_no, n_fragments, chunk_text): fragments of a page packed in order, joined by blank lines.
+def pack_fragments(fragments: DataFrame, keys: list[str], order: list[str], text: str, limit: int = 2400, any_of: list[str] | None = None, first_of: list[str] | None = None) -> DataFrame:
+    """(keys..., chunk_no, n_fragments, chunk_text, char_start, char_end, any_of..., first_of...): fragments of a page packed in order, joined by blank lines.
 
-    A chunk is closed when the next fragment would take it over the limit; a fragment over the limit stays whole.
-    The fold runs over the fragments of one page, which is what bounds its array.
+    A chunk is closed when the next fragment would take it over the limit; a fragment over the limit stays whole. A
+    chunk has each of the flags ``any_of`` that a fragment of it has, and the first value of ``first_of`` that is
+    neither null nor blank. Chunks count their characters from 0; the only fragment of a page keeps the offsets it came
+    with, where it has columns char_start and char_end. The fold runs over the fragments of one page, which is what
+    bounds its array.
     """
-    pages = fragments.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(text).alias("_t")))).alias("_f"))
-    new = lambda t: F.struct(t.alias("t"), F.lit(1).alias("n"))
-    empty = F.struct(F.expr("cast(array() as array<struct<t:string,n:int>>)").alias("done"), F.lit(None).cast("string").alias("t"), F.lit(0).alias("n"))
+    flags, firsts = any_of or [], first_of or []
+    offsets = [c for c in ("char_start", "char_end") if {"char_start", "char_end"} <= set(fragments.columns)]
+    held = [F.coalesce(F.col(c), F.lit(False)).alias(c) for c in flags] + [F.nullif(F.col(c), F.lit("")).alias(c) for c in firsts]
+    pages = fragments.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, F.coalesce(text, F.lit("")).alias("_t"), *held, *offsets))).alias("_f"))
+    fields = [("t", "string"), ("n", "int"), *((c, "boolean") for c in flags), *((c, "string") for c in firsts)]
+    kind = ",".join(f"{c}:{t}" for c, t in fields)
+    empty = F.struct(F.expr(f"cast(array() as array<struct<{kind}>>)").alias("done"), *(F.lit(None).cast(t).alias(c) for c, t in fields))
+    now = lambda acc: F.array(F.struct(*(acc[c].alias(c) for c, _ in fields)))
 
     def step(acc: Column, f: Column) -> Column:
         t = f["_t"]
         fits = acc["t"].isNotNull() & (F.length(acc["t"]) + 2 + F.length(t) <= limit)
-        closed = F.when(acc["t"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(F.struct(acc["t"].alias("t"), acc["n"].alias("n")))))
         return F.struct(
-            F.when(fits, acc["done"]).otherwise(closed).alias("done"),
+            F.when(fits | acc["t"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], now(acc))).alias("done"),
             F.when(fits, F.concat(acc["t"], F.lit("\n\n"), t)).otherwise(t).alias("t"),
             F.when(fits, acc["n"] + 1).otherwise(F.lit(1)).alias("n"),
+            *((F.when(fits, acc[c] | f[c]).otherwise(f[c])).alias(c) for c in flags),
+            *((F.when(fits, F.coalesce(acc[c], f[c])).otherwise(f[c])).alias(c) for c in firsts),
         )
 
-    packed = pages.select(*keys, F.aggregate("_f", empty, step, lambda acc: F.concat(acc["done"], F.array(F.struct(acc["t"].alias("t"), acc["n"].alias("n"))))).alias("_c"))
-    return packed.select(*keys, F.posexplode("_c").alias("chunk_no", "_p")).select(*keys, "chunk_no", F.col("_p.n").alias("n_fragments"), F.col("_p.t").alias("chunk_text"))
+    only = (F.size("_f") == 1) if offsets else F.lit(False)
+    kept = [F.when(only, F.col("_f")[0][c]).alias(f"_{c}") for c in offsets]
+    packed = pages.select(*keys, *kept, F.aggregate("_f", empty, step, lambda acc: F.concat(acc["done"], now(acc))).alias("_c"))
+    packed = packed.select(*keys, *(f"_{c}" for c in offsets), F.posexplode("_c").alias("chunk_no", "_p"))
+    start, end = (F.coalesce(f"_{c}", own) if offsets else own for c, own in (("char_start", F.lit(0)), ("char_end", F.length("_p.t"))))
+    return packed.select(*keys, "chunk_no", F.col("_p.n").alias("n_fragments"), F.col("_p.t").alias("chunk_text"), start.alias("char_start"), end.alias("char_end"), *(F.col(f"_p.{c}").alias(c) for c in (*flags, *firsts)))
+
+
+def first_pages_text(fragments: DataFrame, key: str, page: str, order: str, text: str, pages: int = 3) -> DataFrame:
+    """(key, first_text): the texts of the first pages that are not blank, in order; keys without any have an empty one."""
+    early = (F.col(page) <= pages) & (F.trim(F.coalesce(F.col(text), F.lit(""))) != "")
+    listed = F.array_sort(F.collect_list(F.when(early, F.struct(page, order, F.col(text).alias("_t")))))
+    return fragments.groupBy(key).agg(F.array_join(F.transform(listed, lambda f: f["_t"]), "\n").alias("first_text"))
+
+
+def visual_pages(pages: DataFrame, text: str, images: str, least: int = 80) -> DataFrame:
+    """Pages with pictures and hardly any text, with ``shown``: their text, or a line that stands for a page without any."""
+    found = pages.where(needs_vision(F.col(text), F.col(images), least))
+    bare = F.trim(F.coalesce(F.col(text), F.lit(""))) == ""
+    return found.withColumn("shown", F.when(bare, F.concat(F.lit("[Visual / Chart Page "), F.col("page_number").cast("string"), F.lit("]"))).otherwise(F.col(text)))
 
 
 def needs_vision(text: Column, images: Column, least: int = 80) -> Column:

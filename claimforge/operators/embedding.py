@@ -36,3 +36,8 @@ def hashing_model(size: int = 256) -> Callable[[list[str]], np.ndarray]:
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
     return model
+
+
+def payloads(facts: DataFrame) -> DataFrame:
+    """What is kept beside a fact's vector; null texts are empty."""
+    return facts.select(F.col("id").alias("fact_id"), "document_id", *(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("entity", "attribute", "canonical_statement")))

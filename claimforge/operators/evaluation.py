@@ -27,3 +27,19 @@ def metrics(cases: DataFrame) -> DataFrame:
         ratio(F.count_if(unsafe & (F.col("actual_relation") != "NEEDS_REVIEW")), F.count_if(unsafe), 0.0).alias("unsafe_auto_decision_rate"),
         F.count_if(F.array_contains("must_not_be", F.col("actual_relation"))).alias("safety_violations"),
     )
+
+
+def details(cases: DataFrame) -> DataFrame:
+    """One row for each case of ``metrics`` (with ``id``, ``expected_reason`` and ``actual_reason``): what is right and what must not be.
+
+    A null expected route or reason counts as met.
+    """
+    met = lambda f: F.coalesce(F.col(f"actual_{f}") == F.col(f"expected_{f}"), F.col(f"expected_{f}").isNull())
+    return cases.select(
+        "id",
+        *(f"{side}_{f}" for f in ("relation", "route", "reason") for side in ("expected", "actual")),
+        met("relation").alias("relation_met"),
+        met("route").alias("route_met"),
+        met("reason").alias("reason_met"),
+        F.array_contains("must_not_be", F.col("actual_relation")).alias("safety_violation"),
+    )

@@ -1,7 +1,8 @@
 """Queries over the ledger: filtered listings, hydrated pairs, counts and summaries.
 
 Optional filters join the plan only if given, limits are applied before rows are hydrated, and joins on either end of
-a relationship explode the two ends instead of joining on a disjunction.
+a relationship explode the two ends instead of joining on a disjunction. Redelivered rows are equal, so rows are
+filtered first, where the scan can do it, and only what is left is reduced to one row of an id.
 """
 
 from __future__ import annotations
@@ -11,6 +12,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimforge.session import Scratch
+from claimforge.sources.tables import once
+
 
 def _all(conditions: list[Column | None]) -> Column:
     return reduce(lambda a, b: a & b, [c for c in conditions if c is not None], F.lit(True))
@@ -27,13 +31,27 @@ def relation_kind(c: Column) -> Column:
     return F.upper(F.regexp_replace(F.regexp_replace(c, r"(?i)^\s*relationtype\.", ""), "[^A-Za-z_]+", ""))
 
 
+def _page(rows: DataFrame, limit: int) -> DataFrame:
+    """The newest rows, at most some hundred, written once so that what is joined to them can be narrowed to them first."""
+    return Scratch(rows.sparkSession, "page").write(once(rows).orderBy(F.desc("created_at"), "id").limit(_limited(limit)), "rows")
+
+
+def _only(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """Rows of a table with the few ids of a page, each id once."""
+    ids = ids.toDF("_id").where("_id is not null").distinct()
+    return once(df.join(F.broadcast(ids), F.col(key) == F.col("_id"), "left_semi"), key)
+
+
 def list_facts(facts: DataFrame, chunks: DataFrame, uploads: DataFrame, document_id: str | None = None, entity: str | None = None, attribute: str | None = None, limit: int = 100) -> DataFrame:
-    """Facts by optional filters (texts as case-insensitive substrings with live wildcards), with page and file name."""
+    """Facts by optional filters (texts as case-insensitive substrings with live wildcards), with page and file name.
+
+    The tables may hold redelivered rows.
+    """
     kept = facts.where(_all([F.col("document_id") == document_id if document_id else None, F.col("entity").ilike(f"%{entity}%") if entity else None, F.col("attribute").ilike(f"%{attribute}%") if attribute else None]))
-    top = kept.orderBy(F.desc("created_at"), "id").limit(_limited(limit))
-    pages = chunks.select(F.col("id").alias("chunk_id"), "page_number", "image_ref")
-    files = uploads.select(F.col("id").alias("document_id"), "filename")
-    return top.join(pages, "chunk_id", "left").join(files, "document_id", "left").withColumn("qualifiers", F.coalesce("qualifiers", F.lit("{}")))
+    top = _page(kept, limit)
+    pages = _only(chunks.select("id", "page_number", "image_ref"), "id", top.select("chunk_id")).withColumnRenamed("id", "chunk_id")
+    files = _only(uploads.select("id", "filename"), "id", top.select("document_id")).withColumnRenamed("id", "document_id")
+    return top.join(F.broadcast(pages), "chunk_id", "left").join(F.broadcast(files), "document_id", "left").withColumn("qualifiers", F.coalesce("qualifiers", F.lit("{}")))
 
 
 def hydrate(relationships: DataFrame, facts: DataFrame, chunks: DataFrame, uploads: DataFrame) -> DataFrame:
@@ -48,15 +66,54 @@ def hydrate(relationships: DataFrame, facts: DataFrame, chunks: DataFrame, uploa
     return out
 
 
+def hydrate_page(top: DataFrame, facts: DataFrame, chunks: DataFrame, uploads: DataFrame) -> DataFrame:
+    """``hydrate`` for a page of relationships: the tables, redelivered rows and all, are narrowed to its ends first."""
+    ends = top.select(F.explode(F.array("fact_a_id", "fact_b_id")))
+    scratch = Scratch(top.sparkSession, "page")
+    held = scratch.write(_only(facts, "id", ends), "facts")
+    pages = _only(chunks.select("id", "page_number"), "id", held.select("chunk_id"))
+    files = _only(uploads.select("id", "filename"), "id", held.select("document_id"))
+    return hydrate(top, held, pages, files)
+
+
+def nested(relationships: DataFrame, facts: DataFrame) -> DataFrame:
+    """Relationships with the facts of both ends as structs ``fact_a`` and ``fact_b``, null where an end does not exist."""
+    out = relationships
+    for side in "ab":
+        out = out.join(facts.select(F.col("id").alias(f"fact_{side}_id"), F.struct(*facts.columns).alias(f"fact_{side}")), f"fact_{side}_id", "left")
+    return out
+
+
+def by_id(rows: DataFrame, key: str) -> DataFrame:
+    """The row with an id, or an error where there is none; the scan gets the filter."""
+    found = Scratch(rows.sparkSession, "lookup").write(once(rows.where(F.col("id") == key)), "row")
+    if not found.take(1):
+        raise LookupError(f"no row has the id {key}")
+    return found
+
+
+def document_status(uploads: DataFrame, facts: DataFrame, relationships: DataFrame, document_id: str) -> DataFrame:
+    """State and counts of one document: only its facts are read, and relationships that touch them."""
+    document, own = by_id(uploads, document_id), Scratch(facts.sparkSession, "lookup").write(once(facts.where(F.col("document_id") == document_id)).select("id"), "facts")
+    # The facts of one document number some hundred; Spark checks their size before it broadcasts them.
+    ends = relationships.select(F.col("id").alias("rel"), F.explode(F.array("fact_a_id", "fact_b_id")).alias("end")).join(own.select(F.col("id").alias("end")), "end", "left_semi")
+    counts = [rows.agg(n).withColumn("_k", F.lit(1)) for rows, n in ((own, F.count(F.lit(1)).alias("facts")), (ends, F.count_distinct("rel").alias("relationships")))]
+    shown = document.select(F.col("id").alias("document_id"), "filename", F.upper("status").alias("status"), "page_count", "doc_type_guess", "error_message", F.lit(1).alias("_k"))
+    return shown.join(counts[0], "_k").join(counts[1], "_k").drop("_k")
+
+
 def list_relationships(relationships: DataFrame, facts: DataFrame, chunks: DataFrame, uploads: DataFrame, kind: str = "ALL", routes: list[str] | None = None, reason: str | None = None, search: str | None = None, document_id: str | None = None, limit: int = 100) -> DataFrame:
-    """Newest relationships by optional filters, hydrated after the limit. 'ALL' is no filter."""
-    kept = relationships.withColumn("relation_type", relation_kind(F.col("relation_type")))
-    kept = kept.where(_all([F.col("relation_type") == kind if kind != "ALL" else None, F.col("decision_route").isin(routes) if routes else None, F.col("review_reason") == reason if reason else None]))
+    """Newest relationships by optional filters, hydrated after the limit. 'ALL' is no filter.
+
+    The tables may hold redelivered rows.
+    """
+    kept = relationships.where(_all([F.col("decision_route").isin(routes) if routes else None, F.col("review_reason") == reason if reason else None]))
+    kept = kept.withColumn("relation_type", relation_kind(F.col("relation_type"))).where(_all([F.col("relation_type") == kind if kind != "ALL" else None]))
     if search or document_id:
         hit = facts.where(_all([F.col("entity").ilike(f"%{search}%") | F.col("attribute").ilike(f"%{search}%") if search else None, F.col("document_id") == document_id if document_id else None])).select(F.col("id").alias("end"))
         ends = kept.select("id", F.explode(F.array("fact_a_id", "fact_b_id")).alias("end")).join(hit, "end", "left_semi").select("id").distinct()
         kept = kept.join(ends, "id", "left_semi")
-    return hydrate(kept.orderBy(F.desc("created_at"), "id").limit(_limited(limit)), facts, chunks, uploads)
+    return hydrate_page(_page(kept, limit), facts, chunks, uploads)
 
 
 def document_counts(uploads: DataFrame, facts: DataFrame, relationships: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ not meet.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from decimal import Decimal, InvalidOperation
@@ -63,7 +64,7 @@ _NUMBER = r"\d+(?:,\d+)+(?:\.\d+)?|\d+(?:\.\d+)?(?:e[-+]?\d+)?|\.\d+"
 _MONEY = re.compile(r"[₹$€£]|\b(?:rs|inr|usd|eur|gbp|rupees?|dollars?)\b")
 _VALUE = re.compile(rf"^\s*(?P<open>\()?\s*(?:approx\.?|about|around|circa|c\.|~|≈)?\s*(?P<sign>[-+])?\s*(?P<before>[^\d.,(+-]*?)\s*(?P<sign2>[-+])?\s*(?P<number>{_NUMBER})\s*(?P<after>.*?)\s*$")
 _ANY_NUMBER = re.compile(rf"(?<![\w.,])(?P<sign>-\s?)?(?P<number>{_NUMBER})(?![\d])|(?<=[₹$€£])(?P<number2>{_NUMBER})")
-_BEFORE = re.compile(r"(us\$|[₹$€£]|\b(?:inr|usd|eur|gbp|rs\.?|rupees|dollars)|fraction)\s*-?\s*$")
+_BEFORE = re.compile(r"(us\$|[₹$€£]|\b(?:inr|usd|eur|gbp|rs\.?|rupees|dollars)|fraction)\s*-?\s*(?=[\d.])")
 
 
 class Unit(NamedTuple):
@@ -80,11 +81,21 @@ def parse_unit(text: str, whole: bool = True, money: bool = False) -> tuple[Unit
 
     An m by itself is a metre, with ``money`` or beside a currency or another unit a million.
     """
-    text = text.lower()
+    return _read_unit(_phrased(text), 0, whole, money)
+
+
+def _phrased(text: str) -> str:
+    """A text in lower case, spaces as one, with wordings of several words as one."""
+    text = " ".join(text.lower().split())
     for pattern, instead in _PHRASES:
         text = pattern.sub(instead, text)
-    scale, factor, vector, offset, power, last, divide, end = 1.0, 1.0, _NONE, 0.0, 1, None, False, 0
-    at, atoms, scales = 0, 0, 0
+    return text
+
+
+def _read_unit(text: str, start: int, whole: bool, money: bool) -> tuple[Unit | None, int]:
+    """The unit that a phrased text has at a place; it is read to the end of the unit expression, however far that is."""
+    scale, factor, vector, offset, power, last, divide, end = 1.0, 1.0, _NONE, 0.0, 1, None, False, start
+    at, atoms, scales = start, 0, 0
     while m := _TOKEN.match(text, at):
         token = m[1]
         currency = money or any(vector[4:8])
@@ -130,9 +141,11 @@ _UNITS: dict[tuple[str, bool, bool], Unit | None] = {}
 
 
 def _unit(text: str | None, whole: bool = True, money: bool = False) -> Unit | None:
-    if not text or not text.strip():
+    if not text or text.isspace():
         return None
     key = (text, whole, money)
+    if len(text) > 200:
+        return parse_unit(*key)[0]  # read alike, but not kept
     if key not in _UNITS:
         if len(_UNITS) > 100_000:
             _UNITS.clear()
@@ -159,16 +172,13 @@ def _decimal(number: str) -> Decimal | None:
 
 def _in_quote(number: Decimal, quote: str) -> Unit | None:
     """The unit that a quotation has at the number."""
-    text = readable(quote).lower()
-    for pattern, instead in _PHRASES:
-        text = pattern.sub(instead, text)
+    text = _phrased(readable(quote))
+    before = {m.end(): m[1] for m in _BEFORE.finditer(text)}
     for m in _ANY_NUMBER.finditer(text):
         found = _decimal(m["number"] or m["number2"])
         if found is not None and found == abs(number):
-            before = _BEFORE.search(text[max(0, m.start() - 24) : m.start()])
-            lead = _unit(before[1], False) if before else None
-            tail = text[m.end() : m.end() + 40]
-            behind = _unit(tail, False, bool(lead and any(lead.vector[4:8]))) if tail.strip()[:1] not in ("", "(", "|", ",", ";") else None
+            lead = _unit(before.get(m.start("number") if m["number"] else m.start("number2")), False)
+            behind = None if text[m.end() : m.end() + 2].lstrip()[:1] in ("", "(", "|", ",", ";") else _read_unit(text, m.end(), False, bool(lead and any(lead.vector[4:8])))[0]
             if unit := _joined([lead, behind]):
                 return unit
     return None
@@ -176,12 +186,9 @@ def _in_quote(number: Decimal, quote: str) -> Unit | None:
 
 def parse_quantity(value: str | None, unit: str | None, quote: str | None) -> tuple[Decimal, Unit] | None:
     """The number of a fact and its unit, from the value, the unit column and, where they leave it open, the quote."""
-    if not value or len(value) > 200:
+    if not value:
         return None
-    text = readable(value).lower()
-    for pattern, instead in _PHRASES:
-        text = pattern.sub(instead, text)
-    m = _VALUE.match(text)
+    m = _VALUE.match(_phrased(readable(value)))
     number = _decimal(m["number"]) if m else None
     if number is None:
         return None
@@ -215,8 +222,8 @@ def to_base_units(facts: DataFrame, units: DataFrame, keys: list[str], most_unit
 
     ``facts`` has the columns value, unit and evidence_quote; ``units`` (dimension, base_unit) is a small table whose
     size is checked. unit_size is the written unit in base units. Facts without a number, with a unit that the grammar
-    cannot read, with no unit stated anywhere or of a dimension without a base unit give no row. Repeated rows come
-    out repeated; other columns are ignored.
+    cannot read, with no unit stated anywhere, of a dimension without a base unit or beyond what a double holds give no
+    row. Repeated rows come out repeated; other columns are ignored. Texts of any length are read whole.
     """
     rows = [tuple(r) for r in units.select("dimension", "base_unit").where("dimension is not null and base_unit is not null").limit(most_units + 1).collect()]
     if len(rows) > most_units:
@@ -237,9 +244,11 @@ def to_base_units(facts: DataFrame, units: DataFrame, keys: list[str], most_unit
                 base = bases.get(found[1].vector) if found else None
                 if base:
                     number, u = found
-                    at.append(k)
                     size = u.scale * u.factor / base[2]
-                    out.append((base[0], base[1], float(number) * size + (u.offset - base[3]) / base[2], size))
+                    amount = float(number) * size + (u.offset - base[3]) / base[2]
+                    if math.isfinite(amount):
+                        at.append(k)
+                        out.append((base[0], base[1], amount, size))
             kept = pa.array(at, pa.int32())
             columns = list(zip(*out)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([*(c.take(kept) for c in batch.columns[:n]), pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.float64()), pa.array(columns[3], pa.float64())], names=[*keys, "dimension", "base_unit", "base_value", "unit_size"])

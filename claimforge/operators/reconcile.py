@@ -14,44 +14,53 @@ from claimforge.functions import claims as C
 FIELDS = ["id", "document_id", "entity", "attribute", "value", "unit", "period", "scope", "qualifiers", "confidence"]
 
 
+def prepared(facts: DataFrame) -> DataFrame:
+    """(id, claim, said): the claim, and what alignment compares of it, worked out once for each fact."""
+    said = F.struct(
+        *(C.normalize_metric(F.col(f)).alias(f) for f in ("entity", "attribute", "period", "scope")),
+        C.normalize_unit(F.col("unit")).alias("unit"),
+        C.numeric(F.col("value")).alias("number"),
+        C.decimals(F.col("value")).alias("decimals"),
+        C.bare_text(F.col("value")).alias("text"),
+        (C.truthy(F.col("qualifiers"), "header_uncertain") | F.coalesce(F.col("confidence") < 0.70, F.lit(False))).alias("uncertain"),
+    )
+    return facts.select("id", F.struct(*FIELDS).alias("claim"), said.alias("said"))
+
+
 def pair_claims(pairs: DataFrame, facts: DataFrame, a: str = "fact_a_id", b: str = "fact_b_id") -> DataFrame:
-    """Pairs with the claims of both ends as structs ``a`` and ``b``; pairs with an end that does not exist are left out."""
-    held = facts.select("id", F.struct(*FIELDS).alias("claim"))
-    return pairs.join(held.select(F.col("id").alias(a), F.col("claim").alias("a")), a).join(held.select(F.col("id").alias(b), F.col("claim").alias("b")), b)
+    """Pairs with the claims of both ends as ``a`` and ``b``, ``said_a`` and ``said_b``; pairs with an end that does not exist are left out."""
+    held, out = prepared(facts), pairs
+    for end, side in ((a, "a"), (b, "b")):
+        out = out.join(held.select(F.col("id").alias(end), F.col("claim").alias(side), F.col("said").alias(f"said_{side}")), end)
+    return out
 
 
 def alignment(pairs: DataFrame) -> DataFrame:
-    """Pairs with the thirteen findings on which the cascade decides."""
-    norm = lambda side, f: C.normalize_metric(F.col(f"{side}.{f}"))
-    out = pairs
-    for side in "ab":
-        for f in ("entity", "attribute", "period", "scope"):
-            out = out.withColumn(f"_{f}_{side}", norm(side, f))
-        out = out.withColumn(f"_unit_{side}", C.normalize_unit(F.col(f"{side}.unit"))).withColumn(f"_num_{side}", C.numeric(F.col(f"{side}.value")))
-    c = F.col
-    has = lambda f: [c(f"_{f}_{s}") != "" for s in "ab"]
-    within = lambda f: (c(f"_{f}_a") == c(f"_{f}_b")) | F.contains(c(f"_{f}_a"), c(f"_{f}_b")) | F.contains(c(f"_{f}_b"), c(f"_{f}_a"))
-    diff = F.abs(c("_num_a") - c("_num_b"))
-    out = out.withColumns(
+    """Pairs with the findings on which the cascade decides."""
+    x, y = (lambda f: F.col(f"said_a.{f}")), (lambda f: F.col(f"said_b.{f}"))
+    both = lambda f: (x(f) != "") & (y(f) != "")
+    diff = F.abs(x("number") - y("number"))
+    out = pairs.withColumns(
         {
-            "entity_match": C.overlap(c("_entity_a"), c("_entity_b"), C.ENTITY_STOP_WORDS),
-            "attribute_match": C.overlap(c("_attribute_a"), c("_attribute_b"), C.ATTRIBUTE_STOP_WORDS, C.SYNONYM_CLUSTERS),
-            "has_period_a": has("period")[0],
-            "has_period_b": has("period")[1],
-            "period_match": has("period")[0] & has("period")[1] & within("period"),
-            "has_scope_a": has("scope")[0],
-            "has_scope_b": has("scope")[1],
-            "scope_match": c("_scope_a") == c("_scope_b"),
-            "has_unit_a": has("unit")[0],
-            "has_unit_b": has("unit")[1],
-            "unit_match": ~(has("unit")[0] & has("unit")[1]) | (c("_unit_a") == c("_unit_b")),
-            "value_close": C.values_close(c("a.value"), c("b.value")),
+            "entity_match": C.overlap(x("entity"), y("entity"), C.ENTITY_STOP_WORDS),
+            "attribute_match": C.overlap(x("attribute"), y("attribute"), C.ATTRIBUTE_STOP_WORDS, C.SYNONYM_CLUSTERS),
+            "has_period_a": x("period") != "",
+            "has_period_b": y("period") != "",
+            "period_match": both("period") & ((x("period") == y("period")) | F.contains(x("period"), y("period")) | F.contains(y("period"), x("period"))),
+            "has_scope_a": x("scope") != "",
+            "has_scope_b": y("scope") != "",
+            "scope_match": x("scope") == y("scope"),
+            "has_unit_a": x("unit") != "",
+            "has_unit_b": y("unit") != "",
+            "unit_match": ~both("unit") | (x("unit") == y("unit")),
+            "value_close": C.numbers_close(x("number"), y("number"), x("text"), y("text")),
             "value_diff": diff,
             "both_numeric": diff.isNotNull(),
-            "diff_decimals": F.greatest(C.decimals(c("a.value")), C.decimals(c("b.value"))),
+            "diff_decimals": F.greatest(x("decimals"), y("decimals")),
+            "uncertain": x("uncertain") | y("uncertain"),
         }
     )
-    return out.drop(*(f"_{f}_{s}" for f in ("entity", "attribute", "period", "scope", "unit", "num") for s in "ab"))
+    return out.drop("said_a", "said_b")
 
 
 def _verdict(relation: str, route: str, reason: str | None, confidence: float) -> Column:
@@ -66,7 +75,6 @@ def cascade(aligned: DataFrame) -> DataFrame:
     """
     c = F.col
     exact = (~c("both_numeric")) | ((c("value_diff") == 0) & (c("diff_decimals") <= 1))
-    uncertain = C.truthy(c("a.qualifiers"), "header_uncertain") | C.truthy(c("b.qualifiers"), "header_uncertain") | F.coalesce(c("a.confidence") < 0.70, F.lit(False)) | F.coalesce(c("b.confidence") < 0.70, F.lit(False))
     rules = [
         (~c("entity_match") | ~c("attribute_match"), _verdict("UNRELATED", "irrelevant_pre_filter", None, 1.0)),
         (c("period_match") & c("scope_match") & c("unit_match") & c("value_close") & exact, _verdict("CORROBORATES", "deterministic_exact", None, 0.98)),
@@ -74,7 +82,7 @@ def cascade(aligned: DataFrame) -> DataFrame:
         (c("both_numeric") & ~(c("has_period_a") & c("has_period_b")), _verdict("NEEDS_REVIEW", "ambiguity_firewall", "missing_period", 0.95)),
         (c("both_numeric") & ~c("value_close") & ~(c("has_scope_a") & c("has_scope_b")), _verdict("NEEDS_REVIEW", "ambiguity_firewall", "missing_scope_or_basis", 0.95)),
         (c("has_unit_a") & c("has_unit_b") & ~c("unit_match"), _verdict("NEEDS_REVIEW", "ambiguity_firewall", "unit_ambiguity", 0.95)),
-        (uncertain, _verdict("NEEDS_REVIEW", "ambiguity_firewall", "header_context_uncertain", 0.90)),
+        (c("uncertain"), _verdict("NEEDS_REVIEW", "ambiguity_firewall", "header_context_uncertain", 0.90)),
     ]
     case = F.when(*rules[0])
     for condition, verdict in rules[1:]:
@@ -125,16 +133,39 @@ def explanation(decided: DataFrame) -> Column:
 
 
 def alignment_matrix(aligned: DataFrame, key: str) -> DataFrame:
-    """(key, dimension, status): one row for each of the six dimensions on which a pair is compared."""
-    c = F.col
-    passed = lambda ok, other: F.when(ok, "PASS").otherwise(other)
-    sided = lambda f, other: F.when(~(c(f"has_{f}_a") & c(f"has_{f}_b")), "BLOCKED").otherwise(passed(c(f"{f}_match"), other))
-    statuses = {
+    """(key, dimension, status, reason, difference): one row for each of the six dimensions on which a pair is compared.
+
+    ``reason`` says what blocks a comparison; ``difference`` is that of the values where both are numbers.
+    """
+    c, none = F.col, F.lit(None).cast("string")
+    passed = lambda ok, other: (F.when(ok, "PASS").otherwise(other), none)
+
+    def sided(f: str, other: str, reason: str) -> tuple[Column, Column]:
+        blocked = ~(c(f"has_{f}_a") & c(f"has_{f}_b"))
+        return F.when(blocked, "BLOCKED").when(c(f"{f}_match"), "PASS").otherwise(other), F.when(blocked, reason)
+
+    found = {
         "entity": passed(c("entity_match"), "MISMATCH"),
         "attribute": passed(c("attribute_match"), "MISMATCH"),
-        "period": sided("period", "DIFFERENT PERIODS"),
-        "scope": sided("scope", "DIFFERENT SCOPES"),
-        "unit": passed(c("unit_match"), "BLOCKED"),
+        "period": sided("period", "DIFFERENT PERIODS", "period missing"),
+        "scope": sided("scope", "DIFFERENT SCOPES", "scope unstated"),
+        "unit": (F.when(c("unit_match"), "PASS").otherwise("BLOCKED"), F.when(~c("unit_match"), "units incompatible")),
         "value": passed(c("value_close"), "MATERIAL DIFFERENCE"),
     }
-    return aligned.select(key, F.explode(F.array(*(F.struct(F.lit(k).alias("dimension"), v.alias("status")) for k, v in statuses.items()))).alias("_m")).select(key, "_m.dimension", "_m.status")
+    rows = (F.struct(F.lit(k).alias("dimension"), status.alias("status"), reason.alias("reason"), (c("value_diff").cast("double") if k == "value" else F.lit(None).cast("double")).alias("difference")) for k, (status, reason) in found.items())
+    return aligned.select(key, F.explode(F.array(*rows)).alias("_m")).select(key, "_m.*")
+
+
+def deterministic_check(aligned: DataFrame) -> DataFrame:
+    """Aligned pairs that the rules corroborate without looking at units, with their route."""
+    c = F.col
+    kept = aligned.where(c("entity_match") & c("attribute_match") & c("period_match") & c("scope_match") & c("value_close"))
+    exact = ~c("both_numeric") | ((c("value_diff") == 0) & (c("diff_decimals") <= 1))
+    return kept.withColumns({"relation_type": F.lit("CORROBORATES"), "decision_route": F.when(exact, "deterministic_exact").otherwise("deterministic_rounding"), "decision_confidence": F.lit(0.98)})
+
+
+def stored(decided: DataFrame) -> DataFrame:
+    """Verdicts as they are written: all but UNRELATED, with the explanation, the snapshot as JSON and both confidences."""
+    kept = decided.where("relation_type <> 'UNRELATED'")
+    shown = snapshot(kept).withColumn("explanation", explanation(kept))
+    return shown.select("fact_a_id", "fact_b_id", "relation_type", "explanation", F.col("decision_confidence").alias("confidence"), "decision_route", "review_reason", F.to_json("snapshot").alias("comparison_snapshot"), F.col("a.confidence").alias("extraction_confidence_a"), F.col("b.confidence").alias("extraction_confidence_b"))

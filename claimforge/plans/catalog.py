@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimforge.functions import claims as C
-from claimforge.operators import adjudicate, chunking, embedding, evaluation, grounding, ledger, reconcile, similarity
+from claimforge.operators import adjudicate, chunking, embedding, evaluation, grounding, ingest, ledger, reconcile, similarity
 from claimforge.operators.quantities import same_quantities, to_base_units
 from claimforge.plans.oracle import SQL
 from claimforge.sources.tables import once, table
-from claimforge.streaming import ingest
+from claimforge.streaming import ingest as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTERED: dict[str, Query] = {}
@@ -36,8 +36,8 @@ def chunks(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     return once(table(spark, d, "chunks", *(("id", *columns) if columns else ())))
 
 
-def uploads(spark: SparkSession, d: str) -> DataFrame:
-    return once(table(spark, d, "uploads"))
+def uploads(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return once(table(spark, d, "uploads", *(("id", *columns) if columns else ())))
 
 
 def aligned(spark: SparkSession, d: str) -> DataFrame:
@@ -143,11 +143,33 @@ def chunk_loss_check(spark: SparkSession, d: str) -> DataFrame:
     return before.join(after, "document_id")
 
 
+@query
+def chunk_packing(spark: SparkSession, d: str) -> DataFrame:
+    """Packed chunks with offsets, flags and the first picture; a fragment needs vision if it has a picture and little text."""
+    held = chunks(spark, d, "document_id", "page_number", "char_start", "char_end", "raw_text", "is_table", "image_ref")
+    held = held.withColumn("needs_vision", chunking.needs_vision(F.col("raw_text"), F.col("image_ref").isNotNull().cast("int"), 400))
+    packed = chunking.pack_fragments(held, ["document_id", "page_number"], ["id"], "raw_text", any_of=["is_table", "needs_vision"], first_of=["image_ref"])
+    return packed.withColumn("chunk_hash", F.md5("chunk_text")).drop("chunk_text")
+
+
 @query
 def low_text_pages(spark: SparkSession, d: str) -> DataFrame:
-    pages = chunks(spark, d, "document_id", "page_number", "raw_text", "image_ref").groupBy("document_id", "page_number")
-    seen = pages.agg(F.sum(F.length("raw_text")).alias("chars"), F.count("image_ref").alias("images"))
-    return seen.where((F.col("chars") < 80) & (F.col("images") > 0))
+    """Pages with a picture that have hardly any text beside it: under 80 characters on average for each of its chunks' sentences.
+
+    The given pages all have some text, so a page's text here is its shortest paragraph.
+    """
+    held = chunks(spark, d, "document_id", "page_number", "raw_text", "image_ref").where("image_ref is not null")
+    shortest = F.array_min(F.transform(F.split("raw_text", "\n"), lambda line: F.struct(F.length(line).alias("n"), line.alias("line"))))["line"]
+    seen = chunking.visual_pages(held.withColumn("line", shortest).withColumn("images", F.lit(1)), "line", "images")
+    return seen.select("id", "document_id", "page_number", "shown")
+
+
+@query
+def doc_type_first_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The type of each upload by the text of its first three pages that are not blank."""
+    held = chunks(spark, d, "document_id", "page_number", "raw_text")
+    first = chunking.first_pages_text(held, "document_id", "page_number", "id", "raw_text")
+    return first.select("document_id", F.length("first_text").alias("chars"), C.document_type(F.col("first_text")).alias("doc_type"))
 
 
 @query
@@ -200,6 +222,30 @@ def pair_explanations(spark: SparkSession, d: str) -> DataFrame:
     return decided.select("id", "decision_route", reconcile.explanation(decided).alias("explanation"))
 
 
+@query
+def deterministic_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return reconcile.deterministic_check(aligned(spark, d)).select("id", "relation_type", "decision_route", "decision_confidence")
+
+
+@query
+def stored_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """What is written of the verdicts: none that is unrelated."""
+    decided = reconcile.with_fallback(reconcile.cascade(aligned(spark, d)))
+    out = reconcile.stored(decided)
+    return out.select("fact_a_id", "fact_b_id", "relation_type", "decision_route", "review_reason", "confidence", F.get_json_object("comparison_snapshot", "$.fact_a.value").alias("value_a"), "extraction_confidence_a", "extraction_confidence_b")
+
+
+@query
+def replay_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Reconciliation run again on stored pairs whose first fact is on cement: recorded and new verdicts."""
+    about = once(table(spark, d, "facts", "id", "document_id", "entity", "attribute", "value", "unit", "period", "scope", "qualifiers", "confidence").where("entity ilike '%cement%'"))
+    pairs = relationships(spark, d, "fact_a_id", "fact_b_id", "relation_type").withColumnRenamed("relation_type", "recorded")
+    asked = pairs.join(about.select(F.col("id").alias("fact_a_id")), "fact_a_id", "left_semi")
+    held = facts(spark, d, "document_id", "entity", "attribute", "value", "unit", "period", "scope", "qualifiers", "confidence")
+    again = reconcile.with_fallback(reconcile.cascade(reconcile.alignment(reconcile.pair_claims(asked, held))))
+    return again.groupBy(ledger.relation_kind(F.col("recorded")).alias("recorded"), "relation_type").agg(F.count(F.lit(1)).alias("pairs"))
+
+
 @query
 def adjudication_residue(spark: SparkSession, d: str) -> DataFrame:
     return reconcile.cascade(aligned(spark, d)).where("relation_type is null").select("id")
@@ -264,10 +310,101 @@ def unordered_pair_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def list_facts_filtered(spark: SparkSession, d: str) -> DataFrame:
-    found = ledger.list_facts(facts(spark, d), chunks(spark, d), uploads(spark, d), entity="insurance", attribute="debt")
+    found = ledger.list_facts(table(spark, d, "facts"), table(spark, d, "chunks"), table(spark, d, "uploads"), entity="insurance", attribute="debt")
     return found.select("id", "entity", "attribute", "value", "unit", "qualifiers", "page_number", "filename")
 
 
+@query
+def document_facts(spark: SparkSession, d: str) -> DataFrame:
+    """The newest facts of the oldest upload, as a filter on its id."""
+    found = ledger.list_facts(table(spark, d, "facts"), table(spark, d, "chunks"), table(spark, d, "uploads"), document_id=_least(spark, d, "uploads"), limit=500)
+    return found.select("id", "entity", "value", "page_number", "filename")
+
+
+def _least(spark: SparkSession, d: str, name: str) -> str:
+    return table(spark, d, name, "id").agg(F.min("id")).first()[0]
+
+
+@query
+def fact_by_id(spark: SparkSession, d: str) -> DataFrame:
+    return ledger.by_id(table(spark, d, "facts", "id", "entity", "attribute", "value", "unit", "period", "scope", "document_id"), _least(spark, d, "facts"))
+
+
+@query
+def relationship_by_id(spark: SparkSession, d: str) -> DataFrame:
+    """One relationship, hydrated."""
+    row = ledger.by_id(table(spark, d, "relationships", "id", "fact_a_id", "fact_b_id", "relation_type"), _least(spark, d, "relationships"))
+    out = ledger.hydrate_page(row, table(spark, d, "facts"), table(spark, d, "chunks"), table(spark, d, "uploads"))
+    return out.select("id", "relation_type", "entity_a", "entity_b", "page_number_a", "filename_b")
+
+
+@query
+def document_status(spark: SparkSession, d: str) -> DataFrame:
+    return ledger.document_status(table(spark, d, "uploads"), table(spark, d, "facts", "id", "document_id"), table(spark, d, "relationships", "id", "fact_a_id", "fact_b_id"), _least(spark, d, "uploads"))
+
+
+@query
+def relationship_nested(spark: SparkSession, d: str) -> DataFrame:
+    """Relationships with the facts of both ends as structs, a part of each shown."""
+    out = ledger.nested(relationships(spark, d, "fact_a_id", "fact_b_id"), facts(spark, d, "entity", "value", "unit", "confidence"))
+    return out.select("id", *(F.col(f"fact_{side}.{f}").alias(f"{f}_{side}") for side in "ab" for f in ("entity", "value", "unit", "confidence")), F.col("fact_a").isNull().alias("a_is_missing"))
+
+
+@query
+def vector_payloads(spark: SparkSession, d: str) -> DataFrame:
+    """What is kept beside the vector of a fact."""
+    return embedding.payloads(facts(spark, d, "document_id", "entity", "attribute", "canonical_statement"))
+
+
+@query
+def vectors_upserted(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors written twice under one id: the later one counts."""
+    first = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.lit(0).alias("seq"), F.element_at("embedding", 1).cast("double").alias("first"))
+    again = first.where("id % 3 = 0").select("id", F.lit(1).alias("seq"), (-F.col("first")).alias("first"))
+    return ledger.latest(first.unionByName(again), "id", ["seq"])
+
+
+def _claims(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Chunks, what an extractor gave for them, and how its calls ended, as the ledger has them."""
+    held = chunks(spark, d, "document_id", "page_number", "raw_text", "extraction_status")
+    return held.select("id", "document_id", "page_number", "raw_text"), facts(spark, d), held.select(F.col("id").alias("chunk_id"), F.col("extraction_status").alias("call"))
+
+
+def ingested(spark: SparkSession, d: str) -> ingest.Ingested:
+    """The ingest run again over all uploads, with the stored claims for an extractor and the stored pairs as candidates."""
+    held, claims, calls = _claims(spark, d)
+    pairs = relationships(spark, d, "fact_a_id", "fact_b_id")
+    return ingest.ingest(uploads(spark, d, "status").select("id"), held, lambda chunks: (claims, calls), lambda facts: pairs)
+
+
+@query
+def ingest_facts(spark: SparkSession, d: str) -> DataFrame:
+    held, claims, _ = _claims(spark, d)
+    return ingest.verified_facts(claims, held).select("id", "confidence", "content_hash")
+
+
+@query
+def ingest_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.chunk_states(*_claims(spark, d)).select("id", "facts", "extraction_status")
+
+
+@query
+def ingest_documents(spark: SparkSession, d: str) -> DataFrame:
+    return ingested(spark, d).documents
+
+
+@query
+def ingest_relationships(spark: SparkSession, d: str) -> DataFrame:
+    return ingested(spark, d).relationships.select("fact_a_id", "fact_b_id", "relation_type", "decision_route", "review_reason")
+
+
+@query
+def document_states(spark: SparkSession, d: str) -> DataFrame:
+    """The last state of each upload from the log of its states."""
+    log = ingest.status_log(uploads(spark, d, "status"), chunks(spark, d, "document_id", "extraction_status"), facts(spark, d, "document_id"), relationships(spark, d, "fact_a_id", "fact_b_id"))
+    return ingest.last_status(log)
+
+
 @query
 def relationship_hydrated(spark: SparkSession, d: str) -> DataFrame:
     out = ledger.hydrate(relationships(spark, d, "fact_a_id", "fact_b_id"), facts(spark, d), chunks(spark, d, "page_number"), uploads(spark, d))
@@ -276,8 +413,8 @@ def relationship_hydrated(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def relationships_by_filter(spark: SparkSession, d: str) -> DataFrame:
-    rel = relationships(spark, d, "fact_a_id", "fact_b_id", "relation_type", "decision_route", "review_reason", "created_at")
-    out = ledger.list_relationships(rel, facts(spark, d), chunks(spark, d, "page_number"), uploads(spark, d), kind="CORROBORATES", routes=_ROUTES, search="cement", limit=200)
+    rel = table(spark, d, "relationships", "id", "fact_a_id", "fact_b_id", "relation_type", "decision_route", "review_reason", "created_at")
+    out = ledger.list_relationships(rel, table(spark, d, "facts"), table(spark, d, "chunks"), table(spark, d, "uploads"), kind="CORROBORATES", routes=_ROUTES, search="cement", limit=200)
     return out.select("id", "relation_type", "decision_route", "entity_a", "entity_b", "filename_a")
 
 
@@ -310,7 +447,7 @@ def upload_decision_table(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def purge_failed(spark: SparkSession, d: str) -> DataFrame:
-    gone = uploads(spark, d).where("upper(status) = 'FAILED'")
+    gone = once(table(spark, d, "uploads", "id", "status").where("upper(status) = 'FAILED'"))
     return ledger.purge(gone, facts(spark, d, "document_id"), chunks(spark, d, "document_id"), relationships(spark, d, "fact_a_id", "fact_b_id"))
 
 
@@ -328,6 +465,15 @@ def eval_metrics(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.metrics(recorded.withColumn("must_not_be", never).join(got, "id"))
 
 
+@query
+def eval_details(spark: SparkSession, d: str) -> DataFrame:
+    """The cascade's verdicts beside the recorded ones, case by case."""
+    recorded = relationships(spark, d, "relation_type", "decision_route", "review_reason").select("id", ledger.relation_kind(F.col("relation_type")).alias("expected_relation"), F.col("decision_route").alias("expected_route"), F.col("review_reason").alias("expected_reason"))
+    never = F.when(F.col("expected_relation") == "UNRELATED", F.array(F.lit("CORROBORATES"))).otherwise(F.expr("cast(array() as array<string>)"))
+    got = reconcile_cascade(spark, d).select("id", F.col("relation_type").alias("actual_relation"), F.col("decision_route").alias("actual_route"), F.col("review_reason").alias("actual_reason"))
+    return evaluation.details(recorded.withColumn("must_not_be", never).join(got, "id"))
+
+
 @query
 def json_qualifier_truthiness(spark: SparkSession, d: str) -> DataFrame:
     q = F.col("qualifiers")
@@ -339,7 +485,7 @@ def json_qualifier_truthiness(spark: SparkSession, d: str) -> DataFrame:
 def error_class_backoff(spark: SparkSession, d: str) -> DataFrame:
     kind = C.error_class(F.col("error_message"))
     wait = F.try_to_number(F.nullif(F.regexp_extract(F.lower("error_message"), r"try again in ([\d.]+)s", 1), F.lit("")), F.lit("9999.99")).cast("double")
-    rows = uploads(spark, d).where("error_message is not null").select("id", kind.alias("kind"), wait.alias("wait"), F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("attempt"))
+    rows = once(table(spark, d, "uploads", "id", "error_message").where("error_message is not null")).select("id", kind.alias("kind"), wait.alias("wait"), F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("attempt"))
     return rows.select("id", "kind", "attempt", C.backoff_seconds(F.col("kind"), F.col("attempt"), F.col("wait")).alias("seconds"))
 
 
@@ -352,17 +498,17 @@ def status_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def stream_fact_counts(spark: SparkSession, d: str) -> DataFrame:
-    return ingest.stream_fact_counts(spark, f"{d}/facts.parquet")
+    return streams.stream_fact_counts(spark, f"{d}/facts.parquet")
 
 
 @query
 def stream_fact_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return ingest.stream_candidates(spark, f"{d}/facts.parquet", embedding.hashing_model())
+    return streams.stream_candidates(spark, f"{d}/facts.parquet", embedding.hashing_model())
 
 
 @query
 def stream_event_windows(spark: SparkSession, d: str) -> DataFrame:
-    return ingest.stream_windows(spark, f"{d}/events.parquet", "ts", "event_type")
+    return streams.stream_windows(spark, f"{d}/events.parquet", "ts", "event_type")
 
 
 def queries() -> dict[str, Query]:

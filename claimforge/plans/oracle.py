@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from claimforge.functions import claims as C
-
+#: Fixed values, written out again so that a wrong one in the engine shows.
+_ENTITY_STOP = "ltd limited inc corp corporation co company the of and".split()
+_ATTRIBUTE_STOP = "of the in for and on at to a an from by is as total".split()
+_CLUSTERS = [x.split() for x in ("revenue turnover sales income topline", "ebitda", "pat profit bottomline earnings", "gdp growth output gva", "headcount employees workforce personnel", "debt borrowings liabilities leverage")]
+_TYPES = [("prospectus", ["prospectus", "initial public offering"]), ("annual_report", ["annual report", "board of directors"]), ("earnings_presentation", ["earnings presentation", "investor presentation", "q4 fy"]), ("macro_report", ["economic survey", "gdp growth", "macroeconomic"]), ("imf_report", ["article iv", "international monetary fund"])]
+_RATE_LIMIT = ["rate limit", "429", "otpm", "tpm", "tokens per day"]
+_TIMEOUT = ["timeout", "timed out"]
 _S = r"[\s\x0B\x{85}\p{Z}]"
 _F = "f AS (SELECT DISTINCT * FROM facts), r AS (SELECT DISTINCT * FROM relationships), c AS (SELECT DISTINCT * FROM chunks), u AS (SELECT DISTINCT * FROM uploads)"
 
@@ -66,7 +71,7 @@ _TRUTHY = "coalesce(CASE WHEN json_type({0}.qualifiers, '$.header_uncertain') =
 _NORM = f"""n AS (SELECT id, document_id, value, unit, confidence, qualifiers, {_metric('entity')} e, {_metric('attribute')} t, {_metric('period')} p, {_metric('scope')} s, {_unit('unit')} un,
   {_decimal('value')} num, {_decimals('value')} dec, {_strip("lower(coalesce(value, ''))")} txt FROM f)"""
 _ALIGNED = f"""WITH {_F}, {_NORM}, al AS (SELECT r.id,
-  {_overlap('a.e', 'b.e', C.ENTITY_STOP_WORDS, [])} entity_match, {_overlap('a.t', 'b.t', C.ATTRIBUTE_STOP_WORDS, C.SYNONYM_CLUSTERS)} attribute_match,
+  {_overlap('a.e', 'b.e', _ENTITY_STOP, [])} entity_match, {_overlap('a.t', 'b.t', _ATTRIBUTE_STOP, _CLUSTERS)} attribute_match,
   a.p <> '' has_period_a, b.p <> '' has_period_b, (a.p <> '' AND b.p <> '' AND (a.p = b.p OR contains(a.p, b.p) OR contains(b.p, a.p))) period_match,
   a.s <> '' has_scope_a, b.s <> '' has_scope_b, a.s = b.s scope_match, a.un <> '' has_unit_a, b.un <> '' has_unit_b, NOT (a.un <> '' AND b.un <> '') OR a.un = b.un unit_match,
   (coalesce(a.txt = b.txt AND a.txt <> '', false) OR coalesce(abs(a.num - b.num) <= 1.0 OR 2 * abs(a.num::DOUBLE - b.num::DOUBLE) <= 0.005 * (abs(a.num::DOUBLE) + abs(b.num::DOUBLE)), false)) value_close,
@@ -84,6 +89,8 @@ _GROUND = f"""g0 AS (SELECT f.id, coalesce(f.confidence, 1.0) k, coalesce(eviden
  g1 AS (SELECT *, list_filter(string_split(q, ' '), lambda w: w <> '') ws FROM g0), g2 AS (SELECT *, len(ws) n, len(list_filter(ws, lambda w: contains(t, w))) hit FROM g1),
  g AS (SELECT id, CASE WHEN vision THEN 'vision' WHEN regexp_replace(raw, '{_S}', '', 'g') = '' THEN 'empty' WHEN contains(t, q) THEN 'exact' WHEN n <= 2 AND (hit = n OR contains(replace(t, ' ', ''), q)) THEN 'short' WHEN hit / greatest(n, 1) >= 0.7 THEN 'words' ELSE 'absent' END reason, k, hit / greatest(n, 1) share FROM g2)"""
 _GROUNDED = "SELECT id, reason NOT IN ('empty', 'absent') is_valid, CASE reason WHEN 'vision' THEN round(least(k, 0.7), 2) WHEN 'empty' THEN 0.0 WHEN 'words' THEN round(greatest(0.3, k * CASE WHEN share >= 0.85 THEN 0.95 ELSE 0.9 END), 2) WHEN 'absent' THEN 0.2 ELSE k END grounded_confidence, reason FROM g"
+_SURVIVORS = f"gc AS ({_GROUNDED}), hh AS (SELECT f.id, f.document_id, f.created_at, gc.grounded_confidence, {_hash('f.')} h FROM f JOIN gc USING (id) WHERE gc.is_valid), sv AS (SELECT * FROM hh QUALIFY row_number() OVER (PARTITION BY h ORDER BY created_at, id) = 1)"
+_CHUNK_STATES = "cs AS (SELECT c.id, c.document_id, coalesce(k, 0) facts, CASE WHEN coalesce(k, 0) = 0 AND extraction_status IN ('rate_limited', 'extraction_failed', 'timed_out', 'cancelled') THEN extraction_status ELSE 'success' END extraction_status FROM c LEFT JOIN (SELECT chunk_id, count(*) k FROM f GROUP BY 1) x ON x.chunk_id = c.id)"
 _FIRST = "SELECT h content_key, arg_min(id, (created_at, id)) id, count(*) copies FROM {0} GROUP BY h"
 _HOLDS = lambda marks, m="lower(text)": " OR ".join(f"contains({m}, '{x}')" for x in marks)
 _PACKED = f"""WITH RECURSIVE {_F}, o AS (SELECT document_id, page_number, raw_text, row_number() OVER (PARTITION BY document_id, page_number ORDER BY id) k FROM c),
@@ -105,7 +112,7 @@ SQL: dict[str, str] = {
     "document_sha256_dedup": "SELECT sha256(text) AS text_hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1",
     "canonical_statements": f"""WITH {_F}, b AS (SELECT id, canonical_statement, trim(coalesce(entity, '')) || CASE WHEN trim(coalesce(attribute, '')) <> '' THEN ' ' || trim(attribute) ELSE '' END || CASE WHEN coalesce(period, '') <> '' THEN ' (' || trim(period) || ')' ELSE '' END
  || CASE WHEN coalesce(scope, '') <> '' THEN ' [' || trim(scope) || ']' ELSE '' END || ': ' || trim(coalesce(value, '')) || CASE WHEN coalesce(unit, '') <> '' THEN ' ' || trim(unit) ELSE '' END s FROM f) SELECT id, s AS statement, coalesce(s = canonical_statement, false) AS as_stored FROM b""",
-    "doc_type_guess": "SELECT doc_id, CASE " + " ".join(f"WHEN {_HOLDS(marks)} THEN '{name}'" for name, marks in C.DOCUMENT_TYPES) + " ELSE 'general_document' END AS doc_type FROM documents",
+    "doc_type_guess": "SELECT doc_id, CASE " + " ".join(f"WHEN {_HOLDS(marks)} THEN '{name}'" for name, marks in _TYPES) + " ELSE 'general_document' END AS doc_type FROM documents",
     "boilerplate_filter": f"WITH {_F} SELECT id, contains(lower(raw_text), 'forward-looking statements') AND contains(lower(raw_text), 'safe harbor') AND length(raw_text) < 600 AS is_boilerplate FROM c",
     "paragraph_offsets": f"""WITH {_F}, s AS (SELECT id, unnest(string_split(raw_text, chr(10) || chr(10))) p, generate_subscripts(string_split(raw_text, chr(10) || chr(10)), 1) k FROM c), t AS (SELECT id, k, {_strip('p')} p FROM s), t2 AS (SELECT * FROM t WHERE p <> '')
  SELECT id, row_number() OVER w - 1 AS ordinal, p AS paragraph, coalesce(sum(length(p) + 2) OVER (PARTITION BY id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INTEGER AS char_start FROM t2 WINDOW w AS (PARTITION BY id ORDER BY k)""",
@@ -113,7 +120,8 @@ SQL: dict[str, str] = {
  SELECT id, CASE WHEN len(l) >= 2 THEN '[Table on Page ' || page_number || ']' || chr(10) || array_to_string(list_concat([l[1], array_to_string(list_transform(string_split(l[1], ' | '), lambda y: '---'), ' | ')], list_filter(l[2:], lambda x: trim(x) <> '')), chr(10)) END AS markdown FROM s""",
     "chunk_coalesce": f"{_PACKED} SELECT document_id, page_number, chunk_no, n_fragments, length(t) AS n_chars, md5(t) AS chunk_hash FROM z",
     "chunk_loss_check": f"{_PACKED} SELECT document_id, x.fragments, x.chars_before, y.packed, y.chars_after FROM (SELECT document_id, count(*) fragments, sum(length(raw_text)) chars_before FROM c GROUP BY 1) x JOIN (SELECT document_id, count(*) packed, sum(length(t) - 2 * (n_fragments - 1)) chars_after FROM z GROUP BY 1) y USING (document_id)",
-    "low_text_pages": f"WITH {_F} SELECT document_id, page_number, sum(length(raw_text)) AS chars, count(image_ref) AS images FROM c GROUP BY ALL HAVING sum(length(raw_text)) < 80 AND count(image_ref) > 0",
+    "low_text_pages": f"""WITH {_F}, s AS (SELECT id, document_id, page_number, list_min(list_transform(string_split(raw_text, chr(10)), lambda l: {{'n': length(l), 'l': l}})).l l FROM c WHERE image_ref IS NOT NULL)
+ SELECT id, document_id, page_number, CASE WHEN trim(l) = '' THEN '[Visual / Chart Page ' || page_number || ']' ELSE l END AS shown FROM s WHERE length(l) < 80""",
     "quote_grounding": f"WITH {_F}, {_GROUND} {_GROUNDED}",
     "grounding_filter_dedup": f"WITH {_F}, {_GROUND}, h AS (SELECT f.*, {_hash('f.')} h FROM f JOIN g USING (id) WHERE reason NOT IN ('empty', 'absent')) {_FIRST.format('h')}",
     "overlap_pairs": f"{_ALIGNED} SELECT id, entity_match, attribute_match FROM al",
@@ -121,14 +129,43 @@ SQL: dict[str, str] = {
     "reconcile_cascade": f"{_VERDICTS} SELECT * FROM d",
     "reconcile_route_histogram": f"{_VERDICTS} SELECT relation_type, decision_route, review_reason, count(*) AS pairs FROM d GROUP BY ALL",
     "comparison_snapshot": f"{_ALIGNED} SELECT id, value_a, value_b, unit_match, CASE WHEN has_period_a AND has_period_b THEN '' WHEN has_period_a THEN 'Fact B' WHEN has_period_b THEN 'Fact A' ELSE 'Fact A and Fact B' END AS period_missing, 0.005::DOUBLE AS relative FROM al",
-    "alignment_labels": f"""{_ALIGNED} SELECT id, m.d AS dimension, m.s AS status FROM (SELECT id, unnest([{{'d': 'entity', 's': CASE WHEN entity_match THEN 'PASS' ELSE 'MISMATCH' END}}, {{'d': 'attribute', 's': CASE WHEN attribute_match THEN 'PASS' ELSE 'MISMATCH' END}},
- {{'d': 'period', 's': CASE WHEN NOT (has_period_a AND has_period_b) THEN 'BLOCKED' WHEN period_match THEN 'PASS' ELSE 'DIFFERENT PERIODS' END}}, {{'d': 'scope', 's': CASE WHEN NOT (has_scope_a AND has_scope_b) THEN 'BLOCKED' WHEN scope_match THEN 'PASS' ELSE 'DIFFERENT SCOPES' END}},
- {{'d': 'unit', 's': CASE WHEN unit_match THEN 'PASS' ELSE 'BLOCKED' END}}, {{'d': 'value', 's': CASE WHEN value_close THEN 'PASS' ELSE 'MATERIAL DIFFERENCE' END}}]) m FROM al)""",
+    "alignment_labels": f"""{_ALIGNED}, m AS (SELECT id, 'entity' dimension, CASE WHEN entity_match THEN 'PASS' ELSE 'MISMATCH' END status, NULL reason, NULL::DOUBLE difference FROM al UNION ALL SELECT id, 'attribute', CASE WHEN attribute_match THEN 'PASS' ELSE 'MISMATCH' END, NULL, NULL FROM al
+ UNION ALL SELECT id, 'period', CASE WHEN NOT (has_period_a AND has_period_b) THEN 'BLOCKED' WHEN period_match THEN 'PASS' ELSE 'DIFFERENT PERIODS' END, CASE WHEN NOT (has_period_a AND has_period_b) THEN 'period missing' END, NULL FROM al
+ UNION ALL SELECT id, 'scope', CASE WHEN NOT (has_scope_a AND has_scope_b) THEN 'BLOCKED' WHEN scope_match THEN 'PASS' ELSE 'DIFFERENT SCOPES' END, CASE WHEN NOT (has_scope_a AND has_scope_b) THEN 'scope unstated' END, NULL FROM al
+ UNION ALL SELECT id, 'unit', CASE WHEN unit_match THEN 'PASS' ELSE 'BLOCKED' END, CASE WHEN NOT unit_match THEN 'units incompatible' END, NULL FROM al UNION ALL SELECT id, 'value', CASE WHEN value_close THEN 'PASS' ELSE 'MATERIAL DIFFERENCE' END, NULL, diff::DOUBLE FROM al) SELECT * FROM m""",
+    "deterministic_pairs": f"{_ALIGNED} SELECT id, 'CORROBORATES' AS relation_type, CASE WHEN diff IS NULL OR (diff = 0 AND dec <= 1) THEN 'deterministic_exact' ELSE 'deterministic_rounding' END AS decision_route, 0.98::DOUBLE AS decision_confidence FROM al WHERE entity_match AND attribute_match AND period_match AND scope_match AND value_close",
+    "stored_verdicts": f"{_VERDICTS} SELECT r.fact_a_id, r.fact_b_id, d.relation_type, d.decision_route, d.review_reason, d.decision_confidence AS confidence, a.value AS value_a, a.confidence AS extraction_confidence_a, b.confidence AS extraction_confidence_b FROM d JOIN r USING (id) JOIN f a ON a.id = r.fact_a_id JOIN f b ON b.id = r.fact_b_id WHERE d.relation_type <> 'UNRELATED'",
+    "replay_changes": f"{_VERDICTS} SELECT {_kind('r.relation_type')} AS recorded, d.relation_type, count(*) AS pairs FROM d JOIN r USING (id) JOIN f a ON a.id = r.fact_a_id WHERE a.entity ILIKE '%cement%' GROUP BY ALL",
+    "chunk_packing": f"""WITH RECURSIVE {_F}, o AS (SELECT *, row_number() OVER (PARTITION BY document_id, page_number ORDER BY id) k, count(*) OVER (PARTITION BY document_id, page_number) page_n FROM c),
+ p AS (SELECT document_id, page_number, k, 0 chunk_no, length(raw_text) n FROM o WHERE k = 1 UNION ALL SELECT o.document_id, o.page_number, o.k, CASE WHEN p.n + 2 + length(o.raw_text) <= 2400 THEN chunk_no ELSE chunk_no + 1 END, CASE WHEN p.n + 2 + length(o.raw_text) <= 2400 THEN p.n + 2 + length(o.raw_text) ELSE length(o.raw_text) END FROM p JOIN o ON o.document_id = p.document_id AND o.page_number = p.page_number AND o.k = p.k + 1),
+ g AS (SELECT document_id, page_number, chunk_no, count(*) n_fragments, string_agg(raw_text, chr(10) || chr(10) ORDER BY k) t, bool_or(is_table) is_table, bool_or(image_ref IS NOT NULL AND length(raw_text) < 400) needs_vision, arg_min(image_ref, k) FILTER (image_ref <> '') image_ref, min(page_n) page_n, min(char_start) s, min(char_end) e FROM o JOIN p USING (document_id, page_number, k) GROUP BY ALL)
+ SELECT document_id, page_number, chunk_no, n_fragments, is_table, needs_vision, image_ref, md5(t) AS chunk_hash, CASE WHEN page_n = 1 THEN coalesce(s, 0) ELSE 0 END AS char_start, CASE WHEN page_n = 1 THEN coalesce(e, length(t)) ELSE length(t) END AS char_end FROM g""",
+    "doc_type_first_pages": f"""WITH {_F}, t AS (SELECT document_id, coalesce(string_agg(raw_text, chr(10) ORDER BY page_number, id) FILTER (page_number <= 3 AND trim(raw_text) <> ''), '') t FROM c GROUP BY 1)
+ SELECT document_id, length(t) AS chars, CASE """ + " ".join(f"WHEN {_HOLDS(marks, 'lower(t)')} THEN '{name}'" for name, marks in _TYPES) + """ ELSE 'general_document' END AS doc_type FROM t""",
     "adjudication_residue": f"{_ALIGNED}{_RULES} SELECT id FROM v WHERE rule = 8",
     "vector_topk": _TOPK.format(_COSINE, "", 0.30),
     "vector_topk_incremental": _TOPK.format(_COSINE, "AND x.label <= q.label", 0.20),
     "unordered_pair_dedup": f"WITH {_F}, k AS (SELECT least(fact_a_id, fact_b_id) low, greatest(fact_a_id, fact_b_id) high, {_kind('relation_type')} t FROM r WHERE fact_a_id <> fact_b_id) SELECT DISTINCT low, high FROM k WHERE t <> 'CORROBORATES' EXCEPT SELECT low, high FROM k WHERE t = 'CORROBORATES'",
     "list_facts_filtered": f"WITH {_F}, t AS (SELECT * FROM f WHERE entity ILIKE '%insurance%' AND attribute ILIKE '%debt%' ORDER BY created_at DESC, id LIMIT 100) SELECT t.id, entity, attribute, value, unit, coalesce(qualifiers, '{{}}') AS qualifiers, c.page_number, u.filename FROM t LEFT JOIN c ON c.id = t.chunk_id LEFT JOIN u ON u.id = t.document_id",
+    "document_facts": f"WITH {_F} SELECT f.id, entity, value, c.page_number, u.filename FROM (SELECT * FROM f WHERE document_id = (SELECT min(id) FROM u) ORDER BY created_at DESC, id LIMIT 500) f LEFT JOIN c ON c.id = f.chunk_id LEFT JOIN u ON u.id = f.document_id",
+    "fact_by_id": f"WITH {_F} SELECT id, entity, attribute, value, unit, period, scope, document_id FROM f WHERE id = (SELECT min(id) FROM f)",
+    "relationship_by_id": f"WITH {_F} SELECT r.id, r.relation_type, a.entity AS entity_a, b.entity AS entity_b, ca.page_number AS page_number_a, ub.filename AS filename_b FROM r {_HYDRATED.format('a')} {_HYDRATED.format('b')} WHERE r.id = (SELECT min(id) FROM r)",
+    "document_status": f"WITH {_F}, o AS (SELECT * FROM f WHERE document_id = (SELECT min(id) FROM u)) SELECT u.id AS document_id, filename, upper(status) AS status, page_count, doc_type_guess, error_message, (SELECT count(*) FROM o) AS facts, (SELECT count(*) FROM r WHERE fact_a_id IN (SELECT id FROM o) OR fact_b_id IN (SELECT id FROM o)) AS relationships FROM u WHERE u.id = (SELECT min(id) FROM u)",
+    "relationship_nested": f"WITH {_F} SELECT r.id, " + ", ".join(f"{s}.{x} AS {x}_{s}" for s in "ab" for x in ("entity", "value", "unit", "confidence")) + ", a.id IS NULL AS a_is_missing FROM r LEFT JOIN f a ON a.id = r.fact_a_id LEFT JOIN f b ON b.id = r.fact_b_id",
+    "vector_payloads": f"WITH {_F} SELECT id AS fact_id, document_id, coalesce(entity, '') AS entity, coalesce(attribute, '') AS attribute, coalesce(canonical_statement, '') AS canonical_statement FROM f",
+    "vectors_upserted": "SELECT vec_id AS id, CASE WHEN vec_id % 3 = 0 THEN 1 ELSE 0 END AS seq, CASE WHEN vec_id % 3 = 0 THEN -embedding[1] ELSE embedding[1] END::DOUBLE AS first FROM embeddings",
+    "ingest_facts": f"WITH {_F}, {_GROUND}, {_SURVIVORS} SELECT id, grounded_confidence AS confidence, h AS content_hash FROM sv",
+    "ingest_chunks": f"WITH {_F}, {_CHUNK_STATES} SELECT id, facts, extraction_status FROM cs",
+    "ingest_documents": f"""WITH {_F}, {_GROUND}, {_SURVIVORS}, {_CHUNK_STATES}, k AS (SELECT document_id, count(*) chunks, count(*) FILTER (extraction_status <> 'success') failed FROM cs GROUP BY 1), n AS (SELECT document_id, count(*) facts FROM sv GROUP BY 1),
+ z AS (SELECT u.id document_id, coalesce(chunks, 0) chunks, coalesce(failed, 0) failed, coalesce(facts, 0) facts FROM u LEFT JOIN k ON k.document_id = u.id LEFT JOIN n ON n.document_id = u.id)
+ SELECT document_id, CASE WHEN facts > 0 THEN 'DONE' WHEN failed > 0 THEN 'FAILED' ELSE 'DONE_EMPTY' END AS status, facts, failed AS failed_chunks,
+ CASE WHEN facts > 0 AND failed > 0 THEN failed || ' of ' || chunks || ' chunks failed; ' || facts || ' facts' WHEN facts > 0 THEN NULL WHEN failed > 0 THEN 'no facts, ' || failed || ' of ' || chunks || ' chunks failed' ELSE 'no facts in ' || chunks || ' chunks' END AS error_message FROM z""",
+    "ingest_relationships": f"""{_ALIGNED.replace('FROM r JOIN n a', 'FROM lp r JOIN n a').replace('FROM f)', 'FROM fv)', 1).replace(f'WITH {_F}, ', f'WITH {_F}, {_GROUND}, {_SURVIVORS}, fv AS (SELECT f.* REPLACE (sv.grounded_confidence AS confidence) FROM f JOIN sv USING (id)), lp AS (SELECT a || b id, a fact_a_id, b fact_b_id FROM (SELECT DISTINCT least(fact_a_id, fact_b_id) a, greatest(fact_a_id, fact_b_id) b FROM r WHERE fact_a_id <> fact_b_id) JOIN fv x ON x.id = a JOIN fv y ON y.id = b WHERE x.document_id <> y.document_id), ', 1)}{_RULES}
+ SELECT lp.fact_a_id, lp.fact_b_id, relation_type, decision_route, review_reason FROM v JOIN w USING (rule) JOIN lp USING (id) WHERE relation_type <> 'UNRELATED'""",
+    "document_states": f"""WITH {_F}, l AS (SELECT id document_id, 0 step, 'QUEUED' s FROM u UNION SELECT document_id, 1, 'CHUNKING' FROM c UNION SELECT document_id, 2, 'EXTRACTING' FROM c WHERE extraction_status <> 'pending'
+ UNION SELECT document_id, 3, 'RECONCILING' FROM f WHERE id IN (SELECT fact_a_id FROM r) OR id IN (SELECT fact_b_id FROM r) UNION SELECT id, 4, upper(trim(status)) FROM u WHERE upper(trim(status)) IN ('DONE', 'DONE_EMPTY', 'FAILED')) SELECT document_id, arg_max(s, step) AS status, count(*) AS steps FROM l GROUP BY 1""",
+    "eval_details": f"""{_VERDICTS}, e AS (SELECT d.id, {_kind('r.relation_type')} x, d.relation_type a, r.decision_route xr, d.decision_route ar, r.review_reason xw, d.review_reason aw FROM d JOIN r USING (id)) SELECT id, x AS expected_relation, a AS actual_relation, xr AS expected_route, ar AS actual_route, xw AS expected_reason, aw AS actual_reason,
+ coalesce(a = x, x IS NULL) AS relation_met, coalesce(ar = xr, xr IS NULL) AS route_met, coalesce(aw = xw, xw IS NULL) AS reason_met, x = 'UNRELATED' AND a = 'CORROBORATES' AS safety_violation FROM e""",
     "relationship_hydrated": f"WITH {_F} SELECT r.id, a.entity AS entity_a, b.entity AS entity_b, a.value AS value_a, b.value AS value_b, ca.page_number AS page_number_a, cb.page_number AS page_number_b, ua.filename AS filename_a, ub.filename AS filename_b FROM r {_HYDRATED.format('a')} {_HYDRATED.format('b')}",
     "relationships_by_filter": f"""WITH {_F}, hit AS (SELECT id FROM f WHERE entity ILIKE '%cement%' OR attribute ILIKE '%cement%'), t AS (SELECT * REPLACE ({_kind('relation_type')} AS relation_type) FROM r WHERE decision_route IN ('deterministic_exact', 'deterministic_rounding') AND {_kind('relation_type')} = 'CORROBORATES'
  AND (fact_a_id IN (SELECT id FROM hit) OR fact_b_id IN (SELECT id FROM hit)) ORDER BY created_at DESC, id LIMIT 200) SELECT t.id, t.relation_type, t.decision_route, a.entity AS entity_a, b.entity AS entity_b, ua.filename AS filename_a FROM t LEFT JOIN f a ON a.id = t.fact_a_id LEFT JOIN f b ON b.id = t.fact_b_id LEFT JOIN u ua ON ua.id = a.document_id""",
@@ -143,7 +180,7 @@ SQL: dict[str, str] = {
     "eval_metrics": f"""{_VERDICTS}, e AS (SELECT d.relation_type a, d.decision_route ar, {_kind('r.relation_type')} x, r.decision_route xr FROM d JOIN r USING (id)) SELECT count(*) AS cases, round(count(*) FILTER (a = x) / count(*), 4) AS relationship_accuracy, count(*) FILTER (xr IS NULL OR xr = ar) AS routes_met, round(count(*) FILTER (ar <> 'llm_adjudication') / count(*), 4) AS llm_avoidance_rate,
  count(*) FILTER (x = 'NEEDS_REVIEW') AS unsafe_cases, round(count(*) FILTER (x = 'NEEDS_REVIEW' AND a = x) / count(*) FILTER (x = 'NEEDS_REVIEW'), 4) AS review_recall, round(count(*) FILTER (x = 'NEEDS_REVIEW' AND a <> x) / count(*) FILTER (x = 'NEEDS_REVIEW'), 4) AS unsafe_auto_decision_rate, count(*) FILTER ((x = 'NEEDS_REVIEW' AND a IN ('CORROBORATES', 'CONTRADICTS')) OR (x = 'UNRELATED' AND a = 'CORROBORATES')) AS safety_violations FROM e""",
     "json_qualifier_truthiness": f"WITH {_F} SELECT id, {_TRUTHY.format('f')} AS header_uncertain, coalesce(json_extract_string(qualifiers, '$.extraction_path') = 'vision', false) AS from_vision FROM f",
-    "error_class_backoff": rf"""WITH {_F}, k AS (SELECT id, CASE WHEN error_message = '' THEN NULL WHEN {_HOLDS(C.RATE_LIMIT_MARKS, 'lower(error_message)')} THEN 'rate_limit' WHEN {_HOLDS(C.TIMEOUT_MARKS, 'lower(error_message)')} THEN 'timeout' ELSE 'other' END kind, TRY_CAST(nullif(regexp_extract(lower(error_message), 'try again in ([\d.]+)s', 1), '') AS DOUBLE) w, unnest([1, 2, 3]) attempt FROM u WHERE error_message IS NOT NULL)
+    "error_class_backoff": rf"""WITH {_F}, k AS (SELECT id, CASE WHEN error_message = '' THEN NULL WHEN {_HOLDS(_RATE_LIMIT, 'lower(error_message)')} THEN 'rate_limit' WHEN {_HOLDS(_TIMEOUT, 'lower(error_message)')} THEN 'timeout' ELSE 'other' END kind, TRY_CAST(nullif(regexp_extract(lower(error_message), 'try again in ([\d.]+)s', 1), '') AS DOUBLE) w, unnest([1, 2, 3]) attempt FROM u WHERE error_message IS NOT NULL)
  SELECT id, kind, attempt, CASE kind WHEN 'rate_limit' THEN least(coalesce(w + 0.5, 2.0 * 2.0 ** (attempt - 1)), 20.0) WHEN 'timeout' THEN least(1.5 * 2.0 ** (attempt - 1), 20.0) END AS seconds FROM k""",
     "status_lookup": f"WITH {_F} SELECT upper(trim(status)) AS status, count(*) AS uploads, count(*) FILTER (upper(trim(status)) NOT IN ('QUEUED', 'CHUNKING', 'EXTRACTING', 'RECONCILING', 'DONE', 'DONE_EMPTY', 'FAILED')) AS unknown FROM u GROUP BY 1",
     "stream_fact_counts": f"WITH {_F} SELECT document_id, count(*) AS facts FROM f GROUP BY 1",

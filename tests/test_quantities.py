@@ -97,5 +97,14 @@ def test_empty(spark, units):
     assert to_base_units(empty, units.limit(0), ["id"]).count() == 0
 
 
-def test_very_long_value(spark, units):
-    assert to_base_units(spark.createDataFrame([("a", "9" * 100_000, "kg", "x" * 100_000)], "id string, value string, unit string, evidence_quote string"), units, ["id"]).count() == 0
+def test_long_values_are_read_whole():
+    found = lambda *fact: (lambda q: q and (float(q[0]), q[1].scale))(parse_quantity(*fact))
+    assert found("about" + " " * 220 + "12 crore", "INR", None) == (12.0, 1e7)
+    assert found("12" + " " * 500 + "crore", "INR", None) == (12.0, 1e7)
+    assert found("12", None, "word " * 20_000 + "of " + "INR" + " " * 90 + "12" + " " * 90 + "crore of debt") == (12.0, 1e7)
+    assert found("12", None, "12 pages " * 5_000 + "then 12 crore rupees") == (12.0, 1e7)
+    assert found("12 crore " + "and so on " * 500, "INR", None) is None
+
+
+def test_numbers_beyond_a_double(spark, units):
+    assert to_base_units(spark.createDataFrame([("a", "9" * 100_000, "kg", "x" * 100_000), ("b", "1e999999", "kg", None)], "id string, value string, unit string, evidence_quote string"), units, ["id"]).count() == 0
