@@ -23,8 +23,6 @@ from pyspark.sql import types as T
 from claimforge.functions.worker import kept
 from claimforge.session import Scratch
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-
 
 def _encoding(path: str):
     import public_tokenizers
@@ -34,7 +32,7 @@ def _encoding(path: str):
     return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def count_tokens(documents: DataFrame, columns: list[str], text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
+def count_tokens(documents: DataFrame, columns: list[str], tokenizer: str, text: str = "text") -> DataFrame:
     """The columns and ``tokens``: the number of tokens of each text; null and empty texts have none."""
     kept_columns = documents.select(*columns, F.coalesce(F.col(text), F.lit("")).alias("_text"))
 
@@ -62,24 +60,27 @@ def fill(targets: dict[str, float], capacity: dict[str, float], budget: float) -
     return given
 
 
-def plan_mixes(documents: DataFrame, targets: DataFrame, seed: int = 17, buckets: int = 4096, tokenizer: str = TOKENIZER) -> DataFrame:
-    """One row per mix and named source: what it owes and which documents give it.
+def plan_mixes(documents: DataFrame, targets: DataFrame, tokenizer: str, seed: int = 17, buckets: int = 4096, most_targets: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    """One row per mix and named source: what it owes and which documents give it; and the counted documents.
 
     (mix_id, source, target_share, source_tokens, owed_tokens, whole, cut_hash, cut_id): each document of the source is
     taken ``whole`` times, and once more if (hash, doc_id) does not exceed (cut_hash, cut_id). The table has as many
-    rows as ``targets``. Rows of documents without id or source are in no mix, yet count for the budget; each row of a
+    rows as ``targets``, of which more than ``most_targets`` are refused. Rows of documents without id or source are in no mix, yet count for the budget; each row of a
     repeated document counts. A source named twice in a mix has the sum of its shares and the smaller cap; null or
     non-positive shares count as 0; sources that are absent or empty give nothing.
     """
     spark = documents.sparkSession
-    counted = count_tokens(documents.select("doc_id", "source", "text"), ["doc_id", "source"], "text", tokenizer)
+    counted = count_tokens(documents.select("doc_id", "source", "text"), ["doc_id", "source"], tokenizer)
     sizes = Scratch(spark, "mixing").write(counted.withColumn("h", F.xxhash64(F.lit(seed), "doc_id")), "tokens")
     named = sizes.where("source is not null and doc_id is not null and tokens > 0").withColumn("bucket", F.floor((F.col("h").cast("double") + 2.0**63) / 2.0**64 * buckets).cast("int"))
     held = named.groupBy("source", "bucket").agg(F.sum("tokens").alias("tokens"))
     total = sizes.agg(F.sum("tokens")).first()[0] or 0
     per_source = {r.source: r.tokens for r in held.join(targets.select("source").distinct(), "source", "left_semi").groupBy("source").agg(F.sum("tokens").alias("tokens")).collect()}
     mixes: dict[int, dict[str, tuple]] = {}
-    for r in targets.where("mix_id is not null and source is not null").collect():  # a small table by its nature
+    wanted = targets.where("mix_id is not null and source is not null").limit(most_targets + 1).collect()
+    if len(wanted) > most_targets:
+        raise ValueError(f"more than {most_targets} targets")
+    for r in wanted:
         old = mixes.setdefault(r.mix_id, {}).get(r.source, (0.0, r.max_repeats or 0, 0.0))
         mixes[r.mix_id][r.source] = (old[0] + max(0.0, r.target_share or 0.0), min(old[1], r.max_repeats or 0), max(old[2], r.budget_ratio or 0.0))
     rows = []
@@ -99,7 +100,7 @@ def plan_mixes(documents: DataFrame, targets: DataFrame, seed: int = 17, buckets
     # With nothing taken from the bucket, the cut lies before its first document.
     cut = F.broadcast(split).join(cut, ["mix_id", "source"], "left").withColumn("floor", (F.col("bucket") / F.lit(float(buckets)) * 2.0**64 - 2.0**63).cast("bigint") - 1)
     cut = cut.select("mix_id", "source", F.coalesce("cut.h", "floor").alias("cut_hash"), F.col("cut.doc_id").alias("cut_id"))
-    return owes.join(cut, ["mix_id", "source"], "left").drop("rest")
+    return owes.join(cut, ["mix_id", "source"], "left").drop("rest"), sizes
 
 
 def _taken(documents: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
@@ -108,16 +109,20 @@ def _taken(documents: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
     return hashed.join(F.broadcast(plan), "source").withColumn("copies", F.col("whole") + F.when(more, 1).otherwise(0)).where("copies > 0")
 
 
-def mix_documents(documents: DataFrame, targets: DataFrame, seed: int = 17, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(mix_id, doc_id, source, copies, text): the documents of each mix, with how often each is used."""
-    plan = plan_mixes(documents, targets, seed, tokenizer=tokenizer).select("mix_id", "source", "whole", "cut_hash", "cut_id")
-    return _taken(documents, plan, seed).select("mix_id", "doc_id", "source", "copies", "text")
+def mix_documents(documents: DataFrame, targets: DataFrame, tokenizer: str, seed: int = 17, as_rows: bool = False) -> DataFrame:
+    """(mix_id, doc_id, source, copies, text): the documents of each mix, with how often each is used.
+
+    With ``as_rows`` a document comes out once for each use, ``copies`` being 1.
+    """
+    plan, _ = plan_mixes(documents, targets, tokenizer, seed)
+    taken = _taken(documents, plan.select("mix_id", "source", "whole", "cut_hash", "cut_id"), seed).select("mix_id", "doc_id", "source", "copies", "text")
+    return taken.withColumn("copies", F.explode(F.array_repeat(F.lit(1), F.col("copies")))) if as_rows else taken
 
 
-def mix_shares(documents: DataFrame, targets: DataFrame, seed: int = 17, tokenizer: str = TOKENIZER) -> DataFrame:
+def mix_shares(documents: DataFrame, targets: DataFrame, tokenizer: str, seed: int = 17) -> DataFrame:
     """(mix_id, source, target_share, actual_share, tokens, documents, epochs): what each source of a mix came to."""
-    plan = Scratch(documents.sparkSession, "mixing").write(plan_mixes(documents, targets, seed, tokenizer=tokenizer), "plan")
-    sizes = count_tokens(documents.select("doc_id", "source", "text"), ["doc_id", "source"], "text", tokenizer)
+    plan, sizes = plan_mixes(documents, targets, tokenizer, seed)
+    plan = Scratch(documents.sparkSession, "mixing").write(plan, "plan")
     got = _taken(sizes, plan.select("mix_id", "source", "whole", "cut_hash", "cut_id"), seed).groupBy("mix_id", "source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.count(F.lit(1)).alias("documents"))
     every = plan.join(got, ["mix_id", "source"], "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
     whole = F.sum("tokens").over(Window.partitionBy("mix_id"))

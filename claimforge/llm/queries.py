@@ -107,12 +107,17 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
     return p8_leaks(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.max("share").alias("largest_share"))
 
 
+def _tokenizer(spark: SparkSession) -> str:
+    """The vocabulary file of a public tokenizer that the session names."""
+    return spark.conf.get("spark.claimforge.tokenizer", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+
+
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
-    return mix_documents(table(spark, d, "documents", "doc_id", "source", "text"), table(spark, d, "mix_targets"))
+    return mix_documents(table(spark, d, "documents", "doc_id", "source", "text"), table(spark, d, "mix_targets"), _tokenizer(spark))
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mix_shares(table(spark, d, "documents", "doc_id", "source", "text"), table(spark, d, "mix_targets"))
+    return mix_shares(table(spark, d, "documents", "doc_id", "source", "text"), table(spark, d, "mix_targets"), _tokenizer(spark))
 
 
 def p10_statistics(spark: SparkSession, d: str) -> DataFrame:

@@ -15,7 +15,7 @@ from claimforge.llm.formatting import formatting_copies, formatting_groups
 from claimforge.llm.groups import connected_groups
 from claimforge.llm.leaks import LeakIndex, find_leaks
 from claimforge.llm.lookalikes import _HARMLESS, look_alikes, to_plain_text
-from claimforge.llm.mixing import fill, mix_documents, mix_shares
+from claimforge.llm.mixing import fill, mix_documents, mix_shares, plan_mixes
 from claimforge.llm.names import common_words, link_names, name_pairs, short_for, trie_join, within_one
 from claimforge.llm.quality import KINDS, STATISTICS, document_statistics, score_quality, text_statistics
 from claimforge.llm.splitting import split_oversized, split_text
@@ -415,22 +415,28 @@ def test_water_filling():
     assert fill({"a": 0.0}, {"a": 10}, 100) == {}
 
 
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
 def test_mix(spark):
     documents = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, "big").when(F.col("id") % 30 == 0, "small").when(F.col("id") % 5 == 0, None).otherwise("mid").alias("source"), F.repeat(F.lit("word "), (F.col("id") % 17 + 1).cast("int")).alias("text"))
     documents = documents.unionByName(spark.createDataFrame([(-1, "big", None), (-2, "big", ""), (None, "big", "x")], "doc_id bigint, source string, text string"))
     targets = spark.createDataFrame([(1, "big", 0.5, 1, 0.4), (1, "small", 0.3, 2, 0.4), (1, "mid", 0.2, 3, 0.4), (2, "big", 0.5, 1, 5.0), (2, "absent", 0.5, 9, 5.0)], "mix_id int, source string, target_share double, max_repeats int, budget_ratio double")
-    shares = {(r.mix_id, r.source): r for r in mix_shares(documents, targets).collect()}
-    total = mix_documents(documents, targets.where("mix_id = 1")).agg(F.sum(F.size(F.split("text", " ")))).first()[0]
+    shares = {(r.mix_id, r.source): r for r in mix_shares(documents, targets, TOKENIZER).collect()}
+    total = mix_documents(documents, targets.where("mix_id = 1"), TOKENIZER).agg(F.sum(F.size(F.split("text", " ")))).first()[0]
     assert total > 0
     assert shares[1, "small"].epochs == pytest.approx(2.0)
     assert shares[1, "big"].tokens / shares[1, "mid"].tokens == pytest.approx(2.5, rel=0.01)
     assert shares[2, "big"].epochs == pytest.approx(1.0) and shares[2, "absent"].tokens == 0
-    copies = mix_documents(documents, targets)
+    copies = mix_documents(documents, targets, TOKENIZER)
     assert copies.join(targets, ["mix_id", "source"]).where("copies > max_repeats").count() == 0
     assert copies.groupBy("mix_id", "doc_id").count().where("count > 1").count() == 0
-    assert rows(copies.select("mix_id", "doc_id", "copies")) == rows(mix_documents(documents, targets).select("mix_id", "doc_id", "copies"))
-    assert mix_documents(documents.limit(0), targets).count() == 0
-    assert mix_documents(documents, targets.limit(0)).count() == 0
+    assert rows(copies.select("mix_id", "doc_id", "copies")) == rows(mix_documents(documents, targets, TOKENIZER).select("mix_id", "doc_id", "copies"))
+    assert mix_documents(documents, targets, TOKENIZER, as_rows=True).count() == copies.agg(F.sum("copies")).first()[0]
+    assert mix_documents(documents.limit(0), targets, TOKENIZER).count() == 0
+    with pytest.raises(ValueError):
+        plan_mixes(documents, targets, TOKENIZER, most_targets=2)
+    assert mix_documents(documents, targets.limit(0), TOKENIZER).count() == 0
 
 
 # 10 --------------------------------------------------------------------------------------------------------------
