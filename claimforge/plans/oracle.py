@@ -145,6 +145,18 @@ SQL: dict[str, str] = {
     "adjudication_residue": f"{_ALIGNED}{_RULES} SELECT id FROM v WHERE rule = 8",
     "vector_topk": _TOPK.format(_COSINE, "", 0.30),
     "vector_topk_incremental": _TOPK.format(_COSINE, "AND x.label <= q.label", 0.20),
+    "vector_topk_apart": _TOPK.format(_COSINE, "AND x.label <> q.label", 0.20),
+    "pair_explanations": f"""{_ALIGNED}{_RULES}, t AS (SELECT v.id, w.decision_route, rule, has_period_a pa, has_period_b pb, has_scope_a sa, has_scope_b sb, a.attribute aa, a.entity ae, b.attribute ba, b.entity be, coalesce(nullif(a.scope, ''), 'standard') sc,
+  concat_ws(' ', a.value, nullif(coalesce(a.unit, ''), '')) va, concat_ws(' ', b.value, nullif(coalesce(b.unit, ''), '')) vb FROM v JOIN w USING (rule) JOIN al USING (id) JOIN r USING (id) JOIN f a ON a.id = r.fact_a_id JOIN f b ON b.id = r.fact_b_id)
+ SELECT id, decision_route, CASE rule WHEN 1 THEN 'Different subjects: ' || coalesce(aa, '') || ' of ' || coalesce(ae, '') || ' and ' || coalesce(ba, '') || ' of ' || coalesce(be, '') WHEN 2 THEN 'Both state ' || coalesce(aa, '') || ' of ' || coalesce(ae, '') || ' (' || sc || ') as ' || va
+  WHEN 3 THEN 'Both state ' || coalesce(aa, '') || ' of ' || coalesce(ae, '') || ' (' || sc || ') as ' || va || ', within rounding of ' || vb WHEN 4 THEN 'No period on ' || CASE WHEN pa THEN 'Fact B' WHEN pb THEN 'Fact A' ELSE 'Fact A and Fact B' END
+  WHEN 5 THEN va || ' against ' || vb || ': no scope on ' || CASE WHEN sa THEN 'Fact B' WHEN sb THEN 'Fact A' ELSE 'Fact A and Fact B' END WHEN 6 THEN 'Units differ: ' || va || ' and ' || vb WHEN 7 THEN 'The header or the extraction is uncertain' ELSE 'No rule applies' END AS explanation FROM t""",
+    "adjudicated_pairs": f"""{_ALIGNED}{_RULES}, j AS (SELECT v.id, rule, coalesce(trim(a.scope) <> '' AND trim(b.scope) <> '' AND lower(trim(a.scope)) <> lower(trim(b.scope)), false) OR coalesce(trim(a.period) <> '' AND trim(b.period) <> '' AND lower(trim(a.period)) <> lower(trim(b.period)), false) differ
+  FROM v JOIN r USING (id) JOIN f a ON a.id = r.fact_a_id JOIN f b ON b.id = r.fact_b_id)
+ SELECT id AS pair_id, CASE WHEN rule < 8 THEN relation_type WHEN differ THEN 'RECONCILED' ELSE 'CONTRADICTS' END AS relation_type, CASE WHEN rule < 8 THEN decision_route ELSE 'llm_adjudication' END AS decision_route, CASE WHEN rule < 8 THEN review_reason END AS review_reason, CASE WHEN rule < 8 THEN decision_confidence ELSE 0.6 END AS decision_confidence FROM j JOIN w USING (rule)""",
+    "extracted_amounts": rf"""WITH {_F}, s AS (SELECT id, trim(unnest(string_split_regex(regexp_replace(raw_text, '([.!?])\s+', E'\\1\n', 'g'), '\n+'))) q, generate_subscripts(string_split_regex(regexp_replace(raw_text, '([.!?])\s+', E'\\1\n', 'g'), '\n+'), 1) k FROM c WHERE NOT (contains(lower(raw_text), 'forward-looking statements') AND contains(lower(raw_text), 'safe harbor') AND length(raw_text) < 600)),
+ m AS (SELECT id, k, q, regexp_extract_all(q, '(?i)(?:(?:US\$|[₹$]|INR|USD|Rs\.?)\s?\d[\d,]*(?:\.\d+)?(?:\s?(?:crore|cr|lakh|million|mn|bn|billion|per cent|percent|%|bps|tonnes|km|MW|units))?|\d[\d,]*(?:\.\d+)?\s?(?:crore|cr|lakh|million|mn|bn|billion|per cent|percent|%|bps|tonnes|km|MW|units))') v FROM s), x AS (SELECT id, k, q, unnest(v) v, generate_subscripts(v, 1) j FROM m)
+ SELECT id AS chunk_id, row_number() OVER (PARTITION BY id ORDER BY k, j) - 1 AS ordinal, trim(v) AS value, q AS evidence_quote FROM x""",
     "unordered_pair_dedup": f"WITH {_F}, k AS (SELECT least(fact_a_id, fact_b_id) low, greatest(fact_a_id, fact_b_id) high, {_kind('relation_type')} t FROM r WHERE fact_a_id <> fact_b_id) SELECT DISTINCT low, high FROM k WHERE t <> 'CORROBORATES' EXCEPT SELECT low, high FROM k WHERE t = 'CORROBORATES'",
     "list_facts_filtered": f"WITH {_F}, t AS (SELECT * FROM f WHERE entity ILIKE '%insurance%' AND attribute ILIKE '%debt%' ORDER BY created_at DESC, id LIMIT 100) SELECT t.id, entity, attribute, value, unit, coalesce(qualifiers, '{{}}') AS qualifiers, c.page_number, u.filename FROM t LEFT JOIN c ON c.id = t.chunk_id LEFT JOIN u ON u.id = t.document_id",
     "document_facts": f"WITH {_F} SELECT f.id, entity, value, c.page_number, u.filename FROM (SELECT * FROM f WHERE document_id = (SELECT min(id) FROM u) ORDER BY created_at DESC, id LIMIT 500) f LEFT JOIN c ON c.id = f.chunk_id LEFT JOIN u ON u.id = f.document_id",
@@ -184,5 +196,8 @@ SQL: dict[str, str] = {
  SELECT id, kind, attempt, CASE kind WHEN 'rate_limit' THEN least(coalesce(w + 0.5, 2.0 * 2.0 ** (attempt - 1)), 20.0) WHEN 'timeout' THEN least(1.5 * 2.0 ** (attempt - 1), 20.0) END AS seconds FROM k""",
     "status_lookup": f"WITH {_F} SELECT upper(trim(status)) AS status, count(*) AS uploads, count(*) FILTER (upper(trim(status)) NOT IN ('QUEUED', 'CHUNKING', 'EXTRACTING', 'RECONCILING', 'DONE', 'DONE_EMPTY', 'FAILED')) AS unknown FROM u GROUP BY 1",
     "stream_fact_counts": f"WITH {_F} SELECT document_id, count(*) AS facts FROM f GROUP BY 1",
+    "stream_new_uploads": f"WITH {_F} SELECT content_hash, arg_min(id, (upload_ts, id)) AS id FROM u WHERE content_hash IS NOT NULL GROUP BY 1",
+    "stream_job_states": f"""WITH {_F}, s AS (SELECT document_id, count(*) chunks, count(*) FILTER (coalesce(extraction_status, '') IN ('', 'pending')) open, count(*) FILTER (extraction_status IN ('rate_limited', 'extraction_failed', 'timed_out', 'cancelled')) failed FROM c GROUP BY 1)
+ SELECT document_id, CASE WHEN open > 0 THEN 'EXTRACTING' WHEN failed = chunks THEN 'FAILED' ELSE 'RECONCILING' END AS status, chunks, failed FROM s""",
     "stream_event_windows": "SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL",
 }

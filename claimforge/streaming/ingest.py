@@ -1,15 +1,23 @@
-"""Incremental ingest with Structured Streaming: each batch is deduplicated and matched against what is there."""
+"""Incremental ingest with Structured Streaming: each batch is deduplicated and matched against what is there.
+
+What has been seen lives in tables of the shared folder, not in the state of a stream: a batch writes under its own
+number, so one that is run again replaces what it wrote and each row counts once, and every so many batches the small
+tables become one. State is kept only where it ends: windows until the watermark, jobs until their deadline.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from claimforge.operators.embedding import embed
-from claimforge.operators.similarity import top_k
+from claimforge.operators.similarity import indexed_top_k
 from claimforge.session import Scratch
 
 
@@ -20,58 +28,167 @@ def stream_table(spark: SparkSession, path: str, files_per_batch: int = 4) -> Da
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def stream_fact_counts(spark: SparkSession, path: str, late: str = "3650 days") -> DataFrame:
-    """(document_id, facts): facts per document from a stream in which facts may be delivered again.
+class Batches:
+    """A table that grows by one part a batch; every ``compact`` parts become one."""
+
+    def __init__(self, scratch: Scratch, name: str, schema: str, compact: int = 16):
+        self.scratch, self.name, self.schema, self.compact = scratch, name, schema, compact
+        self.parts: list[tuple[int, str]] = []
+
+    def before(self, number: int) -> DataFrame:
+        paths = [f"{self.scratch.base}/{part}" for n, part in self.parts if n < number]
+        reader = self.scratch.spark.read.schema(self.schema)
+        return reader.parquet(*paths) if paths else self.scratch.spark.createDataFrame([], self.schema)
+
+    def all(self) -> DataFrame:
+        return self.before(1 << 62)
+
+    def write(self, rows: DataFrame, number: int) -> DataFrame:
+        part = f"{self.name}/{number}"
+        written = self.scratch.write(rows, part)
+        self.parts = [p for p in self.parts if p[0] != number] + [(number, part)]
+        if len(self.parts) > self.compact:
+            # The last part stays by itself, as its batch may be run again.
+            older = [p for p in self.parts if p[0] < number]
+            merged = f"{self.name}/upto{older[-1][0]}"
+            self.scratch.write(self.before(number), merged)
+            self.parts = [(older[-1][0], merged), (number, part)]
+            for _, path in older:
+                self.scratch.drop(path)
+        return written
+
+
+def _run(rows: DataFrame, scratch: Scratch, each: Callable[[DataFrame, int], None], mode: str = "append") -> None:
+    writer = rows.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", f"{scratch.base}/checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
+
+
+def _once(batch: DataFrame, seen: Batches, number: int, key: str) -> DataFrame:
+    return batch.dropDuplicates([key]).join(seen.before(number).select(key), key, "left_anti")
+
+
+def stream_fact_counts(spark: SparkSession, path: str) -> DataFrame:
+    """(document_id, facts): facts per document from a stream in which facts may be delivered again, however late.
+
+    A batch adds its new ids and its counts; neither the stream nor a batch holds more than that.
+    """
+    scratch = Scratch(spark, "stream")
+    ids, counts = Batches(scratch, "ids", "id string"), Batches(scratch, "counts", "document_id string, facts bigint")
+
+    def each(batch: DataFrame, number: int) -> None:
+        fresh = scratch.write(_once(batch, ids, number, "id"), f"fresh/{number}")
+        ids.write(fresh.select("id"), number)
+        counts.write(fresh.groupBy("document_id").agg(F.count(F.lit(1)).alias("facts")), number)
+        scratch.drop(f"fresh/{number}")
+
+    _run(stream_table(spark, path).select("id", "document_id"), scratch, each)
+    return counts.all().groupBy("document_id").agg(F.sum("facts").alias("facts"))
+
 
-    State: one id per fact within the watermark, one count per document. The last state of the counts is returned.
+def stream_new_uploads(spark: SparkSession, path: str) -> DataFrame:
+    """(content_hash, id): the upload that first brought each content; later ones of the same content are known.
+
+    Within a batch the oldest upload is first, then the smaller id. Uploads without a hash are left out.
     """
     scratch = Scratch(spark, "stream")
-    once = stream_table(spark, path).select("id", "document_id", "created_at").withWatermark("created_at", late).dropDuplicatesWithinWatermark(["id"])
-    counted = once.groupBy("document_id").agg(F.count(F.lit(1)).alias("facts"))
+    known = Batches(scratch, "known", "content_hash string, id string")
 
-    def keep(batch: DataFrame, number: int) -> None:
-        scratch.write(batch, "counts")
+    def each(batch: DataFrame, number: int) -> None:
+        first = batch.groupBy("content_hash").agg(F.min(F.struct("upload_ts", "id")).alias("f")).select("content_hash", F.col("f.id").alias("id"))
+        known.write(first.join(known.before(number).select("content_hash"), "content_hash", "left_anti"), number)
 
-    query = counted.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{scratch.base}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema("document_id string, facts bigint").parquet(f"{scratch.base}/counts")
+    _run(stream_table(spark, path).where("content_hash is not null").select("content_hash", "id", "upload_ts"), scratch, each)
+    return known.all()
 
 
 def stream_windows(spark: SparkSession, path: str, time: str, kind: str, width: str = "1 day", late: str = "30 days") -> DataFrame:
-    """(window_start, kind, n): events per window and kind, as of the end of the stream."""
+    """(window_start, kind, n): events per window and kind, as of the end of the stream.
+
+    A batch puts out the windows that it changed; windows older than the watermark leave the state, and events for them are dropped.
+    """
     scratch = Scratch(spark, "stream")
     counted = stream_table(spark, path).withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, width).alias("w"), kind).agg(F.count(F.lit(1)).alias("n"))
+    changed = Batches(scratch, "windows", f"window_start timestamp, {kind} string, n bigint, batch bigint")
+
+    def each(batch: DataFrame, number: int) -> None:
+        changed.write(batch.select(F.col("w.start").alias("window_start"), kind, "n", F.lit(number).cast("bigint").alias("batch")), number)
+
+    _run(counted, scratch, each, "update")
+    return changed.all().groupBy("window_start", kind).agg(F.max_by("n", "batch").alias("n"))
 
-    def keep(batch: DataFrame, number: int) -> None:
-        scratch.write(batch.select(F.col("w.start").alias("window_start"), kind, "n"), "windows")
 
-    query = counted.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{scratch.base}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.parquet(f"{scratch.base}/windows")
+#: Outcomes of a chunk that leave its job open, and that count as failed.
+OPEN = ("", "pending")
+FAILED = ("rate_limited", "extraction_failed", "timed_out", "cancelled")
 
 
+def job_status(outcomes: list[str]) -> str:
+    """EXTRACTING while a chunk is open, FAILED if all have failed, else RECONCILING."""
+    if any(o in OPEN for o in outcomes):
+        return "EXTRACTING"
+    return "FAILED" if all(o in FAILED for o in outcomes) else "RECONCILING"
 
 
-def stream_candidates(spark: SparkSession, path: str, model: Callable[[list[str]], np.ndarray], every: int = 100, k: int = 4, threshold: float = 0.76) -> DataFrame:
+_JOBS = "document_id string, status string, chunks bigint, failed bigint"
+
+
+def job_states(outcomes: DataFrame, deadline_ms: int | None = None) -> DataFrame:
+    """(document_id, status, chunks, failed): the job of each document by the outcomes of its chunks as they come in.
+
+    ``outcomes`` is a stream of (document_id, id, outcome). The state of a job is the last outcome of each of its chunks,
+    so a chunk delivered again counts once. With ``deadline_ms`` a job with open chunks of which nothing is heard for so
+    long ends: its open chunks count as timed out. Such a stream needs a trigger that goes on, as time passes without data.
+    """
+
+    def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = json.loads(state.get[0]) if state.exists else {}
+        if state.hasTimedOut:
+            held = {k: "timed_out" if v in OPEN else v for k, v in held.items()}
+        else:
+            for frame in frames:
+                held.update(zip(frame["id"], frame["outcome"]))
+        ended = list(held.values())
+        status = job_status(ended)
+        if state.hasTimedOut:
+            state.remove()
+        else:
+            state.update((json.dumps(held),))
+            if deadline_ms is not None and status == "EXTRACTING":
+                state.setTimeoutDuration(deadline_ms)
+        yield pd.DataFrame({"document_id": [key[0]], "status": [status], "chunks": [len(ended)], "failed": [sum(o in FAILED for o in ended)]})
+
+    timeout = GroupStateTimeout.NoTimeout if deadline_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return outcomes.groupBy("document_id").applyInPandasWithState(advance, _JOBS, "held string", "update", timeout)
+
+
+def stream_job_states(spark: SparkSession, path: str) -> DataFrame:
+    """``job_states`` of a table of chunks, as of the end of the stream."""
+    scratch = Scratch(spark, "stream")
+    changed = Batches(scratch, "jobs", f"{_JOBS}, batch bigint")
+
+    def each(batch: DataFrame, number: int) -> None:
+        changed.write(batch.withColumn("batch", F.lit(number).cast("bigint")), number)
+
+    rows = stream_table(spark, path).select("document_id", "id", F.coalesce("extraction_status", F.lit("")).alias("outcome"))
+    _run(job_states(rows), scratch, each, "update")
+    last = changed.all().groupBy("document_id").agg(F.max_by(F.struct("status", "chunks", "failed"), "batch").alias("s"))
+    return last.select("document_id", "s.*")
+
+
+def stream_candidates(spark: SparkSession, path: str, model: Callable[[list[str]], np.ndarray], k: int = 4, threshold: float = 0.76) -> DataFrame:
     """(query_id, cand_id, score): facts as they arrive, matched against all that has arrived by then.
 
-    Each batch adds its new facts to the index and then looks up those among them whose hash is divisible by ``every``, so
-    a fact sees earlier ones and its own batch. A batch writes under its own number: one that is run again
-    replaces what it wrote, so each counts once.
+    Each batch adds its new facts to the index and then looks all of them up, so a fact sees earlier ones and its own batch.
     """
     scratch = Scratch(spark, "stream")
-    index = "id string, seq int, embedding array<double>"
-
-    def match(batch: DataFrame, number: int) -> None:
-        fresh = batch.dropDuplicates(["id"])
-        before = [f"{scratch.base}/index/{n}" for n in range(number)]
-        if before:
-            fresh = fresh.join(spark.read.schema(index).parquet(*before).select("id"), "id", "left_anti")
-        added = scratch.write(embed(fresh, "id", "canonical_statement", model).withColumn("seq", F.lit(number)).select("id", "seq", "embedding"), f"index/{number}")
-        held = spark.read.schema(index).parquet(*before, f"{scratch.base}/index/{number}")
-        scratch.write(top_k(added.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0), held, k, threshold), f"found/{number}")
-
-    rows = stream_table(spark, path, 1).select("id", "canonical_statement")
-    query = rows.writeStream.foreachBatch(match).option("checkpointLocation", f"{scratch.base}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema("query_id string, cand_id string, score double").option("recursiveFileLookup", "true").parquet(f"{scratch.base}/found")
+    index = Batches(scratch, "index", "id string, embedding array<float>")
+    found = Batches(scratch, "found", "query_id string, cand_id string, score double")
+
+    def each(batch: DataFrame, number: int) -> None:
+        fresh = _once(batch, index, number, "id")
+        added = index.write(embed(fresh, "id", "canonical_statement", model).select("id", F.col("embedding").cast("array<float>").alias("embedding")), number)
+        held = index.before(number).unionByName(added)
+        found.write(indexed_top_k(added, held, k, threshold=threshold).select("query_id", "cand_id", "score"), number)
+
+    _run(stream_table(spark, path, 1).select("id", "canonical_statement"), scratch, each)
+    return found.all()

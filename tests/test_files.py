@@ -9,22 +9,26 @@ from claimforge.sources import files
 def test_binary_files_and_pages(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "a.pdf").write_bytes(b"one\x0ctwo\x0cthree")
-    (tmp_path / "sub" / "b.pdf").write_bytes(b"one\x0ctwo\x0cthree")
+    (tmp_path / "sub" / "b.PDF").write_bytes(b"one\x0ctwo\x0cthree")
     (tmp_path / "c.pdf").write_bytes(b"\xff\xfe")
     (tmp_path / "d.txt").write_bytes(b"no")
     found = files.binary_files(spark, str(tmp_path))
-    assert sorted(r.filename for r in found.select("filename").collect()) == ["a.pdf", "b.pdf", "c.pdf"]
+    assert sorted(r.filename for r in found.select("filename").collect()) == ["a.pdf", "b.PDF", "c.pdf"]
     assert found.select("content_hash").distinct().count() == 2
     decoder = lambda content: content.decode().split("\x0c")
-    assert sorted((r.page_number, r.page_text) for r in files.decode_pages(found, decoder).collect()) == [(1, "one"), (2, "two"), (3, "three")]
-    assert files.decode_pages(found, decoder, max_pages=2).count() == 2
+    assert sorted((r.page_number, r.page_text) for r in files.decode_pages(found, decoder).where("error is null").collect()) == [(1, "one"), (2, "two"), (3, "three")]
+    assert files.decode_pages(found, decoder, max_pages=2).where("page_number is not null").count() == 2
+    failed = files.decode_pages(found, decoder).where("error is not null").collect()
+    assert len(failed) == 1 and failed[0].page_number is None and "UnicodeDecodeError" in failed[0].error
 
 
 def test_cases(spark, tmp_path):
     claim = {"entity": "Acme", "attribute": "Revenue", "value": "5", "qualifiers": {"header_uncertain": "true"}}
     lines = [json.dumps({"id": "1", "fact_a": claim, "fact_b": {"entity": "Acme"}, "expected_relation": "NEEDS_REVIEW", "must_not_be": ["CORROBORATES"]}), "", json.dumps({"id": "2", "fact_a": claim, "fact_b": claim})]
-    (tmp_path / "cases.jsonl").write_text("\n".join(lines))
-    got = {r.id: r for r in files.labelled_cases(spark, str(tmp_path / "cases.jsonl")).collect()}
+    (tmp_path / "cases.jsonl").write_text("\n".join([*lines, "{no json"]))
+    read = files.labelled_cases(spark, str(tmp_path / "cases.jsonl"))
+    assert [r.malformed for r in read.where("malformed is not null").collect()] == ["{no json"]
+    got = {r.id: r for r in read.where("malformed is null").collect()}
     assert set(got) == {"1", "2"} and got["1"].fact_b.confidence == 0.95 and got["1"].fact_b.qualifiers == {} and got["1"].must_not_be == ["CORROBORATES"]
 
 
@@ -36,7 +40,9 @@ def test_fill_hashes(spark):
 
 def test_evolving_table(spark, tmp_path):
     path = str(tmp_path / "t")
+    files.ensure_table(spark, path, "id string")
     files.append(spark.createDataFrame([("1",)], "id string"), path)
+    files.ensure_table(spark, path, "id string")
     files.append(spark.createDataFrame([("2", "done")], "id string, status string"), path)
     assert {tuple(r) for r in files.read_evolving(spark, path, {"status": "success", "n": 0}).select("id", "status", "n").collect()} == {("1", "success", 0), ("2", "done", 0)}
     files.write_json(spark.createDataFrame([(1, None)], "a int, b string"), str(tmp_path / "m"))

@@ -1,9 +1,15 @@
+import threading
+import time
+
+from pyspark.sql import functions as F
+
 from claimforge.operators.embedding import hashing_model
-from claimforge.streaming.ingest import stream_candidates, stream_fact_counts
+from claimforge.session import Scratch
+from claimforge.streaming.ingest import Batches, job_states, job_status, stream_candidates, stream_fact_counts, stream_job_states, stream_new_uploads, stream_table
 
 
-def write(spark, path, rows):
-    df = spark.createDataFrame([(i, d, s) for i, d, s in rows], "id string, document_id string, canonical_statement string")
+def write(spark, path, rows, schema="id string, document_id string, canonical_statement string"):
+    df = spark.createDataFrame(rows, schema)
     df.selectExpr("*", "timestamp'2025-01-01' as created_at").coalesce(1).write.mode("append").parquet(path)
 
 
@@ -13,6 +19,51 @@ def test_facts_in_batches(spark, tmp_path):
     write(spark, path, [("c", "d2", "Acme net sales 5"), ("a", "d1", "Acme net sales 5")])
     counts = {r.document_id: r.facts for r in stream_fact_counts(spark, path).collect()}
     assert counts == {"d1": 2, "d2": 1}
-    found = {(r.query_id, r.cand_id) for r in stream_candidates(spark, path, hashing_model(64), every=1).collect()}
+    found = {(r.query_id, r.cand_id) for r in stream_candidates(spark, path, hashing_model(64)).collect()}
     # Files of one second come in either order; the later of a and c sees the earlier one.
     assert found & {("a", "c"), ("c", "a")} and not any("b" in pair for pair in found)
+
+
+def test_uploads_of_one_content(spark, tmp_path):
+    path = str(tmp_path / "uploads")
+    for rows in ([("a", "h1"), ("b", "h1"), ("c", None)], [("d", "h2"), ("a", "h1")]):
+        spark.createDataFrame([(i, h) for i, h in rows], "id string, content_hash string").withColumn("upload_ts", F.lit("2025-01-01").cast("timestamp")).coalesce(1).write.mode("append").parquet(path)
+    assert {tuple(r) for r in stream_new_uploads(spark, path).collect()} == {("h1", "a"), ("h2", "d")}
+
+
+def test_batches_are_idempotent_and_compacted(spark):
+    table = Batches(Scratch(spark, "test"), "t", "n bigint", compact=3)
+    for number in range(9):
+        for _ in range(2):  # a batch that is run again
+            table.write(spark.range(number, number + 1).toDF("n"), number)
+        assert len(table.parts) <= 4
+    assert sorted(r.n for r in table.all().collect()) == list(range(9))
+    assert sorted(r.n for r in table.before(8).collect()) == list(range(8))
+
+
+def test_job_status():
+    assert job_status(["success", ""]) == "EXTRACTING" and job_status(["success", "timed_out"]) == "RECONCILING" and job_status(["cancelled", "rate_limited"]) == "FAILED"
+
+
+def test_jobs(spark, tmp_path):
+    path = str(tmp_path / "chunks")
+    schema = "id string, document_id string, extraction_status string"
+    write(spark, path, [("1", "a", "success"), ("2", "a", "timed_out"), ("3", "b", "pending"), ("1", "a", "success"), ("4", "c", "cancelled")], schema)
+    assert {tuple(r) for r in stream_job_states(spark, path).collect()} == {("a", "RECONCILING", 2, 1), ("b", "EXTRACTING", 1, 0), ("c", "FAILED", 1, 1)}
+
+
+def test_jobs_end_at_their_deadline(spark, tmp_path):
+    path, got, done = str(tmp_path / "chunks"), [], threading.Event()
+    write(spark, path, [("1", "a", "pending"), ("2", "a", "timed_out")], "id string, document_id string, extraction_status string")
+    rows = stream_table(spark, path).select("document_id", "id", F.coalesce("extraction_status", F.lit("")).alias("outcome"))
+
+    def each(batch, number):
+        got.extend(tuple(r) for r in batch.collect())
+        if len(got) > 1:
+            done.set()
+
+    query = job_states(rows, deadline_ms=500).writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", str(tmp_path / "check")).trigger(processingTime="300 milliseconds").start()
+    began = time.time()
+    done.wait(60)
+    query.stop()
+    assert got[:2] == [("a", "EXTRACTING", 2, 1), ("a", "FAILED", 2, 2)] and time.time() - began < 60
