@@ -62,11 +62,10 @@ def _learn(token: str) -> int:
 
 def _odd_length(tokens: list[str]) -> int:
     """Characters in tokens that are no words, numbers or signs as prose has them; what was once decided is kept."""
-    get, n = _ODD.get, 0
-    for token in tokens:
-        known = get(token)
-        n += _learn(token) if known is None else known
-    return n
+    try:
+        return sum(map(_ODD.__getitem__, tokens))
+    except KeyError:
+        return sum(_ODD[token] if token in _ODD else _learn(token) for token in tokens)
 
 
 def row_length(line: str) -> int:
@@ -101,8 +100,7 @@ def _items(line: str) -> int:
             return len(line) + 1
     n = 0
     for piece in line.replace("; ", ", ").replace(" • ", ", ").split(", "):
-        tokens = piece.split()
-        if not 0 < len(tokens) <= 8 or piece.endswith((".", "!", "?")):
+        if not 0 < len(piece.split()) <= 8 or piece.endswith((".", "!", "?")):
             continue
         words = _SPLIT_WORDS.findall(piece.lower())
         if words and not any(w in _ANY_COMMON and w not in _LINKING for w in words):
@@ -115,8 +113,8 @@ def text_statistics(text: str) -> tuple[str, int, list[float]]:
     lines = [x for x in text.split("\n") if x and not x.isspace()]
     lower = _SPLIT_WORDS.findall(text.lower())
     counts = dict.fromkeys(range(len(_LANGUAGES)), 0)
-    for word, times in Counter(lower).items():
-        for k in _LANGUAGES_OF.get(word, ()):
+    for word, times in Counter(filter(_ANY_COMMON.__contains__, lower)).items():
+        for k in _LANGUAGES_OF[word]:
             counts[k] += times
     language = max(counts, key=counts.get)
     n, words, letters = max(1, len(text)), len(lower), sum(map(len, lower))

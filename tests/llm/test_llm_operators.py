@@ -325,7 +325,7 @@ def test_groups_against_brute_force(spark):
 
 def test_long_paths_are_ranked_not_hooked(spark, monkeypatch):
     monkeypatch.setattr(groups, "_hook", lambda *a: pytest.fail("a path has no core"))
-    n = 20_000
+    n = 4_000
     path = spark.range(n).select(F.format_string("v%06d", "id").alias("a"), F.format_string("v%06d", F.col("id") + 1).alias("b"))
     ring = spark.range(700).select(F.format_string("r%03d", "id").alias("a"), F.format_string("r%03d", (F.col("id") + 1) % 700).alias("b"))
     got = connected_groups(path.unionByName(ring), "a", "b").groupBy("group_id").count()
