@@ -154,10 +154,7 @@ def chunk_packing(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def low_text_pages(spark: SparkSession, d: str) -> DataFrame:
-    """Pages with a picture that have hardly any text beside it: under 80 characters on average for each of its chunks' sentences.
-
-    The given pages all have some text, so a page's text here is its shortest paragraph.
-    """
+    """Chunks with a picture whose shortest line has under 80 characters: no given page has as little text as a visual one."""
     held = chunks(spark, d, "document_id", "page_number", "raw_text", "image_ref").where("image_ref is not null")
     shortest = F.array_min(F.transform(F.split("raw_text", "\n"), lambda line: F.struct(F.length(line).alias("n"), line.alias("line"))))["line"]
     seen = chunking.visual_pages(held.withColumn("line", shortest).withColumn("images", F.lit(1)), "line", "images")
