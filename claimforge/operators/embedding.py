@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimforge.operators.similarity import pack, scaled
+
 
 def embed(rows: DataFrame, key: str, text: str, model: Callable[[list[str]], np.ndarray]) -> DataFrame:
     """(key, embedding) by a model that takes a batch of texts and gives a matrix; null is an empty text."""
@@ -24,6 +26,18 @@ def embed(rows: DataFrame, key: str, text: str, model: Callable[[list[str]], np.
     return rows.select(key, F.coalesce(text, F.lit("")).alias("t")).mapInArrow(run, f"{key} {kind}, embedding array<double>")
 
 
+def embed_packed(rows: DataFrame, key: str, text: str, model: Callable[[list[str]], np.ndarray]) -> DataFrame:
+    """(id, v): as ``embed``, vectors of unit length as packed bytes."""
+    kind = dict(rows.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.record_batch([batch.column(0), pack(scaled(model(batch.column(1).to_pylist())))], names=["id", "v"])
+
+    return rows.select(key, F.coalesce(text, F.lit("")).alias("t")).mapInArrow(run, f"id {kind}, v binary")
+
+
 def hashing_model(size: int = 256) -> Callable[[list[str]], np.ndarray]:
     """Feature hashing: words by hash with a sign, so that collisions cancel out on average, vectors of unit length."""
 

@@ -12,6 +12,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,10 +90,15 @@ def _centroids(sample: np.ndarray, n: int, steps: int = 12) -> np.ndarray:
     return centres
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows as float32, of unit length."""
+    x = x.astype(np.float32, copy=False)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     """Vectors of a batch as rows of unit length."""
-    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(len(column), -1)
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    return scaled(column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1))
 
 
 def list_count(rows: int, least: int = 16, most: int = 4096) -> int:
@@ -171,6 +178,121 @@ def indexed_top_k(queries: DataFrame, rows: DataFrame, k: int = 4, threshold: fl
     return _best(both.mapInArrow(compare, f"query_id {kind}, cand_id {kind}, score double").distinct(), k)
 
 
+_PAIR = np.dtype([("at", "<u2"), ("x", "<f4")])
+
+
+def pack(x: np.ndarray) -> pa.Array:
+    """Rows of a float32 matrix as bytes: coordinates other than zero, and always the last one, which tells how many there are."""
+    if not 0 < x.shape[1] <= 1 << 16:
+        raise ValueError("vectors have 1 to 65,536 coordinates")
+    keep = x != 0
+    keep[:, -1] = True
+    i, j = np.nonzero(keep)
+    pairs = np.empty(len(i), _PAIR)
+    pairs["at"], pairs["x"] = j, x[i, j]
+    ends = np.concatenate([[0], np.cumsum(keep.sum(axis=1))]) * _PAIR.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(pairs.tobytes())])
+
+
+def unpack(column: pa.Array) -> np.ndarray:
+    """The matrix of packed rows."""
+    column = column.cast(pa.binary())
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    pairs = np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(_PAIR)
+    x = np.zeros((len(column), int(pairs["at"][-1]) + 1), np.float32)
+    x[np.repeat(np.arange(len(x)), np.diff(ends) // _PAIR.itemsize), pairs["at"]] = pairs["x"]
+    return x
+
+
+def fit_lists(rows: DataFrame, n: int, sample_rows: int = 20_000) -> np.ndarray:
+    """Centroids of an index over n packed rows (id, v), fitted on the ``sample_rows`` of least hash."""
+    sample = rows.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("v").toArrow()["v"].combine_chunks()
+    return _centroids(unpack(sample), list_count(n)).astype(np.float32)
+
+
+def in_lists(rows: DataFrame, centres: Broadcast, probes: int) -> DataFrame:
+    """(id, cell, asks, v): packed rows (id, v) with their list and the ``probes`` nearest ones, which a query asks."""
+    kind = dict(rows.dtypes)["id"]
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            score = unpack(batch.column(1)) @ centres.value.T
+            few = min(probes, score.shape[1])
+            near = np.argpartition(-score, few - 1, axis=1)[:, :few].astype(np.int32)
+            cell = np.take_along_axis(near, np.take_along_axis(score, near, 1).argmax(axis=1)[:, None], 1).ravel()
+            asks = pa.FixedSizeListArray.from_arrays(pa.array(near.ravel()), few).cast(pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell), asks, batch.column(1)], names=["id", "cell", "asks", "v"])
+
+    return rows.select("id", "v").mapInArrow(place, f"id {kind}, cell int, asks array<int>, v binary")
+
+
+def _first(i: np.ndarray, score: np.ndarray, rank: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the best k of each query i, ties by rank."""
+    order = np.lexsort((rank, -score, i))
+    by = i[order]
+    begins = np.flatnonzero(np.concatenate([[True], by[1:] != by[:-1]]))
+    return order[np.arange(len(by)) - np.repeat(begins, np.diff(np.append(begins, len(by)))) < k]
+
+
+def ask_lists(asking: DataFrame, held: DataFrame, k: int = 4, threshold: float = 0.76, block: int = 4096, stretch: int = 256) -> DataFrame:
+    """(query_id, cand_id, score, rank): for each of (id, asks, v) the best k of (id, cell, v), packed rows as ``in_lists`` gives them.
+
+    As in ``indexed_top_k`` large lists are cut into blocks, and queries stream past the one that a task holds; scores
+    are rounded to six decimals and ties go to the smaller id. Only scores of the threshold or more are looked at singly.
+    """
+    spark, kind = held.sparkSession, dict(held.dtypes)["id"]
+    # As many blocks as the list has rows for; the table has one row a list, at most some thousand.
+    blocks = F.broadcast(held.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")))
+    slot = lambda at, asks: (F.shiftleft(F.col("cell").cast("bigint"), 32) + at.cast("bigint") * 2 + asks).alias("slot")
+    own = held.join(blocks, "cell").select(slot(F.pmod(F.xxhash64("id"), F.col("blocks")), 0), "id", "v")
+    others = asking.select("id", F.explode("asks").alias("cell"), "v").join(blocks, "cell")
+    others = others.select("id", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("at"), "v").select(slot(F.col("at"), 1), "id", "v")
+    # A set number of partitions: by their bytes they would become few, but their work is in the products.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    both = own.unionByName(others).repartition(parts, F.shiftright("slot", 1)).sortWithinPartitions("slot")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, ids, matrix, rank = -1, [], [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            slots, names, x, found = batch.column(0).to_numpy(), batch.column(1), unpack(batch.column(2)), []
+            edges = (np.flatnonzero(np.diff(slots)) + 1).tolist()
+            for lo, hi in zip([0, *edges], [*edges, len(slots)]):
+                here, asks = divmod(int(slots[lo]), 2)
+                if here != place:
+                    place, ids, matrix, rank = here, [], [], None
+                if not asks:
+                    ids.append(names.slice(lo, hi - lo))
+                    matrix.append(x[lo:hi].copy())
+                    continue
+                if not ids:
+                    continue
+                if len(ids) > 1:
+                    ids, matrix = [pa.concat_arrays(ids)], [np.concatenate(matrix)]
+                for at in range(lo, hi, stretch):
+                    score = x[at : min(at + stretch, hi)] @ matrix[0].T
+                    # Rounding may lift a score to the threshold.
+                    i, j = np.divmod(np.flatnonzero(score.ravel() >= threshold - 1e-6), score.shape[1])
+                    if not len(i):
+                        continue
+                    s = np.round(score[i, j].astype(np.float64), 6)
+                    other = pc.not_equal(names.take(pa.array(i + at)), ids[0].take(pa.array(j))).to_numpy(zero_copy_only=False) & (s >= threshold)
+                    i, j, s = i[other], j[other], s[other]
+                    if len(i) and np.bincount(i).max() > k:
+                        if rank is None:
+                            rank = np.empty(len(ids[0]), np.int64)
+                            rank[pc.sort_indices(ids[0]).to_numpy()] = np.arange(len(rank))
+                        best = _first(i, s, rank[j], k)
+                        i, j, s = i[best], j[best], s[best]
+                    found.append(pa.RecordBatch.from_arrays([names.take(pa.array(i + at)), ids[0].take(pa.array(j)), pa.array(s)], names=["query_id", "cand_id", "score"]))
+            yield from found
+
+    return _best(both.mapInArrow(compare, f"query_id {kind}, cand_id {kind}, score double"), k)
+
+
 def classes(rows: DataFrame, key: str, text: str, members: int = 5, salts: int = 64) -> DataFrame:
     """(class_id, text, members): rows of equal text as one, with the ``members`` smallest ids; class_id is the smallest.
 

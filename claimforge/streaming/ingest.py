@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from claimforge.operators.embedding import embed
-from claimforge.operators.similarity import indexed_top_k
+from claimforge.operators.embedding import embed_packed
+from claimforge.operators.similarity import ask_lists, fit_lists, in_lists
 from claimforge.session import Scratch
 
 
@@ -34,6 +34,7 @@ class Batches:
     def __init__(self, scratch: Scratch, name: str, schema: str, compact: int = 16):
         self.scratch, self.name, self.schema, self.compact = scratch, name, schema, compact
         self.parts: list[tuple[int, str]] = []
+        self.merges = 0
 
     def before(self, number: int) -> DataFrame:
         paths = [f"{self.scratch.base}/{part}" for n, part in self.parts if n < number]
@@ -49,14 +50,19 @@ class Batches:
         self.parts = [p for p in self.parts if p[0] != number] + [(number, part)]
         if len(self.parts) > self.compact:
             # The last part stays by itself, as its batch may be run again.
-            older = [p for p in self.parts if p[0] < number]
-            merged = f"{self.name}/upto{older[-1][0]}"
-            self.scratch.write(self.before(number), merged)
-            self.parts = [(older[-1][0], merged), (number, part)]
-            for _, path in older:
-                self.scratch.drop(path)
+            self.rewrite(self.before(number), number)
         return written
 
+    def rewrite(self, rows: DataFrame, number: int) -> None:
+        """These rows as one part in place of those before a batch."""
+        older = [p for p in self.parts if p[0] < number]
+        self.merges += 1
+        merged = f"{self.name}/upto{older[-1][0]}-{self.merges}"
+        self.scratch.write(rows, merged)
+        self.parts = [(older[-1][0], merged), *(p for p in self.parts if p[0] >= number)]
+        for _, path in older:
+            self.scratch.drop(path)
+
 
 def _run(rows: DataFrame, scratch: Scratch, each: Callable[[DataFrame, int], None], mode: str = "append") -> None:
     writer = rows.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", f"{scratch.base}/checkpoint")
@@ -175,20 +181,51 @@ def stream_job_states(spark: SparkSession, path: str) -> DataFrame:
     return last.select("document_id", "s.*")
 
 
+class Index:
+    """An inverted-file index that grows by batches.
+
+    A batch places its own rows only. Centroids are fitted anew, and all rows placed again, when there are more than
+    twice the rows they were last fitted for; so a row is placed a few times, however many batches follow.
+    """
+
+    def __init__(self, scratch: Scratch, probes: int = 8):
+        self.scratch, self.probes, self.fitted, self.centres = scratch, probes, 0, None
+        self.rows = Batches(scratch, "index", "id string, cell int, v binary")
+        self.sizes: dict[int, int] = {}
+
+    def add(self, vectors: DataFrame, number: int) -> DataFrame | None:
+        """(id, cell, asks, v) of a batch's packed vectors, which are then in the index; None while there are no rows at all."""
+        before = self.rows.before(number)
+        self.sizes[number] = vectors.count()
+        n = sum(size for at, size in self.sizes.items() if at <= number)
+        if n > 2 * self.fitted:
+            centres = self.scratch.spark.sparkContext.broadcast(fit_lists(before.select("id", "v").unionByName(vectors), n))
+            if any(p[0] < number for p in self.rows.parts):
+                self.rows.rewrite(in_lists(before, centres, 1).drop("asks"), number)
+            self.fitted, self.centres = n, centres
+        return self.rows.write(in_lists(vectors, self.centres, self.probes), number) if self.centres else None
+
+    def until(self, number: int) -> DataFrame:
+        return self.rows.before(number + 1)
+
+
 def stream_candidates(spark: SparkSession, path: str, model: Callable[[list[str]], np.ndarray], k: int = 4, threshold: float = 0.76) -> DataFrame:
     """(query_id, cand_id, score): facts as they arrive, matched against all that has arrived by then.
 
     Each batch adds its new facts to the index and then looks all of them up, so a fact sees earlier ones and its own batch.
     """
     scratch = Scratch(spark, "stream")
-    index = Batches(scratch, "index", "id string, embedding array<float>")
+    index = Index(scratch)
     found = Batches(scratch, "found", "query_id string, cand_id string, score double")
 
     def each(batch: DataFrame, number: int) -> None:
-        fresh = _once(batch, index, number, "id")
-        added = index.write(embed(fresh, "id", "canonical_statement", model).select("id", F.col("embedding").cast("array<float>").alias("embedding")), number)
-        held = index.before(number).unionByName(added)
-        found.write(indexed_top_k(added, held, k, threshold=threshold).select("query_id", "cand_id", "score"), number)
+        # The batch is the side that is held in memory; the index, which is larger, only streams past it.
+        again = index.rows.before(number).select("id").join(batch.select("id").hint("shuffle_hash"), "id", "left_semi")
+        fresh = batch.dropDuplicates(["id"]).join(again, "id", "left_anti")
+        vectors = scratch.write(embed_packed(fresh, "id", "canonical_statement", model), f"fresh/{number}")
+        if (added := index.add(vectors, number)) is not None:
+            found.write(ask_lists(added, index.until(number), k, threshold).select("query_id", "cand_id", "score"), number)
+        scratch.drop(f"fresh/{number}")
 
     _run(stream_table(spark, path, 1).select("id", "canonical_statement"), scratch, each)
     return found.all()
